@@ -1,4 +1,4 @@
 """Registered queries over the driver tables (importing the modules fills the registry)."""
 
-from . import scoring_q  # noqa: F401
+from . import requests_q, scoring_q, text_q  # noqa: F401
 from .registry import HEADLINE, ORACLE, QUERIES  # noqa: F401
