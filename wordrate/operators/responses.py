@@ -88,6 +88,8 @@ def canonical_results(df: DataFrame) -> DataFrame:
         F.when(is_google, F.when(F.size(g_top_steps) > 0, g_top)).otherwise(chat_top).alias("first_top"),
         F.coalesce(F.size(F.col("response.candidates")) > 0, F.lit(False)).alias("has_candidates"),
         (F.col("line_no") if _has(df, "line_no") else F.lit(None).cast("long")).alias("line_no"),
+        (F.col("processed_time").try_cast("timestamp") if _has(df, "processed_time")
+         else F.lit(None).cast("timestamp")).alias("event_time"),
     ).filter(F.col("task_id").isNotNull())
 
 
