@@ -98,3 +98,17 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(os.path.join(base, "out"))
     return out.select("task_id", "word", "answer_text", "value", F.round("logprob", 6).alias("logprob"),
                       F.round("weighted_sum", 6).alias("weighted_sum"))
+
+
+@query("xlsx_roundtrip", sql="SELECT n_nationkey, n_name, n_regionkey, 'nation' AS sheet FROM nation")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 + S3/S4: the nation table written as workbooks (one per task) and read back
+    with every sheet and the sheet name column."""
+    from ..sources import xlsx
+    xlsx.register(spark)
+    folder = K.scratch_dir(spark, "xlsx")
+    nation = D.read(spark, sf_dir, "nation")
+    nation.write.format("xlsx").mode("append").option("sheet", "nation").save(folder)
+    back = (spark.read.format("xlsx").schema("n_nationkey int, n_name string, n_regionkey int, sheet string")
+                 .option("sheet", "*").load(folder))
+    return back
