@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from . import schemas as SC
 
-CORRUPT = "_corrupt_record"
-
-
 def line_order() -> Column:
     """Input order of text-based files: file name, split start, position in split."""
     return F.struct(F.col("_metadata.file_path").alias("file"),
@@ -48,14 +45,19 @@ def read_jsonl_strict(spark: SparkSession, paths, ddl: str) -> DataFrame:
 
 
 def read_jsonl_tolerant(spark: SparkSession, paths, ddl: str) -> tuple[DataFrame, DataFrame]:
-    """Blank lines are skipped, bad lines are set aside as rejects (K6)."""
-    full = ddl + f", {CORRUPT} string"
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", CORRUPT).json(paths)
-               .withColumn("line_no", line_order()))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = df.where(F.col(CORRUPT).isNotNull()).select(F.col("_metadata.file_path").alias("file"),
-                                                          F.col(CORRUPT).alias("line"))
+    """Blank lines are skipped, bad lines are set aside as rejects (K6).
+
+    Lines are scanned as text and parsed with ``from_json`` (a malformed line parses
+    to NULL), so good rows and rejects come from one scan without caching."""
+    lines = (spark.read.text(paths)
+                  .select("value", F.col("_metadata.file_path").alias("_file"), line_order().alias("line_no"))
+                  .where(F.trim("value") != ""))
+    parsed = lines.select(F.from_json("value", ddl + ", _bad string", {"mode": "PERMISSIVE",
+                                                                        "columnNameOfCorruptRecord": "_bad"}
+                                      ).alias("_r"), "value", "_file", "line_no")
+    ok = F.col("_r").isNotNull() & F.col("_r._bad").isNull()
+    good = parsed.where(ok).select("_r.*", "line_no").drop("_bad")
+    rejects = parsed.where(~ok).select(F.col("_file").alias("file"), F.col("value").alias("line"))
     return good, rejects
 
 
