@@ -91,7 +91,11 @@ def softmax_topk(scores, k: int = 5) -> Column:
 
 
 def token_bytes(token) -> Column:
-    """UTF-8 byte values of a token as ``array<int>`` (linear in the text length)."""
-    hx = F.hex(F.encode(_col(token), "UTF-8"))
-    return F.transform(F.regexp_extract_all(hx, F.lit("[0-9A-F]{2}"), 0),
-                       lambda h: F.conv(h, 16, 10).cast("int"))
+    """UTF-8 byte values of a token as ``array<int>`` (linear in the text length).
+
+    The UTF-8 bytes are re-read as ISO-8859-1, where every byte is one character whose
+    code point equals the byte value; splitting into characters then gives the values."""
+    raw = F.encode(_col(token), "UTF-8")
+    latin = F.decode(raw, "ISO-8859-1")
+    return (F.when(F.octet_length(raw) > 0, F.transform(F.split(latin, ""), lambda c: F.ascii(c)))
+             .when(raw.isNotNull(), F.array().cast("array<int>")))

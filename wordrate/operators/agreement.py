@@ -96,17 +96,26 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
         for i, (x, y) in enumerate(pairs)])).alias("s")).select("s.*")
     stacked = stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull()
                             & ~F.isnan("a") & ~F.isnan("b"))
-    counts = (stacked.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"))
-              .unionByName(stacked.select("pair", F.lit(1).alias("side"), F.col("b").alias("v")))
-              .groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    # One pass over the data: identical (pair, a, b) rows are combined map-side, and
+    # the per-value counts of both sides are derived from those combinations.
+    combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
+    counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
+              .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
+              .groupBy("pair", "side", "v").agg(F.sum("w").alias("cnt")))
     ranked = prefix_sum(counts, ["pair", "side"], ["v"], "cnt", out="before", num_partitions=num_partitions)
-    ranks = ranked.select("pair", "side", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("rank").alias("ra"))
-    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("rank").alias("rb"))
-    with_ranks = stacked.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
-    denom = F.stddev_pop("ra") * F.stddev_pop("rb")
+    # Average ranks are centred on the known mean (n+1)/2 of each pair, so the
+    # correlation needs no second pass and no large-number cancellation.
+    n_pair = counts.where(F.col("side") == 0).groupBy("pair").agg(F.sum("cnt").alias("n_pair"))
+    ranks = ranked.join(n_pair, "pair").select(
+        "pair", "side", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_pair") + 1) / 2.0).alias("c"))
+    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("c").alias("ca"))
+    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
+    with_ranks = combos.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
+    sab = F.sum(F.col("w") * F.col("ca") * F.col("cb"))
+    saa = F.sum(F.col("w") * F.col("ca") * F.col("ca"))
+    sbb = F.sum(F.col("w") * F.col("cb") * F.col("cb"))
     per_pair = with_ranks.groupBy("pair").agg(
-        (F.covar_pop("ra", "rb") / F.when(denom > 0, denom)).alias("r"), F.count(F.lit(1)).alias("n"))
+        (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum("w").alias("n"))
     names = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"))
                       for i, (x, y) in enumerate(pairs)])
     catalog = df.sparkSession.range(1).select(F.explode(names).alias("p")).select("p.*")
