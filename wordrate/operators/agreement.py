@@ -85,46 +85,61 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Pearson of average ranks computed within each pair's complete rows.
 
-    Rows are stacked once per pair (NULL pairs dropped), values are counted per
-    (pair, side, value), and the rank of a value is ``rows before it + (count+1)/2``
-    -- an exclusive prefix sum over the counts in value order, done by range
-    partitioning rather than a window that would hold a whole pair in one task.
+    Off-diagonal pairs: rows are stacked once per pair (NULL pairs dropped), identical
+    (pair, a, b) rows are combined map-side, values are counted per (pair, side,
+    value), and the rank of a value is ``rows before it + (count+1)/2`` -- an exclusive
+    prefix sum over the counts in value order, done by range partitioning rather than
+    a window that would hold a whole pair in one task.  Diagonal cells need no ranks:
+    1 when the column has two distinct values, else missing.
     """
-    pairs = list(combinations_with_replacement(columns, 2))
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
-        for i, (x, y) in enumerate(pairs)])).alias("s")).select("s.*")
-    stacked = stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull()
-                            & ~F.isnan("a") & ~F.isnan("b"))
-    # One pass over the data: identical (pair, a, b) rows are combined map-side, and
-    # the per-value counts of both sides are derived from those combinations.
-    combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-    counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
-              .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
-              .groupBy("pair", "side", "v").agg(F.sum("w").alias("cnt")))
-    ranked = prefix_sum(counts, ["pair", "side"], ["v"], "cnt", out="before", num_partitions=num_partitions)
-    # Average ranks are centred on the known mean (n+1)/2 of each pair, so the
-    # correlation needs no second pass and no large-number cancellation.
-    n_pair = counts.where(F.col("side") == 0).groupBy("pair").agg(F.sum("cnt").alias("n_pair"))
-    ranks = ranked.join(n_pair, "pair").select(
-        "pair", "side", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_pair") + 1) / 2.0).alias("c"))
-    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("c").alias("ca"))
-    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
-    with_ranks = combos.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
-    sab = F.sum(F.col("w") * F.col("ca") * F.col("cb"))
-    saa = F.sum(F.col("w") * F.col("ca") * F.col("ca"))
-    sbb = F.sum(F.col("w") * F.col("cb") * F.col("cb"))
-    per_pair = with_ranks.groupBy("pair").agg(
-        (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum("w").alias("n"))
-    names = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-                      for i, (x, y) in enumerate(pairs)])
-    catalog = df.sparkSession.range(1).select(F.explode(names).alias("p")).select("p.*")
-    full = catalog.join(per_pair, "pair", "left")  # pairs with no complete row still appear
-    both = full.select(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r",
-                       F.coalesce("n", F.lit(0)).alias("n")).unionByName(
-        full.where(F.col("x") != F.col("y")).select(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r",
-                                                     F.coalesce("n", F.lit(0)).alias("n")))
-    return both
+    cols = [F.col(c).cast("double") for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    spark = df.sparkSession
+    parts = []
+    if pairs:
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("pair"), cols[i].alias("a"), cols[j].alias("b"))
+            for k, (i, j) in enumerate(pairs)])).alias("s")).select("s.*")
+        stacked = stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull()
+                                & ~F.isnan("a") & ~F.isnan("b"))
+        combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
+        counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
+                  .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
+                  .groupBy("pair", "side", "v").agg(F.sum("w").alias("cnt")))
+        ranked = prefix_sum(counts, ["pair", "side"], ["v"], "cnt", out="before", num_partitions=num_partitions)
+        # Average ranks are centred on the known mean (n+1)/2 of each pair, so the
+        # correlation needs no second pass and no large-number cancellation.
+        n_pair = counts.where(F.col("side") == 0).groupBy("pair").agg(F.sum("cnt").alias("n_pair"))
+        ranks = ranked.join(n_pair, "pair").select(
+            "pair", "side", "v",
+            (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_pair") + 1) / 2.0).alias("c"))
+        ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("c").alias("ca"))
+        rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
+        # Both sides grow with the number of distinct values: always a shuffled join.
+        with_ranks = combos.join(ra.hint("merge"), ["pair", "a"]).join(rb.hint("merge"), ["pair", "b"])
+        sab = F.sum(F.col("w") * F.col("ca") * F.col("cb"))
+        saa = F.sum(F.col("w") * F.col("ca") * F.col("ca"))
+        sbb = F.sum(F.col("w") * F.col("cb") * F.col("cb"))
+        per_pair = with_ranks.groupBy("pair").agg(
+            (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum("w").alias("n"))
+        names = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(columns[i]).alias("x"),
+                                   F.lit(columns[j]).alias("y")) for k, (i, j) in enumerate(pairs)])
+        catalog = spark.range(1).select(F.explode(names).alias("p")).select("p.*")
+        full = catalog.join(per_pair, "pair", "left")  # pairs with no complete row still appear
+        n = F.coalesce("n", F.lit(0)).cast("long")
+        parts += [full.select(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n")),
+                  full.select(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n"))]
+    ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
+    diag = df.agg(*[F.struct(F.lit(name).alias("col_x"), F.lit(name).alias("col_y"),
+                             F.when(F.min(F.when(o, c)) < F.max(F.when(o, c)), F.lit(1.0)).alias("r"),
+                             F.count_if(o).cast("long").alias("n")).alias(f"d{k}")
+                    for k, (name, c, o) in enumerate(zip(columns, cols, ok))])
+    parts.append(diag.select(F.explode(F.array(*[F.col(f"d{k}") for k in range(len(columns))])).alias("d"))
+                 .select("d.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def combined_matrix(upper: DataFrame, lower: DataFrame, columns: Sequence[str]) -> DataFrame:
