@@ -61,3 +61,44 @@ def test_chat_jsonl_and_versioned_rewrite(spark, tmp_path):
     assert spark.read.parquet(base + "/_old").first()["rating"] == 4.456
     assert spark.read.parquet(base + "/current").first()["rating"] == 1.0
     assert os.path.isdir(base + "/current")
+
+
+def test_word_table_csv_latin1_and_prompt_file(spark, tmp_path):
+    p = tmp_path / "words.csv"
+    p.write_bytes("Word,FAM\ncaf\xe9,4.1\nna\xefve,3.0\n".encode("latin-1"))
+    words = [r["Word"] for r in S.read_word_table(spark, str(p), "Word").collect()]
+    assert sorted(words) == ["café", "naïve"]
+    t = tmp_path / "prompt.txt"
+    t.write_text('Rate "{Word}"\nfrom 1 to 7.', encoding="utf-8")
+    assert S.read_prompt(spark, str(t)).first()["prompt"] == 'Rate "{Word}"\nfrom 1 to 7.'
+    try:
+        S.read_word_table(spark, str(tmp_path / "words.txt"), "Word")
+        raise AssertionError("expected ValueError")
+    except ValueError:
+        pass
+
+
+def test_split_folders_named_by_pct_and_seed(spark, tmp_path):
+    from wordrate.operators import sampling as SP
+    df = spark.range(40).withColumnRenamed("id", "k")
+    out = str(tmp_path / "splits")
+    K.write_splits(SP.split_exact(df, "k", 0.5, 42), out, 0.5, 42)
+    names = sorted(d for d in os.listdir(out) if d.startswith("split_name="))
+    assert names == ["split_name=test_split_50.0_randomstate_42", "split_name=train_split_50.0_randomstate_42"]
+
+
+def test_unknown_company_is_an_error(spark):
+    words = spark.createDataFrame([(1, "cat")], "task_no long, word string")
+    try:
+        Q.build_requests(words, Q.Experiment("r", "exp", '"{Word}"', company="Acme"))
+        raise AssertionError("expected ValueError")
+    except ValueError:
+        pass
+
+
+def test_default_role_added_only_where_missing(spark):
+    df = spark.createDataFrame([([("model", [("a",)]), (None, [("b",)])],)],
+                               "contents array<struct<role:string,parts:array<struct<text:string>>>>")
+    recs = df.select(F.struct("contents").alias("request"))
+    roles = [c["role"] for c in Q.add_default_role(recs).first()["request"]["contents"]]
+    assert roles == ["model", "user"]

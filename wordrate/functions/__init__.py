@@ -5,4 +5,4 @@ from .scoring import (expected_rating, gated, integer_answer, live_expected_rati
 from .text import (LOCALES, as_text, cell_label, column_placeholder, fill_template,  # noqa: F401
                    first_char_int, first_quoted, last_quoted, missing_or_blank,
                    number_from_answer, partial_template, placeholder_key, sentinel,
-                   short_name, word_from_answer)
+                   short_name, word_from_answer, json_field)

@@ -74,20 +74,32 @@ def gated(gate: Column, value: Column) -> Column:
     return F.when(gate, value)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside ``body`` (lambda variables are not
+    recomputed, while a plain sub-expression inside a higher-order function would be
+    re-evaluated for every array element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax_topk(scores, k: int = 5) -> Column:
     """X17 + T7: raw vocabulary scores of one step -> top-k ``struct<index, logprob>``.
 
     log-softmax via log-sum-exp, then the k largest in descending order (ties by the
-    lower index).  The first entry is the arg-max token.
+    lower index).  The first entry is the arg-max token.  The normaliser is computed
+    once per step, so the cost is O(V log V) for a vocabulary of V scores.
     """
     v = _col(scores)
-    m = F.array_max(v).cast("double")
-    lse = m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - m)))
-    scored = F.transform(v, lambda x, i: F.struct((F.lit(0.0) - (x.cast("double") - lse)).alias("neg"),
-                                                   i.alias("index")))
-    top = F.slice(F.array_sort(scored), 1, k)
-    return F.transform(top, lambda s: F.struct(s["index"].alias("index"),
-                                               (F.lit(0.0) - s["neg"]).alias("logprob")))
+
+    def with_lse(lse):
+        scored = F.transform(v, lambda x, i: F.struct((lse - x.cast("double")).alias("neg"), i.alias("index")))
+        top = F.slice(F.array_sort(scored), 1, k)
+        return F.transform(top, lambda s: F.struct(s["index"].alias("index"), (F.lit(0.0) - s["neg"]).alias("logprob")))
+
+    def with_max(m):
+        lse = m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - m)))
+        return _let(lse, with_lse)
+
+    return _let(F.array_max(v).cast("double"), with_max)
 
 
 def token_bytes(token) -> Column:

@@ -32,10 +32,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _quoted_pattern(open_q: str, close_q: str) -> str:
-    return re.escape(open_q) + "(.*?)" + re.escape(close_q)
-
-
 def _java_quote(s: str) -> str:
     # \Q...\E literal quoting, safe for any label text
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -169,3 +165,9 @@ def first_char_int(text) -> Column:
     """The first character of the answer as an integer, else NULL ('N/D')."""
     ch = F.substring(_col(text), 1, 1)
     return F.when(ch.rlike("(?U)^\\d$"), ascii_digits(ch).try_cast("int"))
+
+
+def json_field(text, path: str, type_: str = "string") -> Column:
+    """X25 for layouts without a fixed schema: parse as VARIANT and read one path;
+    malformed text or a missing / mistyped field gives NULL."""
+    return F.try_variant_get(F.try_parse_json(_col(text)), path, type_)

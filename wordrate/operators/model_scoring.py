@@ -51,3 +51,41 @@ def length_scorer_factory():
     def model(prompts: list[str]) -> list[float]:
         return [float(len(p or "") % 7 + 1) for p in prompts]
     return model
+
+
+def generation_steps(step_scores, token_of, k: int = 5):
+    """X17 per generated step: raw vocabulary scores (``array<array<float>>``) -> the
+    step list of a result record: chosen (arg-max) token, its log-probability, UTF-8
+    bytes (X18) and the top-k alternatives.  ``token_of(index_column)`` maps a
+    vocabulary index to its token text (a Column expression)."""
+    from pyspark.sql import functions as F
+
+    from ..functions import scoring as S
+
+    def entry(tok, lp):
+        return F.struct(tok.alias("token"), lp.alias("logprob"), S.token_bytes(tok).alias("bytes"))
+
+    def step(top):
+        first = top[0]
+        alts = F.transform(top, lambda t: entry(token_of(t["index"]), t["logprob"]))
+        return F.struct(token_of(first["index"]).alias("token"), first["logprob"].alias("logprob"),
+                        S.token_bytes(token_of(first["index"])).alias("bytes"), alts.alias("top_logprobs"))
+
+    # top-k once per step (bound as a lambda variable), then the record entries
+    tops = F.transform(step_scores, lambda sc: S.softmax_topk(sc, k))
+    return F.transform(tops, step)
+
+
+def local_result_record(task_id, model, steps):
+    """The canonical local-run result record (status_code -1, one choice); the
+    answer text is the concatenation of the chosen tokens."""
+    from pyspark.sql import functions as F
+
+    text = F.array_join(F.transform(steps, lambda s: s["token"]), "")
+    choice = F.struct(F.lit(0).alias("index"),
+                      F.struct(F.lit("assistant").alias("role"), text.alias("content"),
+                               F.lit(None).cast("string").alias("refusal"),
+                               F.array().cast("array<string>").alias("annotations")).alias("message"),
+                      F.struct(steps.alias("content")).alias("logprobs"))
+    body = F.struct(model.alias("model"), F.array(choice).alias("choices"))
+    return F.struct(task_id.alias("id"), F.struct(F.lit(-1).alias("status_code"), body.alias("body")).alias("response"))

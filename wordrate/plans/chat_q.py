@@ -77,3 +77,49 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     (the stand-in model returns characters mod 7 + 1)."""
     conv = D.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return MS.score_prompts(conv, "text", MS.length_scorer_factory).select("conv_id", "turn", "score")
+
+
+@query("local_run_records", sql="""
+WITH v AS (
+  SELECT vec_id, CAST(x AS DOUBLE) AS x, CAST((i - 1) // 16 AS INTEGER) AS step, CAST((i - 1) % 16 AS INTEGER) AS idx
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+m AS (SELECT vec_id, step, max(x) AS mx FROM v GROUP BY vec_id, step),
+l AS (SELECT v.vec_id, v.step, m.mx + ln(sum(exp(v.x - m.mx))) AS lse
+      FROM v JOIN m USING (vec_id, step) GROUP BY v.vec_id, v.step, m.mx),
+r AS (SELECT v.vec_id, v.step, v.idx, v.x - l.lse AS lp,
+             row_number() OVER (PARTITION BY v.vec_id, v.step ORDER BY v.x DESC, v.idx) AS rk
+      FROM v JOIN l USING (vec_id, step)),
+t AS (SELECT vec_id,
+             string_agg(CAST(idx AS VARCHAR), '' ORDER BY step) FILTER (WHERE rk = 1) AS answer_text,
+             max(lp) FILTER (WHERE rk = 1 AND step = 0) AS logprob,
+             sum(idx * exp(lp)) FILTER (WHERE rk <= 5 AND step = 0)
+               / sum(exp(lp)) FILTER (WHERE rk <= 5 AND step = 0) AS ws,
+             sum(length(CAST(idx AS VARCHAR))) FILTER (WHERE rk = 1) AS n_bytes
+      FROM r GROUP BY vec_id)
+SELECT 'familiarity_english_task_' || CAST(vec_id + 1 AS VARCHAR) AS task_id, answer_text,
+       4 AS n_steps, round(logprob, 6) AS logprob, round(ws, 6) AS weighted_sum, CAST(n_bytes AS BIGINT) AS n_bytes
+FROM t""")
+def local_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X17 + X18 + X19: a local model run assembled into result records -- each
+    embeddings row holds the raw scores of 4 generated steps over a 16-token vocabulary
+    (token text = its index) -- rendered to JSON, parsed back as the local dialect,
+    and scored (X11 over the step-1 alternatives)."""
+    from ..functions import scoring as S
+    from ..operators import responses as R
+    from ..sources import schemas as SC
+    emb = D.read(spark, sf_dir, "embeddings")
+    steps_scores = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.slice("embedding", s * 16 + 1, 16))
+    steps = MS.generation_steps(steps_scores, lambda i: i.cast("string"), 5)
+    tid = F.concat(F.lit(D.EXPERIMENT_PATH + "_task_"), (F.col("vec_id") + 1).cast("string"))
+    rec = MS.local_result_record(tid, F.lit("llama3.1-8B-Instruct"), steps)
+    lines = emb.select(F.to_json(rec).alias("value"), F.col("vec_id").alias("line_no"))
+    parsed = D.parse_lines(lines, SC.RESULT_UNION)
+    canon = R.canonical_results(parsed)
+    bytes_ = F.aggregate(F.col("r.response.body.choices")[0]["logprobs"]["content"], F.lit(0).cast("bigint"),
+                         lambda a, s: a + F.size(s["bytes"]))
+    with_bytes = parsed.select(F.struct("*").alias("r")).select(
+        F.col("r.id").alias("task_id"), bytes_.alias("n_bytes"))
+    return (canon.join(with_bytes, "task_id")
+                 .select("task_id", "answer_text", F.col("n_steps").cast("int").alias("n_steps"),
+                         F.round("first_logprob", 6).alias("logprob"),
+                         F.round(S.expected_rating("first_top"), 6).alias("weighted_sum"), "n_bytes"))
