@@ -112,3 +112,15 @@ def test_small_helpers(spark):
     assert one(spark, W.answer_text("r"), 5.0, "r double") == "5.0"
     assert one(spark, W.answer_text("r"), 5.104, "r double") == "5.1"
     assert one(spark, W.mean_of_two(F.lit(0.01), F.lit(0.0)), 0, "x int") == 0.0
+
+
+def test_short_name_rules_agree(spark):
+    from wordrate.functions.text import short_name_of
+    for name in ["familiarity_english_v01", "a_b", "ab_c", "nounderscore", "_x"]:
+        assert one(spark, W.short_name("t"), name) == short_name_of(name)
+
+
+def test_numeric_alternatives_filter(spark):
+    df = spark.createDataFrame([([("4", -0.1), (" five", -2.0), ("４", -3.0)],)],
+                               "a array<struct<token:string,logprob:double>>")
+    assert [t["token"] for t in df.select(W.numeric_alternatives("a")).first()[0]] == ["4", "４"]

@@ -39,6 +39,11 @@ def expected_rating(alternatives, token_field: str = "token", logprob_field: str
     return F.aggregate(_col(alternatives), zero, step, finish)
 
 
+def numeric_alternatives(alternatives, token_field: str = "token") -> Column:
+    """the alternatives whose token reads as an integer."""
+    return F.filter(_col(alternatives), lambda t: int_token(t[token_field]).isNotNull())
+
+
 def live_expected_rating(alternatives, token_field: str = "token", logprob_field: str = "logprob") -> Column:
     """X11 without a gate; zero weighted value or no probability mass -> NULL."""
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"))

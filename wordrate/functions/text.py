@@ -131,6 +131,12 @@ def short_name(name) -> Column:
     return F.when(pos > 2, F.substring_index(n, "_", 1)).otherwise(n)
 
 
+def short_name_of(name: str) -> str:
+    """P14 for a constant experiment name (used to name output columns)."""
+    pos = name.find("_")
+    return name[:pos] if pos > 1 else name
+
+
 def sentinel(value, missing: str = "#N/D") -> Column:
     """Missing cells rendered as a sentinel text (for sinks only)."""
     c = _col(value)

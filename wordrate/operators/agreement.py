@@ -127,8 +127,10 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
         catalog = spark.range(1).select(F.explode(names).alias("p")).select("p.*")
         full = catalog.join(per_pair, "pair", "left")  # pairs with no complete row still appear
         n = F.coalesce("n", F.lit(0)).cast("long")
-        parts += [full.select(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n")),
-                  full.select(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n"))]
+        # both orientations from one evaluation (a generator, not a union of two plans)
+        both = F.array(F.struct(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n")),
+                       F.struct(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n")))
+        parts.append(full.select(F.explode(both).alias("o")).select("o.*"))
     ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
     diag = df.agg(*[F.struct(F.lit(name).alias("col_x"), F.lit(name).alias("col_y"),
                              F.when(F.min(F.when(o, c)) < F.max(F.when(o, c)), F.lit(1.0)).alias("r"),

@@ -129,3 +129,29 @@ def last_request_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = orders.join(last, ["run", "task_id"], "inner")
     return j.select(F.col("task_id").alias("o_orderkey"), "o_orderstatus", "last_partkey",
                     F.col("last_linenumber").cast("int").alias("last_linenumber"))
+
+
+RUN_NAME = "familiarity_english_live_gemini"
+
+
+@query("live_results", sql=_E + """
+SELECT word AS Word, CASE WHEN label <> 2 THEN CAST(left(CAST(label + 3 AS VARCHAR), 1) AS INTEGER) END AS familiarity,
+       CASE WHEN ws <> 0 THEN round(ws, 6) END AS familiarity_logprob,
+       CAST(len(list_filter([CAST(label + 3 AS VARCHAR), CAST(label + 4 AS VARCHAR), CAST(label + 2 AS VARCHAR),
+                             CASE WHEN e4 > 0 THEN 'I' ELSE CAST(label + 5 AS VARCHAR) END,
+                             CASE WHEN e5 > 0 THEN '4' ELSE CAST(label + 1 AS VARCHAR) END],
+                            lambda t: t <> 'I')) AS INTEGER) AS n_numeric
+FROM w""")
+def live_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14 + X14 + X15 + F4: live one-word answers as a result table whose columns are
+    named after the experiment's short name (``familiarity``, ``familiarity_logprob``);
+    the word column is named after the placeholder without braces."""
+    res = R.canonical_results(D.derived_results(spark, sf_dir, "google"))
+    req = R.canonical_requests(D.derived_requests(spark, sf_dir, "Google"))
+    j = R.join_results(res, req)
+    short = X.short_name_of(RUN_NAME)
+    key = D.experiment("Google").prompt_key.strip("{}")
+    return j.select(X.first_quoted("prompt").alias(key),
+                    X.first_char_int("answer_text").alias(short),
+                    r6(S.live_expected_rating("first_top")).alias(short + "_logprob"),
+                    F.size(S.numeric_alternatives("first_top")).cast("int").alias("n_numeric"))
