@@ -55,31 +55,40 @@ def error_metrics(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ())
 
 # --- A7-A9 ------------------------------------------------------------------------
 
-def _pair_r(a: Column, b: Column) -> tuple[Column, Column]:
-    """Pearson over rows where both are present; NULL when either side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    a2, b2 = F.when(both, a), F.when(both, b)
-    denom = F.stddev_pop(a2) * F.stddev_pop(b2)
-    r = F.covar_pop(a2, b2) / F.when(denom > 0, denom)
-    return r, F.count_if(both)
+def _stack_pairs(df: DataFrame, columns: Sequence[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """One row per (input row, column pair) with both values present (NaN is missing)."""
+    cols = [F.col(c).cast("double") for c in columns]
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("pair"), cols[i].alias("a"), cols[j].alias("b"))
+        for k, (i, j) in enumerate(pairs)])).alias("s")).select("s.*")
+    return stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
+
+
+def _long_form(spark, columns: Sequence[str], pairs: list[tuple[int, int]], per_pair: DataFrame) -> DataFrame:
+    """(pair, r, n) -> (col_x, col_y, r, n) in both orientations; pairs without any
+    complete row appear with n = 0 and a missing r."""
+    names = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"))
+                      for k, (i, j) in enumerate(pairs)])
+    catalog = spark.range(1).select(F.explode(names).alias("p")).select("p.*")
+    full = catalog.join(per_pair, "pair", "left")  # both sides hold one row per pair
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    one = F.struct(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n"))
+    other = F.struct(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n"))
+    return (full.select(F.explode(F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, other)))
+                        .alias("o")).select("o.*"))
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs in one aggregation; long form (col_x, col_y, r, n), both orders."""
-    aggs = []
-    pairs = list(combinations_with_replacement(columns, 2))
-    for i, (x, y) in enumerate(pairs):
-        r, n = _pair_r(F.col(x).cast("double"), F.col(y).cast("double"))
-        aggs += [r.alias(f"r{i}"), n.alias(f"n{i}")]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, (x, y) in enumerate(pairs):
-        rows.append(F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"),
-                             F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")))
-        if x != y:
-            rows.append(F.struct(F.lit(y).alias("col_x"), F.lit(x).alias("col_y"),
-                                 F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")))
-    return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    """Pairwise-complete Pearson for every column pair; NULL when either side is
+    constant.  Rows are stacked per pair and aggregated by pair id (a handful of
+    groups, combined map-side) -- a small aggregate that stays code-generated, unlike
+    one aggregate with a buffer field per pair statistic.  Long form, both orders."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    stacked = _stack_pairs(df, columns, pairs)
+    denom = F.stddev_pop("a") * F.stddev_pop("b")
+    per_pair = stacked.groupBy("pair").agg((F.covar_pop("a", "b") / F.when(denom > 0, denom)).alias("r"),
+                                           F.count(F.lit(1)).alias("n"))
+    return _long_form(df.sparkSession, columns, pairs, per_pair)
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -97,11 +106,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
     spark = df.sparkSession
     parts = []
     if pairs:
-        stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("pair"), cols[i].alias("a"), cols[j].alias("b"))
-            for k, (i, j) in enumerate(pairs)])).alias("s")).select("s.*")
-        stacked = stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull()
-                                & ~F.isnan("a") & ~F.isnan("b"))
+        stacked = _stack_pairs(df, columns, pairs)
         combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
         counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
                   .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
@@ -122,15 +127,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
         sbb = F.sum(F.col("w") * F.col("cb") * F.col("cb"))
         per_pair = with_ranks.groupBy("pair").agg(
             (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum("w").alias("n"))
-        names = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(columns[i]).alias("x"),
-                                   F.lit(columns[j]).alias("y")) for k, (i, j) in enumerate(pairs)])
-        catalog = spark.range(1).select(F.explode(names).alias("p")).select("p.*")
-        full = catalog.join(per_pair, "pair", "left")  # pairs with no complete row still appear
-        n = F.coalesce("n", F.lit(0)).cast("long")
-        # both orientations from one evaluation (a generator, not a union of two plans)
-        both = F.array(F.struct(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n")),
-                       F.struct(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n")))
-        parts.append(full.select(F.explode(both).alias("o")).select("o.*"))
+        parts.append(_long_form(spark, columns, pairs, per_pair))
     ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
     diag = df.agg(*[F.struct(F.lit(name).alias("col_x"), F.lit(name).alias("col_y"),
                              F.when(F.min(F.when(o, c)) < F.max(F.when(o, c)), F.lit(1.0)).alias("r"),

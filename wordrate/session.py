@@ -52,17 +52,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a private one only if none is configured."""
-    conf = spark.sparkContext.getConf()
-    configured = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    configured = None
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - some sessions refuse unknown keys
+        configured = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
+        sc = None
+    if sc is not None:
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+            return configured
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     path = tempfile.mkdtemp(prefix="wordrate-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
