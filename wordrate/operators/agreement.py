@@ -174,10 +174,10 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
         return F.when(k >= bins, F.lit(hi)).otherwise(F.lit(lo) + k.cast("double") * F.lit(step))
 
     k0 = F.least(F.floor((x - F.lit(lo)) * F.lit(bins / (hi - lo))).cast("int"), F.lit(bins - 1))
-    k1 = F.when(x < edge(k0), k0 - 1).otherwise(k0)
-    k2 = F.when((x >= edge(k1 + 1)) & (k1 != bins - 1), k1 + 1).otherwise(k1)
-    counts = (df.where(x.isNotNull() & ~F.isnan(x)).select(k2.alias("bin"))
-                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    v = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"), k0.alias("k0"))
+    v = v.select("x", F.when(F.col("x") < edge(F.col("k0")), F.col("k0") - 1).otherwise(F.col("k0")).alias("k1"))
+    k2 = F.when((F.col("x") >= edge(F.col("k1") + 1)) & (F.col("k1") != bins - 1), F.col("k1") + 1).otherwise(F.col("k1"))
+    counts = v.select(k2.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (all_bins.join(counts, "bin", "left")  # <= bins rows on both sides
                     .select((F.col("bin") + 1).alias("bin"), edge(F.col("bin")).alias("lower"),
@@ -211,20 +211,29 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
     pad = 1e-9 * (xmax - xmin)
     xmin, xmax = xmin - pad, xmax + pad
     sx, sy = (xmax - xmin) / nx, (ymax - ymin) / ny
-    ix = (xc - F.lit(xmin)) / F.lit(sx)
-    iy = (yc - F.lit(ymin)) / F.lit(sy)
-    ix1, iy1 = F.rint(ix), F.rint(iy)
-    ix2, iy2 = F.floor(ix).cast("double"), F.floor(iy).cast("double")
-    d1 = (ix - ix1) * (ix - ix1) + 3.0 * (iy - iy1) * (iy - iy1)
-    d2 = (ix - ix2 - 0.5) * (ix - ix2 - 0.5) + 3.0 * (iy - iy2 - 0.5) * (iy - iy2 - 0.5)
-    first = d1 < d2
-    i = F.when(first, ix1).otherwise(ix2).cast("int")
-    j = F.when(first, iy1).otherwise(iy2).cast("int")
-    inside = F.when(first, (i >= 0) & (i <= nx) & (j >= 0) & (j <= ny)).otherwise(
-        (i >= 0) & (i < nx) & (j >= 0) & (j < ny))
-    cells = (df.where(ok).select(F.when(first, 1).otherwise(2).alias("lattice"), i.alias("i"), j.alias("j"),
-                                 inside.alias("inside"))
-               .where("inside").groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("count")))
+    # Staged projections: each intermediate is computed once per row (a nested single
+    # expression would repeat the lattice arithmetic many times over).
+    pts = df.where(ok).select(((xc - F.lit(xmin)) / F.lit(sx)).alias("ix"), ((yc - F.lit(ymin)) / F.lit(sy)).alias("iy"))
+    pts = pts.select("ix", "iy", F.rint("ix").alias("ix1"), F.rint("iy").alias("iy1"),
+                     F.floor("ix").cast("double").alias("ix2"), F.floor("iy").cast("double").alias("iy2"))
+    pts = pts.select("ix1", "iy1", "ix2", "iy2", (F.col("ix") - F.col("ix1")).alias("u1"),
+                     (F.col("iy") - F.col("iy1")).alias("v1"), (F.col("ix") - F.col("ix2") - 0.5).alias("u2"),
+                     (F.col("iy") - F.col("iy2") - 0.5).alias("v2"))
+    d1 = F.col("u1") * F.col("u1") + 3.0 * F.col("v1") * F.col("v1")
+    d2 = F.col("u2") * F.col("u2") + 3.0 * F.col("v2") * F.col("v2")
+    pts = pts.select("ix1", "iy1", "ix2", "iy2", (d1 < d2).alias("first"))
+    pts = pts.select(F.when(F.col("first"), 1).otherwise(2).alias("lattice"),
+                     F.when(F.col("first"), F.col("ix1")).otherwise(F.col("ix2")).cast("int").alias("i"),
+                     F.when(F.col("first"), F.col("iy1")).otherwise(F.col("iy2")).cast("int").alias("j"))
+    lat1 = F.col("lattice") == 1
+    inside = F.when(lat1, (F.col("i") >= 0) & (F.col("i") <= nx) & (F.col("j") >= 0) & (F.col("j") <= ny)).otherwise(
+        (F.col("i") >= 0) & (F.col("i") < nx) & (F.col("j") >= 0) & (F.col("j") < ny))
+    # Cells outside the lattice ranges are dropped after counting, one test per cell.
+    # The test compares the count, so the optimizer keeps it above the aggregate; a
+    # test on the keys alone would be pushed below it and inline the whole staged
+    # lattice arithmetic into a row filter.
+    cells = (pts.groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("count"))
+                .where(F.col("count") >= F.when(inside, F.lit(1)).otherwise(F.lit(1 << 62))))
     off = F.when(F.col("lattice") == 2, F.lit(0.5)).otherwise(F.lit(0.0))
     return cells.select("lattice", "i", "j",
                         (F.lit(xmin) + F.lit(sx) * (F.col("i") + off)).alias("cx"),

@@ -133,7 +133,8 @@ def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False) ->
 
 def parse_lines(lines: DataFrame, ddl: str) -> DataFrame:
     """JSON text lines -> records with the explicit schema (what ``spark.read.json`` does)."""
-    return lines.select(F.from_json("value", ddl).alias("r"), "line_no").select("r.*", "line_no")
+    from ..sources.files import parse_json_lines
+    return parse_json_lines(lines, ddl, keep=("line_no",)).drop("_bad")
 
 
 def derived_requests(spark: SparkSession, sf_dir: str, company: str, prompt: str = PROMPT) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import norms as NM
 from ..operators import requeue as RQ
 from ..sources import schemas as SC
+from ..sources.files import parse_json_lines
 from . import derive as D
 from .registry import query
 
@@ -74,9 +75,8 @@ def requeue_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + J6: tolerant parse of an error file (blank lines skipped, bad lines set
     aside), then the requests whose id failed, by left semi join."""
     lines = _error_lines(spark, sf_dir).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", SC.OPENAI_RESULT + ", _bad string",
-                                      {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    failed = parsed.where(F.col("r._bad").isNull()).select(F.col("r.custom_id").alias("custom_id"))
+    parsed = parse_json_lines(lines, SC.OPENAI_RESULT)
+    failed = parsed.where(F.col("_bad").isNull()).select("custom_id")
     conv = D.read(spark, sf_dir, "conversations")
     requests = conv.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_"),
                                     F.col("turn").cast("string")).alias("custom_id"), "conv_id", "turn")

@@ -44,20 +44,28 @@ def read_jsonl_strict(spark: SparkSession, paths, ddl: str) -> DataFrame:
     return df.withColumn("line_no", line_order())
 
 
+def parse_json_lines(lines: DataFrame, ddl: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON text lines -> one record per line with the explicit schema, plus ``_bad``
+    holding the text of a malformed line (NULL otherwise).
+
+    The parse sits in a one-element generator: a later filter on the parsed fields
+    cannot be pushed below it, so every line is parsed exactly once (a plain
+    projection would be inlined into the filter and parse the line again)."""
+    parsed = F.from_json("value", ddl + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(F.explode(F.array(parsed)).alias("_r"), *keep).select("_r.*", *keep)
+
+
 def read_jsonl_tolerant(spark: SparkSession, paths, ddl: str) -> tuple[DataFrame, DataFrame]:
     """Blank lines are skipped, bad lines are set aside as rejects (K6).
 
-    Lines are scanned as text and parsed with ``from_json`` (a malformed line parses
-    to NULL), so good rows and rejects come from one scan without caching."""
+    Lines are scanned as text and parsed once; good rows and rejects come from the
+    same scan without caching."""
     lines = (spark.read.text(paths)
                   .select("value", F.col("_metadata.file_path").alias("_file"), line_order().alias("line_no"))
                   .where(F.trim("value") != ""))
-    parsed = lines.select(F.from_json("value", ddl + ", _bad string", {"mode": "PERMISSIVE",
-                                                                        "columnNameOfCorruptRecord": "_bad"}
-                                      ).alias("_r"), "value", "_file", "line_no")
-    ok = F.col("_r").isNotNull() & F.col("_r._bad").isNull()
-    good = parsed.where(ok).select("_r.*", "line_no").drop("_bad")
-    rejects = parsed.where(~ok).select(F.col("_file").alias("file"), F.col("value").alias("line"))
+    parsed = parse_json_lines(lines, ddl, keep=("_file", "line_no"))
+    good = parsed.where(F.col("_bad").isNull()).drop("_bad", "_file")
+    rejects = parsed.where(F.col("_bad").isNotNull()).select(F.col("_file").alias("file"), F.col("_bad").alias("line"))
     return good, rejects
 
 
