@@ -1,7 +1,8 @@
 """Global ordering primitives that never put a whole table (or group) in one task.
 
 ``with_row_number``  dense 1-based numbering in a total order (P2, T4-T6).
-``prefix_sum``       exclusive running sum of a value within groups (Spearman ranks).
+``prefix_sum``       exclusive running sum of a value within groups (Spearman ranks,
+                     transcript offsets).
 
 Both range-partition the data on the ordering keys, sort inside each partition, and
 add a per-partition offset computed from a table with one row per partition (or per
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
@@ -52,63 +52,27 @@ def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols, value_col: str,
                out: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = sum of ``value_col`` over rows of the same group that come
-    strictly earlier in ``order_cols`` order.  ``value_col`` must be integral."""
+    strictly earlier in ``order_cols`` order.
+
+    The data is range-partitioned on (group, order), so every (partition, group)
+    slice is bounded by the partition size.  The running sum inside a slice is a
+    window over that slice only, and the slice's starting offset is the sum of the
+    totals of the same group in earlier partitions -- a table with at most
+    (partitions x groups-per-partition) rows.  Nothing runs in Python.
+    """
     order = _cols(order_cols)
     keys = [F.col(c) for c in group_cols] + order
     n = _n_partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(n, *keys).withColumn("_ps_pid", F.spark_partition_id())
 
-    totals = (ranged.withColumn("_ps_pid", F.spark_partition_id())
-                    .groupBy("_ps_pid", *group_cols)
-                    .agg(F.sum(value_col).cast("long").alias("_ps_tot")))
-    w = Window.partitionBy(*group_cols).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_ps_pid", *group_cols).agg(F.sum(value_col).cast("long").alias("_ps_tot"))
+    before = Window.partitionBy(*group_cols).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_ps_pid", *group_cols,
-                            F.coalesce(F.sum("_ps_tot").over(w), F.lit(0)).cast("long").alias("_ps_off"))
-
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_ps_pid", T.IntegerType()),
-                                                  T.StructField("_ps_local", T.LongType())])
-    names = list(group_cols)
-
-    def local_running(batches):
-        # Rows arrive sorted by (group, order); groups are contiguous in a partition.
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        last_key = None
-        carry = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[value_col].fillna(0).astype("int64").to_numpy()
-            if names:
-                key_frame = pdf[names]
-                new_group = np.ones(len(pdf), dtype=bool)
-                new_group[1:] = (key_frame.iloc[1:].to_numpy() != key_frame.iloc[:-1].to_numpy()).any(axis=1)
-                first_key = tuple(key_frame.iloc[0].tolist())
-                if last_key is not None and first_key == last_key:
-                    new_group[0] = False
-                gid = np.cumsum(new_group)
-                incl = np.cumsum(vals)
-                # subtract the running total reached before each group started
-                start_tot = pd.Series(incl - vals).groupby(gid).transform("first").to_numpy()
-                local = incl - vals - start_tot
-                if not new_group[0]:
-                    local[gid == gid[0]] += carry
-                last_key = tuple(key_frame.iloc[-1].tolist())
-                tail = gid == gid[-1]
-                carry = int(local[tail][-1] + vals[tail][-1])
-            else:
-                incl = np.cumsum(vals) + carry
-                local = incl - vals
-                carry = int(incl[-1])
-            out_df = pdf.copy()
-            out_df["_ps_pid"] = np.int32(pid)
-            out_df["_ps_local"] = local.astype("int64")
-            yield out_df
-
-    locals_ = ranged.mapInPandas(local_running, schema)
-    return (locals_.join(offsets, ["_ps_pid", *group_cols])  # AQE broadcasts the small side
-                   .withColumn(out, F.col("_ps_off") + F.col("_ps_local"))
-                   .drop("_ps_pid", "_ps_local", "_ps_off"))
+                            F.coalesce(F.sum("_ps_tot").over(before), F.lit(0)).cast("long").alias("_ps_off"))
+
+    in_slice = (Window.partitionBy("_ps_pid", *group_cols).orderBy(*order)
+                      .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.withColumn("_ps_local", F.coalesce(F.sum(value_col).over(in_slice), F.lit(0)).cast("long"))
+    return (local.join(offsets, ["_ps_pid", *group_cols])  # AQE broadcasts the small side
+                 .withColumn(out, F.col("_ps_off") + F.col("_ps_local"))
+                 .drop("_ps_pid", "_ps_local", "_ps_off"))
