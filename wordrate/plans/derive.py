@@ -83,9 +83,11 @@ def request_lines(tasks: DataFrame, company: str, prompt: str = PROMPT) -> DataF
                .unionByName(stale.select(F.col("json").alias("value"), (F.col("task_no") * 2).alias("line_no"))))
 
 
-def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False) -> DataFrame:
-    """Result JSON lines in one dialect, derived per task (see module docstring)."""
-    tid = F.concat(F.lit(EXPERIMENT_PATH + "_task_"), F.col("task_no").cast("string"))
+def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False, key_by_word: bool = False) -> DataFrame:
+    """Result JSON lines in one dialect, derived per task (see module docstring).
+    ``key_by_word``: the record id is the word itself (requests built by P10)."""
+    tid = (F.col("word") if key_by_word
+           else F.concat(F.lit(EXPERIMENT_PATH + "_task_"), F.col("task_no").cast("string")))
     lab = F.col("label")
     alts = _alternatives()
     if json_answers:

@@ -155,3 +155,21 @@ def live_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                     X.first_char_int("answer_text").alias(short),
                     r6(S.live_expected_rating("first_top")).alias(short + "_logprob"),
                     F.size(S.numeric_alternatives("first_top")).cast("int").alias("n_numeric"))
+
+
+@query("score_vertex", sql=_E + """
+SELECT row_number() OVER (ORDER BY lower(word), task_no) AS position, word,
+       CASE WHEN label = 2 THEN 5.0 ELSE CAST(label + 3 AS DOUBLE) END AS value
+FROM w""")
+def score_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex flow: results keyed by the word itself (no request join), value by X5
+    from the first candidate's text (X7), rows with candidates only (F7), stable sort by
+    the lower-cased word (T1) materialised as a position."""
+    from ..operators.numbering import with_row_number
+    tasks = D.embedding_tasks(spark, sf_dir)
+    keyed = D.parse_lines(D.result_lines(tasks, "google", key_by_word=True), D.SC.RESULT_UNION)
+    canon = R.canonical_results(keyed).where(F.col("has_candidates"))
+    rated = canon.select(F.col("task_id").alias("word"),
+                         X.number_from_answer("answer_text", "Familiarity").alias("value"), "line_no")
+    return with_row_number(rated, [F.lower("word"), F.col("line_no")], name="position").select(
+        "position", "word", "value")
