@@ -102,3 +102,20 @@ def test_default_role_added_only_where_missing(spark):
     recs = df.select(F.struct("contents").alias("request"))
     roles = [c["role"] for c in Q.add_default_role(recs).first()["request"]["contents"]]
     assert roles == ["model", "user"]
+
+
+def test_rewrite_first_sheet_keeps_other_sheets(spark, tmp_path):
+    xlsx.register(spark)
+    src = tmp_path / "in"
+    src.mkdir()
+    xlsx.write_workbook_sheets(str(src / "norms.xlsx"), [("Sheet1", ["Word", "FAM"], [("cat", "4.5"), ("dog", "3.0")]),
+                                                         ("notes", ["Word", "FAM"], [("n1", "x")])])
+    book = spark.read.format("xlsx").option("sheet", "*").load(str(src))
+    merged = book.where(F.col("sheet") == "Sheet1").withColumn("FAM", F.concat("FAM", F.lit("!"))).drop("sheet")
+    base = str(tmp_path / "out")
+    K.rewrite_first_sheet(book, merged, "Sheet1", base)
+    K.rewrite_first_sheet(book, merged, "Sheet1", base)
+    back = spark.read.format("xlsx").option("sheet", "*").load(base + "/current")
+    rows = sorted((r["sheet"], r["Word"], r["FAM"]) for r in back.collect())
+    assert rows == [("Sheet1", "cat", "4.5!"), ("Sheet1", "dog", "3.0!"), ("notes", "n1", "x")]
+    assert spark.read.format("xlsx").option("sheet", "*").load(base + "/_old").count() == 3

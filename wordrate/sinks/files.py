@@ -48,25 +48,43 @@ def write_splits(split: DataFrame, path: str, fraction: float, seed: int, fmt: s
     split.withColumn("split_name", name).write.mode(mode).format(fmt).partitionBy("split_name").save(path)
 
 
-def write_versioned(df: DataFrame, base: str, fmt: str = "parquet") -> str:
-    """K3: write a new version directory; the previous version stays readable as
-    ``_old`` (nothing is overwritten in place).  Returns the new version path."""
-    spark = df.sparkSession
+def _promote(spark: SparkSession, staged: str, base: str) -> str:
+    """Make ``staged`` the current version of ``base``; the previous one becomes ``_old``."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(base)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    current = jvm.org.apache.hadoop.fs.Path(base + "/current")
-    old = jvm.org.apache.hadoop.fs.Path(base + "/_old")
-    staged = base + "/staged-" + uuid.uuid4().hex
-    df.write.format(fmt).save(staged)
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    current, old = path(base + "/current"), path(base + "/_old")
     if fs.exists(current):
         if fs.exists(old):
             fs.delete(old, True)
         fs.rename(current, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), current)
+    fs.rename(path(staged), current)
     return base + "/current"
 
 
+def write_versioned(df: DataFrame, base: str, fmt: str = "parquet") -> str:
+    """K3: write a new version directory; the previous version stays readable as
+    ``_old`` (nothing is overwritten in place).  Returns the new version path."""
+    staged = base + "/staged-" + uuid.uuid4().hex
+    df.write.format(fmt).save(staged)
+    return _promote(df.sparkSession, staged, base)
+
+
 def write_diagnostics(diag: DataFrame, path: str, mode: str = "error") -> None:
     """K6: warnings / rejects / missing rows as their own output beside the main one."""
     diag.write.mode(mode).json(path)
+
+
+def rewrite_first_sheet(workbook: DataFrame, merged: DataFrame, first_sheet: str, base: str) -> str:
+    """K3: replace the first sheet of a workbook (read with ``sheet="*"``, so it carries
+    a ``sheet`` column) by ``merged`` and keep every other sheet unchanged; the result is
+    written as a new version of ``base`` (previous version kept as ``_old``), one sheet
+    per task.  Returns the new version path."""
+    from ..sources import xlsx
+    xlsx.register(workbook.sparkSession)
+    others = workbook.where(F.col("sheet") != first_sheet)
+    cols = [c for c in merged.columns if c != "sheet"]
+    full = merged.select(*cols, F.lit(first_sheet).alias("sheet")).unionByName(others, allowMissingColumns=True)
+    staged = base + "/staged-" + uuid.uuid4().hex
+    full.repartition("sheet").write.format("xlsx").mode("append").option("sheetColumn", "sheet").save(staged)
+    return _promote(full.sparkSession, staged, base)

@@ -5,8 +5,11 @@ parsed with the standard library only.  Options: ``header`` (default true), ``sh
 (``first`` -- default --, a sheet name, or ``*`` for all sheets, which adds a ``sheet``
 column).  Without a user schema every column is read as a string named by the header.
 
-Writing: every task writes its own workbook (``part-<task>-<id>.xlsx``) with one sheet
-(option ``sheet``, default ``Sheet1``); no data passes through the driver.  Paths are
+Writing: every task writes its own workbook (``part-<task>-<id>.xlsx``), with one sheet
+(option ``sheet``, default ``Sheet1``) or one sheet per value of option ``sheetColumn``
+(repartition by that column first so each sheet is written whole by one task; a sheet
+is bounded by the format's row limit, and longer ones continue on a numbered sheet).
+No data passes through the driver.  Paths are
 plain file-system paths, so on a cluster they must be on storage every executor mounts.
 """
 
@@ -159,16 +162,43 @@ def _col_name(i: int) -> str:
     return s
 
 
-def write_workbook(path: str, sheet: str, columns: list[str], rows) -> int:
+MAX_ROWS = 1_048_576  # rows per worksheet, header included (format limit)
+
+
+def _sheet_xml(columns: list[str], rows) -> tuple[str, int]:
+    parts = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>']
+    parts.append('<row r="1">' + "".join(_cell(f"{_col_name(i)}1", c) for i, c in enumerate(columns)) + "</row>")
     n = 0
+    for r in rows:
+        n += 1
+        k = n + 1
+        parts.append(f'<row r="{k}">' + "".join(_cell(f"{_col_name(i)}{k}", v) for i, v in enumerate(r)) + "</row>")
+    parts.append("</sheetData></worksheet>")
+    return "".join(parts), n
+
+
+def write_workbook_sheets(path: str, sheets: list[tuple[str, list[str], list]]) -> int:
+    """Write a workbook with one worksheet per (name, columns, rows) entry.  A sheet
+    longer than the format allows continues on ``<name>_2``, ``<name>_3``... so no
+    row is dropped."""
+    split: list[tuple[str, list[str], list]] = []
+    for name, cols, rows in sheets:
+        rows = list(rows)
+        step = MAX_ROWS - 1
+        for part, start in enumerate(range(0, max(len(rows), 1), step)):
+            split.append((name if part == 0 else f"{name}_{part + 1}", cols, rows[start:start + step]))
+    total = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        overrides = "".join(
+            f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" '
+            'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+            for i in range(len(split)))
         zf.writestr("[Content_Types].xml",
                     '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
                     '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
                     '<Default Extension="xml" ContentType="application/xml"/>'
                     '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-                    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
-                    '</Types>')
+                    + overrides + '</Types>')
         zf.writestr("_rels/.rels",
                     '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                     '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
@@ -176,20 +206,23 @@ def write_workbook(path: str, sheet: str, columns: list[str], rows) -> int:
         zf.writestr("xl/workbook.xml",
                     '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
                     'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
-                    f'<sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+                    + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>'
+                              for i, (n, _, _) in enumerate(split))
+                    + '</sheets></workbook>')
         zf.writestr("xl/_rels/workbook.xml.rels",
                     '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
-                    '</Relationships>')
-        parts = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>']
-        parts.append('<row r="1">' + "".join(_cell(f"{_col_name(i)}1", c) for i, c in enumerate(columns)) + "</row>")
-        for r in rows:
-            n += 1
-            k = n + 1
-            parts.append(f'<row r="{k}">' + "".join(_cell(f"{_col_name(i)}{k}", v) for i, v in enumerate(r)) + "</row>")
-        parts.append("</sheetData></worksheet>")
-        zf.writestr("xl/worksheets/sheet1.xml", "".join(parts))
-    return n
+                    + "".join(f'<Relationship Id="rId{i + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+                              f'relationships/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(split)))
+                    + '</Relationships>')
+        for i, (_, cols, rows) in enumerate(split):
+            xml, n = _sheet_xml(cols, rows)
+            total += n
+            zf.writestr(f"xl/worksheets/sheet{i + 1}.xml", xml)
+    return total
+
+
+def write_workbook(path: str, sheet: str, columns: list[str], rows) -> int:
+    return write_workbook_sheets(path, [(sheet, columns, list(rows))])
 
 
 class _Done(WriterCommitMessage):
@@ -202,13 +235,27 @@ class XlsxWriter(DataSourceWriter):
         self.options, self.schema = options, schema
 
     def write(self, iterator):
+        """One workbook per task.  With option ``sheetColumn`` the rows are grouped
+        into one worksheet per value of that column (the column itself is not written);
+        otherwise all rows go to the sheet named by option ``sheet``."""
         from pyspark import TaskContext
         folder = self.options["path"]
         os.makedirs(folder, exist_ok=True)
         ctx = TaskContext.get()
         path = os.path.join(folder, f"part-{ctx.partitionId():05d}-{uuid.uuid4().hex}.xlsx")
-        cols = [f.name for f in self.schema.fields]
-        n = write_workbook(path, self.options.get("sheet", "Sheet1"), cols, (tuple(r) for r in iterator))
+        names = [f.name for f in self.schema.fields]
+        by = self.options.get("sheetColumn")
+        if by:
+            idx = names.index(by)
+            cols = [c for c in names if c != by]
+            groups: dict[str, list] = {}
+            for r in iterator:
+                vals = tuple(r)
+                groups.setdefault(str(vals[idx]), []).append(vals[:idx] + vals[idx + 1:])
+            sheets = [(k, cols, v) for k, v in groups.items()]
+        else:
+            sheets = [(self.options.get("sheet", "Sheet1"), names, [tuple(r) for r in iterator])]
+        n = write_workbook_sheets(path, sheets)
         return _Done(path, n)
 
 
