@@ -14,11 +14,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_MODELS: dict[int, Callable] = {}
+_MODELS: dict[tuple[str, str], Callable] = {}
 
 
 def _model(factory: Callable[[], Callable[[list[str]], Sequence]]) -> Callable:
-    key = id(factory)
+    # keyed by name: the factory is unpickled afresh for every task, the worker is reused
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
     if key not in _MODELS:
         _MODELS[key] = factory()
     return _MODELS[key]

@@ -56,6 +56,9 @@ def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[s
     ``drawn``.  Rows whose stratum is NULL belong to no stratum and are dropped (F2)."""
     d = df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
     sizes = {r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unknown = set(sizes) - set(fractions)
+    if unknown:
+        raise ValueError(f"no fraction given for strata {sorted(unknown)}")
     names = sorted(sizes)
     offsets, acc = {}, 0
     for s in names:

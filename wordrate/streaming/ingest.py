@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import responses as R
+from ..session import cut_lineage
 from ..sources import schemas as SC
 
 
 def scored_stream(spark: SparkSession, results_dir: str, requests: DataFrame, mode: str = "weighted_sum",
                   feature_label: str = "AoA", watermark: str | None = None,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
+                  max_files_per_trigger: int | None = None, materialize: bool = True) -> DataFrame:
+    """The static side (requests, last one per task) is deduplicated once and, with
+    ``materialize``, checkpointed to the shared checkpoint folder, so each micro-batch
+    scans the stored table instead of re-running the dedupe aggregation."""
     reader = spark.readStream.schema(SC.RESULT_UNION).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -30,6 +34,8 @@ def scored_stream(spark: SparkSession, results_dir: str, requests: DataFrame, mo
     else:
         canon = canon.dropDuplicates(["run", "task_id"])
     req = R.last_per_key(requests.select("run", "task_id", "prompt", "line_no"))
+    if materialize:
+        req = cut_lineage(req)
     joined = canon.join(req.withColumnRenamed("line_no", "request_line_no"), ["run", "task_id"], "inner")
     return R.score(joined, mode=mode, feature_label=feature_label)
 
