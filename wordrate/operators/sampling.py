@@ -55,10 +55,12 @@ def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[s
     """T6 + U1: per stratum, the first ceil(f * n_stratum) rows of the seeded order are
     ``drawn``.  Rows whose stratum is NULL belong to no stratum and are dropped (F2)."""
     d = df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
+    known = F.col("stratum").isin(list(fractions))
+    stray = d.where(~known).select("stratum").limit(1).collect()
+    if stray:
+        raise ValueError(f"no fraction given for stratum {stray[0]['stratum']!r}")
+    # at most one row per configured stratum reaches the driver
     sizes = {r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
-    unknown = set(sizes) - set(fractions)
-    if unknown:
-        raise ValueError(f"no fraction given for strata {sorted(unknown)}")
     names = sorted(sizes)
     offsets, acc = {}, 0
     for s in names:
