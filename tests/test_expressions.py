@@ -103,7 +103,7 @@ def test_softmax_topk_and_bytes(spark):
 
 
 def test_small_helpers(spark):
-    assert one(spark, W.short_name("t"), "familiarity_english_v01") == "familiarity"
+    assert one(spark, W.short_name("t"), "familiarity_rating_v01") == "familiarity"
     assert one(spark, W.short_name("t"), "a_b") == "a_b"
     assert one(spark, W.first_char_int("t"), "40") == 4
     assert one(spark, W.first_char_int("t"), "x4") is None
@@ -116,7 +116,7 @@ def test_small_helpers(spark):
 
 def test_short_name_rules_agree(spark):
     from wordrate.functions.text import short_name_of
-    for name in ["familiarity_english_v01", "a_b", "ab_c", "nounderscore", "_x"]:
+    for name in ["familiarity_rating_v01", "a_b", "ab_c", "nounderscore", "_x"]:
         assert one(spark, W.short_name("t"), name) == short_name_of(name)
 
 

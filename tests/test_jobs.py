@@ -21,7 +21,7 @@ V02_TOP = [("4", -0.31899556517601013), ("5", -1.3189955949783325), ("3", -5.193
 
 
 def test_prepare_then_score(spark, tmp_path):
-    exp = tmp_path / "familiarity_english"
+    exp = tmp_path / "familiarity"
     (exp / "data").mkdir(parents=True)
     (exp / "prompts").mkdir()
     (exp / "data" / "words.csv").write_bytes("Word,FAM\nabdication,3.2\nabdomen,4.1\ncaf\xe9,5.0\n".encode("latin-1"))

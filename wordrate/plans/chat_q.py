@@ -96,7 +96,7 @@ t AS (SELECT vec_id,
                / sum(exp(lp)) FILTER (WHERE rk <= 5 AND step = 0) AS ws,
              sum(length(CAST(idx AS VARCHAR))) FILTER (WHERE rk = 1) AS n_bytes
       FROM r GROUP BY vec_id)
-SELECT 'familiarity_english_task_' || CAST(vec_id + 1 AS VARCHAR) AS task_id, answer_text,
+SELECT 'famexp_task_' || CAST(vec_id + 1 AS VARCHAR) AS task_id, answer_text,
        4 AS n_steps, round(logprob, 6) AS logprob, round(ws, 6) AS weighted_sum, CAST(n_bytes AS BIGINT) AS n_bytes
 FROM t""")
 def local_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from ..sources import schemas as SC
 PROMPT = 'How familiar is the word "{Word}"? Answer with a number from 1 to 7.'
 JSON_PROMPT = ('Rate the familiarity of "{Word}" from 1 to 7. Answer as JSON: '
                '{"Word": "<word>", "Familiarity": <rating>}')
-EXPERIMENT_PATH = "familiarity_english"
+EXPERIMENT_PATH = "famexp"
 FULL_WIDTH_FOUR = "４"
 # ---------------------------------------------------------------------------------
 

@@ -27,8 +27,8 @@ def _requests(spark: SparkSession, sf_dir: str, company: str) -> DataFrame:
 
 
 @query("request_openai", headline=True, sql=_NUMBERED + """
-SELECT task_no, 'familiarity_english_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
-       CAST(json_object('custom_id', 'familiarity_english_task_' || CAST(task_no AS VARCHAR),
+SELECT task_no, 'famexp_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
+       CAST(json_object('custom_id', 'famexp_task_' || CAST(task_no AS VARCHAR),
          'method', 'POST', 'url', '/v1/chat/completions',
          'body', json_object('model', 'gpt-4o-mini-2024-07-18', 'temperature', 0.0::DOUBLE,
             'logprobs', true, 'top_logprobs', 5, 'response_format', json_object('type', 'text'),
@@ -40,8 +40,8 @@ def request_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("request_google", sql=_NUMBERED + """
-SELECT task_no, 'familiarity_english_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
-       CAST(json_object('key', 'familiarity_english_task_' || CAST(task_no AS VARCHAR),
+SELECT task_no, 'famexp_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
+       CAST(json_object('key', 'famexp_task_' || CAST(task_no AS VARCHAR),
          'request', json_object('model', 'models/gemini-2.0-flash',
             'contents', [json_object('parts', [json_object('text', prompt)])],
             'generation_config', json_object('temperature', 0.0::DOUBLE, 'response_logprobs', true,
@@ -53,8 +53,8 @@ def request_google(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("request_local", sql=_NUMBERED + """
-SELECT task_no, 'familiarity_english_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
-       CAST(json_object('id', 'familiarity_english_task_' || CAST(task_no AS VARCHAR), 'prompt', prompt,
+SELECT task_no, 'famexp_task_' || CAST(task_no AS VARCHAR) AS task_id, prompt,
+       CAST(json_object('id', 'famexp_task_' || CAST(task_no AS VARCHAR), 'prompt', prompt,
          'temperature', 0.0::DOUBLE, 'response_logprobs', true, 'logprobs', 5,
          'model', 'llama3.1-8B-Instruct') AS VARCHAR) AS json
 FROM w""")
@@ -93,17 +93,17 @@ def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fixed values: a catalogue with three experiments over one word table ---------
 CATALOGUE_YAML = """
 experiments:
-  familiarity_english_v02_standard_prompt:
+  fam_standard_openai:
     dataset_column: "p_name"
     prompt_path: "standard.txt"
     model_name: "gpt-4o-mini-2024-07-18"
     company: "OpenAI"
-  familiarity_english_std_prpt_gemini-2.0-flash:
+  fam_standard_gemini:
     dataset_column: "p_name"
     prompt_path: "standard.txt"
     model_name: "gemini-2.0-flash"
     company: "Google"
-  familiarity_english_v05_no_quotation:
+  fam_unquoted_local:
     dataset_column: "p_name"
     prompt_path: "unquoted.txt"
     model_name: "llama3.1-8B-Instruct"
@@ -117,13 +117,13 @@ CATALOGUE_PROMPTS = {"standard.txt": 'How familiar is the word "{Word}"? Answer
 @query("experiment_catalogue", sql="""
 WITH w AS (SELECT row_number() OVER (ORDER BY p_partkey) AS task_no, p_name FROM part),
 e AS (SELECT * FROM (VALUES
-  ('familiarity_english_v02_standard_prompt', 'OpenAI',
+  ('fam_standard_openai', 'OpenAI',
    'How familiar is the word "{Word}"? Answer with a number from 1 to 7.', '{Word}'),
-  ('familiarity_english_std_prpt_gemini-2.0-flash', 'Google',
+  ('fam_standard_gemini', 'Google',
    'How familiar is the word "{Word}"? Answer with a number from 1 to 7.', '{Word}'),
-  ('familiarity_english_v05_no_quotation', 'Local',
+  ('fam_unquoted_local', 'Local',
    'How familiar is the word {p_name}? Answer with a number from 1 to 7.', '{p_name}')) AS t(run, company, tmpl, k))
-SELECT e.run AS run, w.task_no AS task_no, 'familiarity_english_task_' || CAST(w.task_no AS VARCHAR) AS task_id,
+SELECT e.run AS run, w.task_no AS task_no, 'famexp_task_' || CAST(w.task_no AS VARCHAR) AS task_id,
        replace(e.tmpl, e.k, w.p_name) AS prompt
 FROM w CROSS JOIN e""")
 def experiment_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

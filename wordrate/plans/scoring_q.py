@@ -19,7 +19,7 @@ WITH t AS (
          CAST(embedding[5] AS DOUBLE) AS e5
   FROM embeddings),
 w AS (
-  SELECT *, 'familiarity_english_task_' || CAST(task_no AS VARCHAR) AS task_id,
+  SELECT *, 'famexp_task_' || CAST(task_no AS VARCHAR) AS task_id,
          -abs(e1) AS lp1,
          ((label + 3) * exp(-abs(e1)) + (label + 4) * exp(-1 - abs(e2)) + (label + 2) * exp(-2 - abs(e3))
           + CASE WHEN e4 > 0 THEN 0 ELSE (label + 5) * exp(-3 - abs(e4)) END
@@ -131,7 +131,7 @@ def last_request_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("last_linenumber").cast("int").alias("last_linenumber"))
 
 
-RUN_NAME = "familiarity_english_live_gemini"
+RUN_NAME = "familiarity_live_gemini"
 
 
 @query("live_results", sql=_E + """
