@@ -37,15 +37,21 @@ def _java_quote(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def _quoted_run(open_q: str, close_q: str) -> str:
+    # (?d): only "\n" ends a line for ".", as in Python's re (Java would also stop at
+    # "\r", NEL and the Unicode line/paragraph separators)
+    return "(?d)" + _java_quote(open_q) + "(.*?)" + _java_quote(close_q)
+
+
 def first_quoted(text, open_q: str = '"', close_q: str = '"') -> Column:
     """First non-greedy quoted run on one line; NULL when there is none."""
-    pat = _java_quote(open_q) + "(.*?)" + _java_quote(close_q)
+    pat = _quoted_run(open_q, close_q)
     return F.try_element_at(F.regexp_extract_all(_col(text), F.lit(pat), 1), F.lit(1))
 
 
 def last_quoted(text, open_q: str = '"', close_q: str = '"') -> Column:
     """Last quoted run; NULL when there is none or it is empty."""
-    pat = _java_quote(open_q) + "(.*?)" + _java_quote(close_q)
+    pat = _quoted_run(open_q, close_q)
     return F.nullif(F.try_element_at(F.regexp_extract_all(_col(text), F.lit(pat), 1), F.lit(-1)), F.lit(""))
 
 
