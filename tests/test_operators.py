@@ -106,3 +106,15 @@ def test_combine_norms_suffix_and_missing(spark):
     assert rows[("a", 1.0)]["rating_new"] == 5.0 and rows[("a", 1.0)]["FAM_y"] == "x"
     assert rows[(None, 3.0)]["rating_new"] == 6.0             # NULL keys match (pandas rule)
     assert {r["Word"] for r in NM.missing_rows(merged, new).collect()} == {"b"}
+
+
+def test_spearman_fast_path_for_complete_columns(spark):
+    rnd = random.Random(5)
+    rows = [tuple(float(rnd.randint(0, 6)) for _ in range(5)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in AG.spearman_matrix(df, list("abcde"), 4).collect()}
+    for x in range(5):
+        for y in range(5):
+            ra = _avg_ranks([r[x] for r in rows])
+            rb = _avg_ranks([r[y] for r in rows])
+            assert got[("abcde"[x], "abcde"[y])] == pytest.approx(_pearson(ra, rb), abs=1e-9)

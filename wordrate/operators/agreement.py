@@ -91,22 +91,71 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long_form(df.sparkSession, columns, pairs, per_pair)
 
 
+def _centred_r(ca: str, cb: str, w: str | None = None) -> tuple[Column, Column]:
+    """Pearson of ranks already centred on their exact mean (weights optional)."""
+    wt = F.col(w) if w else F.lit(1)
+    sab = F.sum(wt * F.col(ca) * F.col(cb))
+    saa = F.sum(wt * F.col(ca) * F.col(ca))
+    sbb = F.sum(wt * F.col(cb) * F.col(cb))
+    return (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum(wt).cast("long").alias("n")
+
+
+def _column_ranks(df: DataFrame, columns: Sequence[str], num_partitions: int | None) -> DataFrame:
+    """Centred average rank of every value of every listed column over all rows
+    (the columns hold no missing values): (col, v, c)."""
+    cols = [F.col(c).cast("double") for c in columns]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("col"), c.alias("v"))
+                                         for k, c in enumerate(cols)])).alias("s")).select("s.*")
+    counts = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = prefix_sum(counts, ["col"], ["v"], "cnt", out="before", num_partitions=num_partitions)
+    n_col = counts.groupBy("col").agg(F.sum("cnt").alias("n_col"))
+    return ranked.join(n_col, "col").select(
+        "col", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_col") + 1) / 2.0).alias("c"))
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Pearson of average ranks computed within each pair's complete rows.
 
-    Off-diagonal pairs: rows are stacked once per pair (NULL pairs dropped), identical
-    (pair, a, b) rows are combined map-side, values are counted per (pair, side,
-    value), and the rank of a value is ``rows before it + (count+1)/2`` -- an exclusive
-    prefix sum over the counts in value order, done by range partitioning rather than
-    a window that would hold a whole pair in one task.  Diagonal cells need no ranks:
-    1 when the column has two distinct values, else missing.
+    Pairs of columns without missing values (found by one counting pass) share
+    column-wide ranks: each such column's distinct values are counted, ranked with a
+    range-partitioned prefix sum, and joined back to the rows once per column (AQE
+    broadcasts the rank table of a low-cardinality column); one pass then aggregates
+    every such pair.  Pairs that involve missing values are ranked within the pair:
+    rows are stacked per pair, identical (pair, a, b) rows combined map-side, values
+    counted per (pair, side, value) and ranked the same way, then joined back.  No
+    window ever holds a whole column or pair in one task.  Diagonal cells need no
+    ranks: 1 when the column has two distinct values, else missing.
     """
     cols = [F.col(c).cast("double") for c in columns]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
     spark = df.sparkSession
+    # one pass gives, per column, the missing count and the diagonal cell (constant size)
+    facts = df.agg(*[x for k, (c, o) in enumerate(zip(cols, ok)) for x in (
+        F.count_if(~o).alias(f"m{k}"), F.count_if(o).alias(f"n{k}"),
+        (F.min(F.when(o, c)) < F.max(F.when(o, c))).alias(f"v{k}"))]).first()
+    complete = [facts[f"m{k}"] == 0 for k in range(len(columns))]
+    all_pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    fast = [(i, j) for i, j in all_pairs if complete[i] and complete[j]]
+    # Column-wide ranking costs one join per column; it pays off once there are at
+    # least two complete pairs per complete column (five or more complete columns).
+    if len(fast) < 2 * len({k for p in fast for k in p}):
+        fast = []
+    slow = [p for p in all_pairs if p not in fast]
     parts = []
-    if pairs:
-        stacked = _stack_pairs(df, columns, pairs)
+    if fast:
+        used = sorted({k for p in fast for k in p})
+        ranks = _column_ranks(df, [columns[k] for k in used], num_partitions)
+        rows = df.select(*[cols[k].alias(f"x{k}") for k in used])
+        for pos, k in enumerate(used):
+            rk = ranks.where(F.col("col") == pos).select(F.col("v").alias(f"x{k}"), F.col("c").alias(f"c{k}"))
+            rows = rows.join(rk, f"x{k}")
+        stacked = rows.select(F.explode(F.array(*[
+            F.struct(F.lit(p).alias("pair"), F.col(f"c{i}").alias("ca"), F.col(f"c{j}").alias("cb"))
+            for p, (i, j) in enumerate(fast)])).alias("s")).select("s.*")
+        per_pair = stacked.groupBy("pair").agg(*_centred_r("ca", "cb"))
+        parts.append(_long_form(spark, columns, fast, per_pair))
+    if slow:
+        stacked = _stack_pairs(df, columns, slow)
         combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
         counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
                   .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
@@ -122,19 +171,10 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
         rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
         # Both sides grow with the number of distinct values: always a shuffled join.
         with_ranks = combos.join(ra.hint("merge"), ["pair", "a"]).join(rb.hint("merge"), ["pair", "b"])
-        sab = F.sum(F.col("w") * F.col("ca") * F.col("cb"))
-        saa = F.sum(F.col("w") * F.col("ca") * F.col("ca"))
-        sbb = F.sum(F.col("w") * F.col("cb") * F.col("cb"))
-        per_pair = with_ranks.groupBy("pair").agg(
-            (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum("w").alias("n"))
-        parts.append(_long_form(spark, columns, pairs, per_pair))
-    ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
-    diag = df.agg(*[F.struct(F.lit(name).alias("col_x"), F.lit(name).alias("col_y"),
-                             F.when(F.min(F.when(o, c)) < F.max(F.when(o, c)), F.lit(1.0)).alias("r"),
-                             F.count_if(o).cast("long").alias("n")).alias(f"d{k}")
-                    for k, (name, c, o) in enumerate(zip(columns, cols, ok))])
-    parts.append(diag.select(F.explode(F.array(*[F.col(f"d{k}") for k in range(len(columns))])).alias("d"))
-                 .select("d.*"))
+        per_pair = with_ranks.groupBy("pair").agg(*_centred_r("ca", "cb", "w"))
+        parts.append(_long_form(spark, columns, slow, per_pair))
+    diag = [(name, name, 1.0 if facts[f"v{k}"] else None, int(facts[f"n{k}"])) for k, name in enumerate(columns)]
+    parts.append(spark.createDataFrame(diag, "col_x string, col_y string, r double, n long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
