@@ -4,10 +4,11 @@
 ``prefix_sum``       exclusive running sum of a value within groups (Spearman ranks,
                      transcript offsets).
 
-Both range-partition the data on the ordering keys, sort inside each partition, and
-add a per-partition offset computed from a table with one row per partition (or per
-partition and group), which is tiny and safe to broadcast.  The ordering keys must be
-unique (add a tie-breaker) so a recomputed partition yields the same numbers.
+Both range-partition the data on the ordering keys, number or sum inside each
+partition (a sort, or a window over one partition-and-group slice), and add an offset
+from a table with one row per partition (or per partition and group), which is tiny.
+The ordering keys must be unique (add a tie-breaker) so a recomputed partition yields
+the same numbers.
 """
 
 from __future__ import annotations
