@@ -119,3 +119,16 @@ def test_rewrite_first_sheet_keeps_other_sheets(spark, tmp_path):
     rows = sorted((r["sheet"], r["Word"], r["FAM"]) for r in back.collect())
     assert rows == [("Sheet1", "cat", "4.5!"), ("Sheet1", "dog", "3.0!"), ("notes", "n1", "x")]
     assert spark.read.format("xlsx").option("sheet", "*").load(base + "/_old").count() == 3
+
+
+def test_utf8_csv_and_local_request_ft_dir(spark, tmp_path):
+    p = tmp_path / "w.csv"
+    p.write_text("word\nnaïve\n", encoding="utf-8")
+    assert S.read_csv_utf8(spark, str(p)).first()["word"] == "naïve"
+    words = spark.createDataFrame([(1, "cat")], "task_no long, word string")
+    plain = Q.build_requests(words, Q.Experiment("r", "exp", '"{Word}"', company="Local", model_name="m"))
+    tuned = Q.build_requests(words, Q.Experiment("r", "exp", '"{Word}"', company="HuggingFace", model_name="m",
+                                                 ft_dir="/models/ft1"))
+    assert "ft_dir" not in plain.first()["json"]
+    assert '"ft_dir":"/models/ft1"' in tuned.first()["json"]
+    assert '"prompt":"\\"cat\\""' in tuned.first()["json"]

@@ -118,3 +118,27 @@ def test_spearman_fast_path_for_complete_columns(spark):
             ra = _avg_ranks([r[x] for r in rows])
             rb = _avg_ranks([r[y] for r in rows])
             assert got[("abcde"[x], "abcde"[y])] == pytest.approx(_pearson(ra, rb), abs=1e-9)
+
+
+def test_sample_size_rules_and_unknown_mode(spark):
+    assert SP.sample_size(5, 0.5, "round") == 2          # Python round: half to even
+    assert SP.sample_size(7, 0.5, "round") == 4
+    assert SP.sample_size(10, 0.41060, "ceil") == 5
+    from wordrate.operators import responses as R
+    df = spark.createDataFrame([("", "t", "p", "x", 1, None, None, None)],
+                               "run string, task_id string, dialect string, answer_text string, n_steps int, "
+                               "first_logprob double, first_top array<struct<token:string,logprob:double>>, "
+                               "prompt string")
+    try:
+        R.score(df, mode="num")
+        raise AssertionError("expected ValueError")
+    except ValueError:
+        pass
+
+
+def test_combine_norms_null_keys_drop(spark):
+    left = spark.createDataFrame([("a", 1.0), (None, 2.0)], "k string, x double")
+    right = spark.createDataFrame([("a", 5.0), (None, 6.0)], "k2 string, y double")
+    merged, _ = NM.combine_norms(left, right, "k", "k2", null_keys="drop")
+    rows = {r["k"]: r["y_new"] for r in merged.collect()}
+    assert rows == {"a": 5.0, None: None}
