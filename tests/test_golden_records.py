@@ -73,3 +73,9 @@ def test_local_dialect_json_mode(spark):
     row = R.score(joined, "json", "Familiarity").first()
     assert row["dialect"] == "local"
     assert row["value"] == 5.0 and row["word_mismatch"] is False
+
+
+def test_google_prompt_skips_contents_without_parts(spark):
+    reqs = [{"key": "g", "request": {"contents": [{"role": "user"}, {"parts": [{"text": 'A "x"'}, {"text": "B"}]}]}}]
+    got = R.canonical_requests(lines_df(spark, reqs, SC.REQUEST_UNION)).first()["prompt"]
+    assert got == 'A "x"\nB'

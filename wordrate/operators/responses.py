@@ -46,8 +46,12 @@ def canonical_requests(df: DataFrame) -> DataFrame:
     """Request records of any dialect -> (run, task_id, dialect, prompt, line_no, word?)."""
     d = dialect_of(df)
     prompt_openai = F.try_element_at(F.col("body.messages"), F.lit(1))["content"] if _has(df, "body") else F.lit(None)
+    # All string parts of all contents, newline-joined; a content without parts
+    # adds nothing (flatten would otherwise turn the whole prompt NULL)
+    no_text = F.array().cast("array<string>")
     prompt_google = (F.nullif(F.array_join(F.flatten(F.transform(
-        F.col("request.contents"), lambda c: F.transform(c["parts"], lambda p: p["text"]))), "\n"), F.lit(""))
+        F.col("request.contents"),
+        lambda c: F.coalesce(F.transform(c["parts"], lambda p: p["text"]), no_text))), "\n"), F.lit(""))
         if _has(df, "request") else F.lit(None))
     prompt_local = F.col("prompt") if _has(df, "prompt") else F.lit(None)
     out = df.select(
