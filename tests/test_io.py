@@ -111,6 +111,7 @@ def test_rewrite_first_sheet_keeps_other_sheets(spark, tmp_path):
     xlsx.write_workbook_sheets(str(src / "norms.xlsx"), [("Sheet1", ["Word", "FAM"], [("cat", "4.5"), ("dog", "3.0")]),
                                                          ("notes", ["Word", "FAM"], [("n1", "x")])])
     book = spark.read.format("xlsx").option("sheet", "*").load(str(src))
+    assert xlsx.sheet_names(str(src / "norms.xlsx")) == ["Sheet1", "notes"]
     merged = book.where(F.col("sheet") == "Sheet1").withColumn("FAM", F.concat("FAM", F.lit("!"))).drop("sheet")
     base = str(tmp_path / "out")
     K.rewrite_first_sheet(book, merged, "Sheet1", base)

@@ -286,3 +286,10 @@ class XlsxDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxDataSource)
+
+
+def sheet_names(path: str) -> list[str]:
+    """Sheet names of one workbook in workbook order (the first one is the sheet
+    the merge rewrites).  Reads only the workbook's sheet list."""
+    with zipfile.ZipFile(_files(path)[0]) as zf:
+        return [name for name, _ in _sheets(zf)]
