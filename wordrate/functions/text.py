@@ -22,8 +22,13 @@ LOCALES = {
     "default": {"open": '"', "close": '"', "word_label": "Word", "feature_label": "AoA"},
     "german": {"open": "„", "close": "”", "word_label": "Wort", "feature_label": "Erwerbsalter"},
 }
-# Signed number forms searched anywhere in an answer (fraction with leading dot,
-# number with trailing dot, integer), in this order of preference.
+# Answer patterns ({label} is the JSON label, quoted literally):
+#   value of the label in quotes, value of the label bare, the word of the word label,
+#   and signed number forms searched anywhere (fraction with leading dot, number with
+#   trailing dot, integer), in this order of preference.
+LABEL_QUOTED_VALUE = r'"{label}"\s*:\s*"([0-9]*\.?[0-9]+)"'
+LABEL_BARE_VALUE = r'"{label}"\s*:\s*([0-9]*\.?[0-9]+)'
+LABEL_WORD = r'"{label}"\s*:\s*"([^"]+)"'
 NUMBER_ANYWHERE = r"[-+]?\d*\.\d+|[-+]?\d+\.\d*|[-+]?\d+"
 # --------------------------------------------------------------------------------
 
@@ -57,7 +62,7 @@ def last_quoted(text, open_q: str = '"', close_q: str = '"') -> Column:
 
 def word_from_answer(text, label: str = "Word") -> Column:
     """Value of ``"<label>" : "<non-empty>"`` in a JSON-ish answer, else NULL."""
-    pat = "(?U)\"" + _java_quote(label) + "\"\\s*:\\s*\"([^\"]+)\""
+    pat = "(?U)" + LABEL_WORD.replace('"{label}"', '"' + _java_quote(label) + '"')
     return F.nullif(F.regexp_extract(_col(text), pat, 1), F.lit(""))
 
 
@@ -65,9 +70,9 @@ def number_from_answer(text, label: str) -> Column:
     """Three tiers -- quoted value of the label, bare value of the label, else the
     last signed number anywhere in the text; NULL if none.  Result is double."""
     t = F.coalesce(_col(text), F.lit(""))
-    q = _java_quote(label)
-    tier1 = F.nullif(F.regexp_extract(t, "(?U)\"" + q + "\"\\s*:\\s*\"([0-9]*\\.?[0-9]+)\"", 1), F.lit(""))
-    tier2 = F.nullif(F.regexp_extract(t, "(?U)\"" + q + "\"\\s*:\\s*([0-9]*\\.?[0-9]+)", 1), F.lit(""))
+    q = '"' + _java_quote(label) + '"'
+    tier1 = F.nullif(F.regexp_extract(t, "(?U)" + LABEL_QUOTED_VALUE.replace('"{label}"', q), 1), F.lit(""))
+    tier2 = F.nullif(F.regexp_extract(t, "(?U)" + LABEL_BARE_VALUE.replace('"{label}"', q), 1), F.lit(""))
     tier3 = F.try_element_at(F.regexp_extract_all(t, F.lit("(?U)" + NUMBER_ANYWHERE), 0), F.lit(-1))
     raw = F.coalesce(tier1, tier2, tier3)
     return ascii_digits(raw).try_cast("double")
