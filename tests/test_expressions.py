@@ -124,3 +124,10 @@ def test_numeric_alternatives_filter(spark):
     df = spark.createDataFrame([([("4", -0.1), (" five", -2.0), ("４", -3.0)],)],
                                "a array<struct<token:string,logprob:double>>")
     assert [t["token"] for t in df.select(W.numeric_alternatives("a")).first()[0]] == ["4", "４"]
+
+
+def test_answer_text_matches_python_str_round(spark):
+    vals = [5.0, 5.104, 2.675, 0.125, 12345678.25, 12345678.9, 12345678.0, -3.456, 0.0001, 99999999.99, 4.456]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(W.answer_text("x")).collect()]
+    assert got == [str(round(v, 2)) for v in vals]

@@ -63,5 +63,12 @@ def abs_diff(a, b) -> Column:
 
 
 def answer_text(x, digits: int = 2) -> Column:
-    """``str(round(x, 2))`` -- rounded value rendered as text ('5.0', '5.1')."""
-    return rint_round(x, digits).cast("string")
+    """``str(round(x, 2))`` -- rounded value rendered as text ('5.0', '5.1').
+
+    Spark writes doubles of 1e7 and above in exponent form ('1.2E7') where Python
+    writes all digits; that range is formatted with the decimals and one trailing zero
+    dropped, which is Python's shortest form for a value with at most two decimals."""
+    r = rint_round(x, digits)
+    long_form = F.regexp_replace(F.format_string(f"%.{digits}f", r), "(\\.\\d*?)0$", "$1")
+    wide = (F.abs(r) >= F.lit(1e7)) & (F.abs(r) < F.lit(1e16))
+    return F.when(wide, long_form).otherwise(r.cast("string"))
