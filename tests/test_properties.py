@@ -122,3 +122,12 @@ def test_failure_rows_give_nulls_not_errors(spark):
     scored = {r["task_id"]: r for r in R.score(R.join_results(
         R.canonical_results(parsed.where(F.col("_bad").isNull()).drop("_bad")), reqs)).collect()}
     assert scored["t1"]["weighted_sum"] is None and scored["t3"]["value"] == 4.0
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.integers(0, 100000).map(lambda k: k / 1000), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
+def test_python_round_matches_python(spark, values):
+    from wordrate.functions.numeric import python_round
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(python_round("x", 2)).collect()]
+    assert got == [round(v, 2) for v in values]

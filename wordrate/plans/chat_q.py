@@ -24,10 +24,16 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REC_SQL = """
-WITH r AS (
+WITH x AS (
+  SELECT doc_id, lang, text, n_chars / 997.0 AS v FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+p AS (SELECT *, v * 100.0 AS p, floor(v * 100.0) AS k, v * 134217729.0 AS c FROM x),
+e AS (SELECT *, (((c - (c - v)) * 100.0 - p) + (v - (c - (c - v))) * 100.0) AS err FROM p),
+r AS (
   SELECT doc_id, 'Rate the familiarity of this ' || lang || ' text from 1 to 7: ' || text AS u,
-         'Familiarity: ' || CAST(round_even(n_chars / 997.0 * 100, 0) / 100 AS VARCHAR) AS a
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+         'Familiarity: ' || CAST((CASE WHEN p - k = 0.5 AND err < 0 THEN k
+                                       WHEN p - k = 0.5 AND err > 0 THEN k + 1
+                                       ELSE round_even(p, 0) END) / 100.0 AS VARCHAR) AS a
+  FROM e)
 """
 
 
