@@ -131,3 +131,11 @@ def test_python_round_matches_python(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r[0] for r in df.select(python_round("x", 2)).collect()]
     assert got == [round(v, 2) for v in values]
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.integers(-1000, 1000).map(lambda k: k / 1000), st.floats(-1, 1)), min_size=1, max_size=60))
+def test_cell_label_matches_python_format(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(W.cell_label("x")).collect()]
+    assert got == [f"{v:.2f}" for v in values]
