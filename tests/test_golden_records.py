@@ -79,3 +79,51 @@ def test_google_prompt_skips_contents_without_parts(spark):
     reqs = [{"key": "g", "request": {"contents": [{"role": "user"}, {"parts": [{"text": 'A "x"'}, {"text": "B"}]}]}}]
     got = R.canonical_requests(lines_df(spark, reqs, SC.REQUEST_UNION)).first()["prompt"]
     assert got == 'A "x"\nB'
+
+
+V01_TOP = [("5", -1.1236724853515625), ("4", -1.2486724853515625), ("6", -1.8736724853515625),
+           ("I", -1.9986724853515625), ("As", -2.8736724853515625)]
+V08_TOP = [("40", -0.5899749398231506), ("50", -0.8399749398231506), ("45", -4.714974880218506),
+           ("30", -5.464974880218506), ("60", -7.839974880218506)]
+V09_TOP = [("4", -0.5790143609046936), ("5", -0.8290143609046936), ("3", -5.829014301300049),
+           ("6", -8.954014778137207), ("４", -18.57901382446289)]
+
+# (name, prompt, answer, steps, mode, expected: first word, last word, value, weighted_sum, logprob)
+GOLDEN_ROWS = [
+    ("v01_task1", "Rate the familiarity of abdication from 1 to 7.", "5",
+     [("5", -1.1236724853515625, V01_TOP)], "weighted_sum",
+     (None, None, 5.0, 4.825836887095913, -1.1236724853515625)),
+    ("v01_task2", "Rate the familiarity of abdomen from 1 to 7.",
+     "I would rate the familiarity with the abdomen as a 6.",
+     [("I", -0.2, V01_TOP), (" would", -0.1, [(" would", -0.1)])], "json",
+     (None, None, 6.0, None, None)),
+    ("v08_task1", 'Rate "abdication" from 0 to 100.', "40",
+     [("40", -0.5899749398231506, V08_TOP)], "weighted_sum",
+     ("abdication", "abdication", 40.0, 44.32908363413877, -0.5899749398231506)),
+    ("v09_task1", 'Example: "imam" gets 3. Now rate "abdication".', "4",
+     [("4", -0.5790143609046936, V09_TOP)], "weighted_sum",
+     ("imam", "abdication", 4.0, 4.433796753395972, -0.5790143609046936)),
+    ("v04_task1", 'Rate "abdication". Answer as JSON with keys "Word" and "Familiarity".',
+     '{"Word": "abdication", "Familiarity": 4}', [("{", -0.01, [("{", -0.01)])], "json",
+     ("abdication", "Familiarity", 4.0, None, None)),
+]
+
+
+@pytest.mark.parametrize("row", GOLDEN_ROWS, ids=[r[0] for r in GOLDEN_ROWS])
+def test_fixture_golden_rows(spark, row):
+    name, prompt, answer, steps, mode, (first, last, value, ws, lp) = row
+    req = [{"custom_id": name, "body": {"messages": [{"role": "user", "content": prompt}]}}]
+    res = [chat_result(name, answer, steps)]
+    joined = R.join_results(R.canonical_results(lines_df(spark, res, SC.RESULT_UNION)),
+                            R.canonical_requests(lines_df(spark, req, SC.REQUEST_UNION)))
+    out = R.score(joined, mode, "Familiarity").first()
+    out_last = R.score(joined, mode, "Familiarity", word_rule="last").first()
+    assert (out["word"], out_last["word"]) == (first, last)
+    from wordrate import functions as W
+    x5 = joined.select(W.number_from_answer("answer_text", "Familiarity")).first()[0]
+    assert x5 == value
+    if ws is None:
+        assert out["weighted_sum"] is None
+    else:
+        assert out["weighted_sum"] == pytest.approx(ws, rel=1e-15)
+    assert out["logprob"] == lp
