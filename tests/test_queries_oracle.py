@@ -13,7 +13,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def _norm(v):
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else round(v, 6)
+        if math.isnan(v):
+            return "NaN"
+        return "-0.0" if v == 0 and math.copysign(1, v) < 0 else round(v, 6)
     return v
 
 

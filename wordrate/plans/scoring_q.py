@@ -173,3 +173,49 @@ def score_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
                          X.number_from_answer("answer_text", "Familiarity").alias("value"), "line_no")
     return with_row_number(rated, [F.lower("word"), F.col("line_no")], name="position").select(
         "position", "word", "value")
+
+
+_LI_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("score_lineitem", headline=True, sql="""
+WITH n AS (
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                     l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS task_no,
+         'p' || CAST(l_partkey AS VARCHAR) AS word, CAST(l_quantity AS INTEGER) AS q, l_discount AS d, l_tax AS t
+  FROM lineitem)
+SELECT 'famexp_task_' || CAST(task_no AS VARCHAR) AS task_id, word,
+       CAST(q % 7 + 1 AS DOUBLE) AS value,
+       round(0.0 - d, 6) AS logprob,
+       round(((q % 7 + 1) * exp(-d) + ((q + 3) % 7 + 1) * exp(-1 - t)) / (exp(-d) + exp(-1 - t)), 6) AS weighted_sum
+FROM n""")
+def score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + X11 at table scale: every line item is one task -- numbered (P2), rendered
+    as a chat request (P8) and as a one-token chat answer whose alternatives come from
+    quantity, discount and tax -- and both sides go through JSON, the canonical
+    relation, the last-wins join and the scoring projection."""
+    from ..operators import requests as Q
+    from ..operators.numbering import with_row_number
+    li = D.read(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    numbered = with_row_number(li, _LI_ORDER, name="task_no").select(
+        "task_no", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("word"),
+        q.alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    requests = Q.build_requests(numbered.select("task_no", "word"), D.experiment("OpenAI"))
+    req_lines = requests.select(F.col("json").alias("value"), F.col("task_no").alias("line_no"))
+    tok = [(F.col("q") % 7 + 1).cast("string"), ((F.col("q") + 3) % 7 + 1).cast("string"), F.lit("x")]
+    lps = [F.lit(0.0) - F.col("d"), F.lit(-1.0) - F.col("t"), F.lit(-2.0)]
+    top = F.array(*[F.struct(t.alias("token"), lp.alias("logprob")) for t, lp in zip(tok, lps)])
+    step = F.struct(tok[0].alias("token"), lps[0].alias("logprob"), top.alias("top_logprobs"))
+    rec = F.struct(F.concat(F.lit(D.EXPERIMENT_PATH + "_task_"), F.col("task_no").cast("string")).alias("custom_id"),
+                   F.struct(F.struct(F.array(F.struct(
+                       F.struct(tok[0].alias("content")).alias("message"),
+                       F.struct(F.array(step).alias("content")).alias("logprobs"))).alias("choices")).alias("body")
+                            ).alias("response"))
+    res_lines = numbered.select(F.to_json(rec).alias("value"), F.col("task_no").alias("line_no"))
+    reqs = R.canonical_requests(D.parse_lines(req_lines, D.SC.REQUEST_UNION))
+    res = R.canonical_results(D.parse_lines(res_lines, D.SC.RESULT_UNION))
+    s = R.score(R.join_results(res, reqs), "weighted_sum", "Familiarity")
+    return s.select("task_id", "word", "value", r6("logprob").alias("logprob"),
+                    r6("weighted_sum").alias("weighted_sum"))
