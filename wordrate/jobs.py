@@ -62,10 +62,12 @@ def score_results(spark: SparkSession, request_paths, result_paths, out_dir: str
     """§3.3: both sides read with the union schemas (dialect per row), requests
     deduplicated last-wins, inner join, one scoring projection; word mismatches are
     written beside the result as diagnostics (K6)."""
-    reqs = R.canonical_requests(S.read_requests(spark, request_paths))
-    res = R.canonical_results(S.read_results(spark, result_paths))
-    if run is not None:
-        reqs, res = reqs.withColumn("run", F.lit(run)), res.withColumn("run", F.lit(run))
+    raw = S.read_requests(spark, request_paths)
+    if run is not None and "run" in raw.columns:  # K1 folders carry the run name
+        raw = raw.where(F.col("run") == run)
+    # one run at a time: task ids carry the experiment folder, not the run
+    reqs = R.canonical_requests(raw).withColumn("run", F.lit(run or ""))
+    res = R.canonical_results(S.read_results(spark, result_paths)).withColumn("run", F.lit(run or ""))
     scored = R.score(R.join_results(res, reqs), mode=mode, feature_label=feature_label,
                      locale=locale, word_rule=word_rule)
     if out_dir:
