@@ -69,3 +69,28 @@ def test_requeue_merge_finetune_agreement(spark, tmp_path):
     assert stats["errors"].first()["n"] == 20
     assert stats["combined"].count() == 9
     assert sum(r["count"] for r in stats["hexbin"].collect()) == 20
+
+
+def test_two_runs_in_one_folder(spark, tmp_path):
+    exp = tmp_path / "fam"
+    (exp / "data").mkdir(parents=True)
+    (exp / "prompts").mkdir()
+    (exp / "data" / "words.csv").write_bytes(b"Word\ncat\ndog\n")
+    (exp / "prompts" / "a.txt").write_text('A: "{Word}"', encoding="utf-8")
+    (exp / "prompts" / "b.txt").write_text('B: "{Word}"', encoding="utf-8")
+    cat = """
+experiments:
+  run_a: {dataset_path: "words.csv", dataset_column: "Word", prompt_path: "a.txt", company: "OpenAI"}
+  run_b: {dataset_path: "words.csv", dataset_column: "Word", prompt_path: "b.txt", company: "OpenAI"}
+"""
+    out = str(tmp_path / "batches")
+    reqs = jobs.prepare_requests(spark, str(exp), cat, ["run_a", "run_b"], out)
+    assert reqs.count() == 4
+    res = tmp_path / "res.jsonl"
+    res.write_text(json.dumps({"custom_id": f"{exp}_task_2", "response": {"body": {"choices": [
+        {"message": {"content": "5"}}]}}}) + "\n", encoding="utf-8")
+    b = jobs.score_results(spark, out, str(res), run="run_b", mode="number", feature_label="Familiarity")
+    rows = b.collect()
+    assert len(rows) == 1 and rows[0]["word"] == "dog" and rows[0]["value"] == 5.0
+    a = jobs.score_results(spark, out, str(res), run="run_a", mode="number", feature_label="Familiarity")
+    assert a.first()["word"] == "dog"
