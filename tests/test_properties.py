@@ -12,7 +12,7 @@ from wordrate import functions as W
 from wordrate.operators import agreement as AG
 from wordrate.operators import responses as R
 
-SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 TOKENS = st.one_of(st.integers(-999, 999).map(str), st.sampled_from([" 5", "+7", "4 ", "1_0", "５", "5.0", "I", "",
                                                                       " five", "-", "0x1", "٣"]),
                    st.text(alphabet="0123456789 +-_.aI", max_size=5))
@@ -87,7 +87,7 @@ def test_fill_then_first_quoted_gives_word_back(spark, words):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5).map(float)),
-                          st.one_of(st.none(), st.floats(-10, 10, allow_nan=False)),
+                          st.one_of(st.none(), st.floats(-10, 10, allow_nan=False, allow_subnormal=False)),
                           st.integers(0, 3).map(float)), min_size=3, max_size=40))
 def test_correlations_symmetric_bounded_diagonal(spark, rows):
     df = spark.createDataFrame(rows, "a double, b double, c double")
@@ -125,7 +125,7 @@ def test_failure_rows_give_nulls_not_errors(spark):
 
 
 @SETTINGS
-@given(st.lists(st.one_of(st.integers(0, 100000).map(lambda k: k / 1000), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
+@given(st.lists(st.one_of(st.integers(0, 100000).map(lambda k: k / 1000), st.floats(-1e6, 1e6, allow_subnormal=False)), min_size=1, max_size=60))
 def test_python_round_matches_python(spark, values):
     from wordrate.functions.numeric import python_round
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -134,7 +134,7 @@ def test_python_round_matches_python(spark, values):
 
 
 @SETTINGS
-@given(st.lists(st.one_of(st.integers(-1000, 1000).map(lambda k: k / 1000), st.floats(-1, 1)), min_size=1, max_size=60))
+@given(st.lists(st.one_of(st.integers(-1000, 1000).map(lambda k: k / 1000), st.floats(-1, 1, allow_subnormal=False)), min_size=1, max_size=60))
 def test_cell_label_matches_python_format(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r[0] for r in df.select(W.cell_label("x")).collect()]
