@@ -122,12 +122,13 @@ def join_results(results: DataFrame, requests: DataFrame) -> DataFrame:
 
 def score(joined: DataFrame, mode: str = "weighted_sum", feature_label: str = "AoA",
           word_label: str = "Word", locale: str = "default", word_rule: str = "first",
-          word_source: str = "prompt") -> DataFrame:
+          word_source: str = "prompt", carry: tuple[str, ...] = ()) -> DataFrame:
     """X1-X16 in one projection.
 
     ``mode``: json (X4+X5+X9) or number / weighted_sum (raw answer + gated X10/X11);
     the google dialect always parses the value with X5.  Gates by dialect: openai =
-    one token (X12); local and google = integer answer below 1000 (X13).
+    one token (X12); local and google = integer answer below 1000 (X13).  ``carry``
+    names extra input columns passed through unchanged.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {MODES}")
@@ -152,7 +153,7 @@ def score(joined: DataFrame, mode: str = "weighted_sum", feature_label: str = "A
         value = x5
         mismatch = F.coalesce((d != "google") & word_in.isNotNull() & word_out.isNotNull()
                               & (word_in != word_out), F.lit(False))
-    keep = [c for c in ("run", "task_id", "dialect", "line_no") if c in joined.columns]
+    keep = [c for c in ("run", "task_id", "dialect", "line_no") if c in joined.columns] + list(carry)
     # word_source="prompt": the quoted word of the prompt (X1/X2, reference behaviour);
     # "column": the word carried by the request table, which avoids X1's few-shot trap.
     word = F.col("word") if (word_source == "column" and "word" in joined.columns) else word_in

@@ -30,6 +30,9 @@ JSON_PROMPT = ('Rate the familiarity of "{Word}" from 1 to 7. Answer as JSON: '
                '{"Word": "<word>", "Familiarity": <rating>}')
 EXPERIMENT_PATH = "famexp"
 FULL_WIDTH_FOUR = "４"
+GERMAN_PROMPT = ('Wie vertraut ist das Wort „{Word}”? Antworte als JSON: '
+                 '{"Wort": "<wort>", "Erwerbsalter": <zahl>}')
+FEW_SHOT_PROMPT = 'Example: "are" rates 2. How iconic is the word "{Word}"? Answer with a number from 1 to 7.'
 # ---------------------------------------------------------------------------------
 
 
@@ -83,7 +86,8 @@ def request_lines(tasks: DataFrame, company: str, prompt: str = PROMPT) -> DataF
                .unionByName(stale.select(F.col("json").alias("value"), (F.col("task_no") * 2).alias("line_no"))))
 
 
-def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False, key_by_word: bool = False) -> DataFrame:
+def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False, key_by_word: bool = False,
+                 word_label: str = "Word", feature_label: str = "Familiarity") -> DataFrame:
     """Result JSON lines in one dialect, derived per task (see module docstring).
     ``key_by_word``: the record id is the word itself (requests built by P10)."""
     tid = (F.col("word") if key_by_word
@@ -92,7 +96,8 @@ def result_lines(tasks: DataFrame, dialect: str, json_answers: bool = False, key
     alts = _alternatives()
     if json_answers:
         said = F.when(lab == 1, F.concat(F.col("word"), F.lit("x"))).otherwise(F.col("word"))
-        answer = F.concat(F.lit('{"Word": "'), said, F.lit('", "Familiarity": '), (lab + 3).cast("string"), F.lit("}"))
+        answer = F.concat(F.lit('{"' + word_label + '": "'), said, F.lit('", "' + feature_label + '": '),
+                          (lab + 3).cast("string"), F.lit("}"))
     elif dialect == "google":
         answer = F.when(lab == 2, F.lit("The rating is 5")).otherwise((lab + 3).cast("string"))
     else:
@@ -143,5 +148,8 @@ def derived_requests(spark: SparkSession, sf_dir: str, company: str, prompt: str
     return parse_lines(request_lines(embedding_tasks(spark, sf_dir), company, prompt), SC.REQUEST_UNION)
 
 
-def derived_results(spark: SparkSession, sf_dir: str, dialect: str, json_answers: bool = False) -> DataFrame:
-    return parse_lines(result_lines(embedding_tasks(spark, sf_dir), dialect, json_answers), SC.RESULT_UNION)
+def derived_results(spark: SparkSession, sf_dir: str, dialect: str, json_answers: bool = False,
+                    word_label: str = "Word", feature_label: str = "Familiarity") -> DataFrame:
+    lines = result_lines(embedding_tasks(spark, sf_dir), dialect, json_answers,
+                         word_label=word_label, feature_label=feature_label)
+    return parse_lines(lines, SC.RESULT_UNION)

@@ -219,3 +219,39 @@ def score_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = R.score(R.join_results(res, reqs), "weighted_sum", "Familiarity")
     return s.select("task_id", "word", "value", r6("logprob").alias("logprob"),
                     r6("weighted_sum").alias("weighted_sum"))
+
+
+@query("score_german", sql=_E + """
+SELECT task_id, word,
+       CASE WHEN label = 1 THEN word || 'x' ELSE word END AS word_out,
+       CAST(label + 3 AS DOUBLE) AS value,
+       label = 1 AS word_mismatch
+FROM w""")
+def score_german(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3 in the full path: German prompt with „…” quotes, JSON answers labelled
+    ``Wort`` / ``Erwerbsalter`` (json mode: X4 + X5 + X9 with the German labels)."""
+    q = X.LOCALES["german"]
+    requests = R.canonical_requests(D.derived_requests(spark, sf_dir, "OpenAI", D.GERMAN_PROMPT))
+    results = R.canonical_results(D.derived_results(spark, sf_dir, "openai", json_answers=True,
+                                                    word_label=q["word_label"],
+                                                    feature_label=q["feature_label"]))
+    s = R.score(R.join_results(results, requests), mode="json", feature_label=q["feature_label"],
+                word_label=q["word_label"], locale="german")
+    return s.select("task_id", "word", X.word_from_answer("answer_text", q["word_label"]).alias("word_out"),
+                    "value", "word_mismatch")
+
+
+@query("score_last_quoted", sql=_E + """
+SELECT task_id, 'are' AS first_word, word AS last_word,
+       CASE WHEN label <> 2 THEN round(ws, 6) END AS weighted_sum
+FROM w""")
+def score_last_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 vs X2 in the full path: a few-shot prompt quotes an example word before the
+    rated one; the first-quote rule returns the example, the last-quote rule (used for
+    the iconicity runs) returns the rated word."""
+    requests = R.canonical_requests(D.derived_requests(spark, sf_dir, "OpenAI", D.FEW_SHOT_PROMPT))
+    results = R.canonical_results(D.derived_results(spark, sf_dir, "openai"))
+    joined = R.join_results(results, requests).withColumn("first_word", X.first_quoted("prompt"))
+    s = R.score(joined, "weighted_sum", "Familiarity", word_rule="last", carry=("first_word",))
+    return s.select("task_id", "first_word", F.col("word").alias("last_word"),
+                    r6("weighted_sum").alias("weighted_sum"))
