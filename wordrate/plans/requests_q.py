@@ -163,3 +163,37 @@ def placeholder_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.read(spark, sf_dir, "documents")
     prompt = F.concat(F.lit('Rate the word "{'), F.col("text"), F.lit('}" from 1 to 7.'))
     return docs.select("doc_id", X.placeholder_key(prompt).alias("prompt_key"))
+
+
+@query("catalogue_requests", sql="""
+WITH w AS (SELECT row_number() OVER (ORDER BY p_partkey) AS task_no, p_name FROM part),
+t AS (SELECT task_no, 'famexp_task_' || CAST(task_no AS VARCHAR) AS tid,
+             replace('How familiar is the word "{Word}"? Answer with a number from 1 to 7.', '{Word}', p_name) AS q,
+             replace('How familiar is the word {p_name}? Answer with a number from 1 to 7.', '{p_name}', p_name) AS u
+      FROM w)
+SELECT 'fam_standard_openai' AS run, task_no,
+       CAST(json_object('custom_id', tid, 'method', 'POST', 'url', '/v1/chat/completions',
+         'body', json_object('model', 'gpt-4o-mini-2024-07-18', 'temperature', 0.0::DOUBLE, 'logprobs', true,
+            'top_logprobs', 5, 'response_format', json_object('type', 'text'),
+            'messages', [json_object('role', 'user', 'content', q)])) AS VARCHAR) AS json
+FROM t
+UNION ALL
+SELECT 'fam_standard_gemini', task_no,
+       CAST(json_object('key', tid, 'request', json_object('model', 'models/gemini-2.0-flash',
+            'contents', [json_object('parts', [json_object('text', q)])],
+            'generation_config', json_object('temperature', 0.0::DOUBLE, 'response_logprobs', true,
+                                             'logprobs', 5))) AS VARCHAR)
+FROM t
+UNION ALL
+SELECT 'fam_unquoted_local', task_no,
+       CAST(json_object('id', tid, 'prompt', u, 'temperature', 0.0::DOUBLE, 'response_logprobs', true,
+            'logprobs', 5, 'model', 'llama3.1-8B-Instruct') AS VARCHAR)
+FROM t""")
+def catalogue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 for a mixed catalogue: one scan, every word paired with three experiments of
+    three providers, each row rendered by its provider's builder."""
+    cat = C.read_catalogue(CATALOGUE_YAML)
+    exps = C.experiments(cat, D.EXPERIMENT_PATH, CATALOGUE_PROMPTS)
+    part = D.read(spark, sf_dir, "part")
+    words = Q.number_words(part, ["p_partkey"], column="p_name")
+    return Q.build_requests(words, exps).select("run", "task_no", "json")
