@@ -142,3 +142,20 @@ def test_combine_norms_null_keys_drop(spark):
     merged, _ = NM.combine_norms(left, right, "k", "k2", null_keys="drop")
     rows = {r["k"]: r["y_new"] for r in merged.collect()}
     assert rows == {"a": 5.0, None: None}
+
+
+def _group_size_model_factory():
+    def model(prompts):
+        return [float(len(prompts))] * len(prompts)
+    return model
+
+
+def test_model_scoring_groups_of_five_in_order(spark):
+    from wordrate.operators import model_scoring as MS
+    df = spark.range(23).select(F.col("id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    out = MS.score_prompts(df.repartition(2), "prompt", _group_size_model_factory, out_col="g", batch_size=5)
+    rows = out.collect()
+    assert sorted(r["id"] for r in rows) == list(range(23))
+    assert all(1 <= r["g"] <= 5 for r in rows)
+    lens = MS.score_prompts(df, "prompt", MS.length_scorer_factory).collect()
+    assert all(r["score"] == float(len(r["prompt"]) % 7 + 1) for r in lens)
