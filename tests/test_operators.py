@@ -151,7 +151,12 @@ def _group_size_model_factory():
 
 
 def test_model_scoring_groups_of_five_in_order(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
     from wordrate.operators import model_scoring as MS
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests/
     df = spark.range(23).select(F.col("id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
     out = MS.score_prompts(df.repartition(2), "prompt", _group_size_model_factory, out_col="g", batch_size=5)
     rows = out.collect()
