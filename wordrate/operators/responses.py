@@ -109,7 +109,8 @@ def last_per_key(df: DataFrame, keys=("run", "task_id"), order: str = "line_no")
 
 
 def join_results(results: DataFrame, requests: DataFrame) -> DataFrame:
-    """Results (probe) inner-join deduplicated requests on (run, task_id).
+    """J1 (chat, custom_id), J2 (contents, key), J3 (local, id) and J4: results (probe)
+    inner-join deduplicated requests on (run, task_id).
 
     Duplicate results are all kept; the join strategy is left to Catalyst/AQE (a
     broadcast happens only when the runtime size of the request side is small).

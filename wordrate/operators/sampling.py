@@ -40,8 +40,8 @@ def sample_size(n: int, fraction: float, rule: str) -> int:
 
 def split_exact(df: DataFrame, key: str, fraction: float, seed: int = 42, rule: str = "round",
                 drawn: str = "train", rest: str = "test", num_partitions: int | None = None) -> DataFrame:
-    """T4/T5 + J7: the first n rows of the seeded order get ``drawn``, all others ``rest``
-    (the complement is a label, not a second anti-join scan)."""
+    """T4/T5 + J7 / U5: the first n rows of the seeded order get ``drawn``, all others
+    ``rest`` (the complement is a label, not a second anti-join scan)."""
     n_total = df.count()
     n = sample_size(n_total, fraction, rule)
     ordered = seeded_order(df, key, seed, name="_pos", num_partitions=num_partitions)

@@ -39,7 +39,7 @@ def read_csv_utf8(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl_strict(spark: SparkSession, paths, ddl: str) -> DataFrame:
-    """S5 (+ S7 for several paths / globs): one bad line fails the job."""
+    """S5 (+ S7 / U2 for several paths or globs, read as one): one bad line fails the job."""
     df = spark.read.schema(ddl).option("mode", "FAILFAST").json(paths)
     return df.withColumn("line_no", line_order())
 
@@ -92,7 +92,8 @@ def run_of_file(path: Column) -> Column:
 def read_batches_of_run(spark: SparkSession, folder: str, run: str, ddl: str = SC.REQUEST_UNION,
                         glob: str | None = None) -> DataFrame:
     """Files of one run.  The name-prefix glob also matches longer run names
-    (``original`` vs ``original_2``), so the exact run is checked afterwards."""
+    (``original`` vs ``original_2``), so the exact run is checked afterwards.
+    F6: ``glob="*predictions.jsonl"`` keeps only prediction files."""
     reader = spark.read.schema(ddl).option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
