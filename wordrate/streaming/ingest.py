@@ -12,7 +12,6 @@ and its checkpoint live in shared storage, so a restarted query resumes exactly
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import responses as R
 from ..session import cut_lineage
