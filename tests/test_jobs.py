@@ -41,7 +41,10 @@ def test_prepare_then_score(spark, tmp_path):
                                       "top_logprobs": [{"token": t, "logprob": lp} for t, lp in V02_TOP]}]}}]}}}))
     results.write_text("\n".join(lines) + "\n", encoding="utf-8")
     scored = jobs.score_results(spark, out, str(results), str(tmp_path / "out"), mode="weighted_sum",
-                                feature_label="Familiarity", run="fam_v02")
+                                feature_label="Familiarity", run="fam_v02", fmt="xlsx")
+    book = spark.read.format("xlsx").schema("word string, answer_text string, value double, logprob double, "
+                                            "weighted_sum double, task_id string").load(str(tmp_path / "out" / "scores"))
+    assert sorted(r["word"] for r in book.collect()) == ["abdication", "abdomen"]
     rows = {r["word"]: r for r in scored.collect()}
     assert set(rows) == {"abdication", "abdomen"}
     assert abs(rows["abdomen"]["weighted_sum"] - 4.262189001693707) < 1e-12

@@ -58,10 +58,11 @@ def prepare_requests(spark: SparkSession, experiment_path: str, catalogue_yaml:
 
 def score_results(spark: SparkSession, request_paths, result_paths, out_dir: str | None = None,
                   mode: str = "weighted_sum", feature_label: str = "AoA", locale: str = "default",
-                  word_rule: str = "first", run: str | None = None) -> DataFrame:
+                  word_rule: str = "first", run: str | None = None, fmt: str = "parquet") -> DataFrame:
     """§3.3: both sides read with the union schemas (dialect per row), requests
     deduplicated last-wins, inner join, one scoring projection; word mismatches are
-    written beside the result as diagnostics (K6)."""
+    written beside the result as diagnostics (K6).  ``fmt="xlsx"`` writes workbooks
+    (K2, one per task) instead of parquet."""
     raw = S.read_requests(spark, request_paths)
     if run is not None and "run" in raw.columns:  # K1 folders carry the run name
         raw = raw.where(F.col("run") == run)
@@ -71,7 +72,13 @@ def score_results(spark: SparkSession, request_paths, result_paths, out_dir: str
     scored = R.score(R.join_results(res, reqs), mode=mode, feature_label=feature_label,
                      locale=locale, word_rule=word_rule)
     if out_dir:
-        scored.write.mode("error").parquet(os.path.join(out_dir, "scores"))
+        table = scored.select("word", "answer_text", "value", "logprob", "weighted_sum", "task_id")
+        if fmt == "xlsx":
+            from .sources import xlsx
+            xlsx.register(spark)
+            table.write.format("xlsx").mode("append").option("sheet", "scores").save(os.path.join(out_dir, "scores"))
+        else:
+            table.write.mode("error").format(fmt).save(os.path.join(out_dir, "scores"))
         K.write_diagnostics(R.mismatches(scored), os.path.join(out_dir, "word_mismatch"))
     return scored
 
