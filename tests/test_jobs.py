@@ -97,3 +97,21 @@ experiments:
     assert len(rows) == 1 and rows[0]["word"] == "dog" and rows[0]["value"] == 5.0
     a = jobs.score_results(spark, out, str(res), run="run_a", mode="number", feature_label="Familiarity")
     assert a.first()["word"] == "dog"
+
+
+def test_merge_workbook_keeps_other_sheets(spark, tmp_path):
+    from wordrate.sources import xlsx
+    src = tmp_path / "norms"
+    src.mkdir()
+    xlsx.write_workbook_sheets(str(src / "norms.xlsx"), [
+        ("joint", ["Word", "FAM"], [("cat", 4.5), ("dog", 3.0), ("emu", 2.0)]),
+        ("readme", ["Word", "FAM"], [("note", None)])])
+    est = tmp_path / "est"
+    est.mkdir()
+    xlsx.write_workbook(str(est / "est.xlsx"), "Sheet1", ["word", "fam_gpt"], [("cat", 4.1), ("dog", 2.9)])
+    path, missing = jobs.merge_workbook(spark, str(src), str(est), "Word", "word", str(tmp_path / "out"))
+    assert [r["Word"] for r in missing.collect()] == ["emu"]
+    back = {(r["sheet"], r["Word"]): r["fam_gpt_new"] for r in
+            spark.read.format("xlsx").option("sheet", "*").load(path).collect()}
+    assert back[("joint", "cat")] == "4.1" and back[("joint", "emu")] == "#N/D"
+    assert ("readme", "note") in back

@@ -6,6 +6,7 @@ the operators, and writes through the ``sinks`` (distributed writes, no driver d
     score_results         request files + result files     -> rating table            (§3.3)
     requeue_failed        request files + error file       -> requests to send again  (J6)
     merge_norms           norm table + estimate table      -> merged table + report   (J5)
+    merge_workbook        workbook + estimate workbook     -> new workbook version    (J5, K3)
     finetune_records      norm table + templates           -> train/test + chat JSONL (§3.4)
     agreement             merged table                     -> statistics tables       (A1-A12)
 """
@@ -106,6 +107,23 @@ def merge_norms(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return merged, missing
 
 
+def merge_workbook(spark: SparkSession, workbook_path: str, estimates_path: str, left_key: str, right_key: str,
+                   out_base: str, suffix: str = "_new") -> tuple[str, DataFrame]:
+    """The workbook merge command: left-join the first sheet of a workbook with the
+    first sheet of another (J5), render missing cells as '#N/D' (X21), keep every other
+    sheet unchanged and write a new version (K3; the previous one stays as ``_old``).
+    Returns the new version path and the rows lacking estimates (X22 report)."""
+    from .sources import xlsx
+    xlsx.register(spark)
+    first = xlsx.sheet_names(workbook_path)[0]
+    book = spark.read.format("xlsx").option("sheet", "*").load(workbook_path)
+    left = book.where(F.col("sheet") == first).drop("sheet")
+    right = spark.read.format("xlsx").load(estimates_path)
+    merged, missing = merge_norms(left, right, left_key, right_key, suffix)
+    path = K.rewrite_first_sheet(book, NM.render_missing(merged), first, out_base)
+    return path, missing
+
+
 def finetune_records(norms: DataFrame, key: str, answer_column: str, user_template: str,
                      assistant_template: str | None, fraction: float, seed: int, out_dir: str) -> DataFrame:
     """§3.4: exact-fraction split (T4/J7, K7), chat records of the training rows
@@ -136,4 +154,5 @@ def agreement(table: DataFrame, truth: str, pred: str, columns: Sequence[str],
     }
 
 
-__all__ = ["prepare_requests", "score_results", "requeue_failed", "merge_norms", "finetune_records", "agreement"]
+__all__ = ["prepare_requests", "score_results", "requeue_failed", "merge_norms", "merge_workbook",
+           "finetune_records", "agreement"]
