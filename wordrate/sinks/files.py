@@ -78,13 +78,15 @@ def write_diagnostics(diag: DataFrame, path: str, mode: str = "error") -> None:
 def rewrite_first_sheet(workbook: DataFrame, merged: DataFrame, first_sheet: str, base: str) -> str:
     """K3: replace the first sheet of a workbook (read with ``sheet="*"``, so it carries
     a ``sheet`` column) by ``merged`` and keep every other sheet unchanged; the result is
-    written as a new version of ``base`` (previous version kept as ``_old``), one sheet
-    per task.  Returns the new version path."""
+    written as a new version of ``base`` (previous version kept as ``_old``).  Every task
+    writes the rows it holds as one part workbook with one worksheet per sheet name, so
+    a large sheet is spread over several part files (read back together with
+    ``sheet="*"``) instead of being gathered into one task.  Returns the new path."""
     from ..sources import xlsx
     xlsx.register(workbook.sparkSession)
     others = workbook.where(F.col("sheet") != first_sheet)
     cols = [c for c in merged.columns if c != "sheet"]
     full = merged.select(*cols, F.lit(first_sheet).alias("sheet")).unionByName(others, allowMissingColumns=True)
     staged = base + "/staged-" + uuid.uuid4().hex
-    full.repartition("sheet").write.format("xlsx").mode("append").option("sheetColumn", "sheet").save(staged)
+    full.write.format("xlsx").mode("append").option("sheetColumn", "sheet").save(staged)
     return _promote(full.sparkSession, staged, base)

@@ -7,8 +7,8 @@ column).  Without a user schema every column is read as a string named by the he
 
 Writing: every task writes its own workbook (``part-<task>-<id>.xlsx``), with one sheet
 (option ``sheet``, default ``Sheet1``) or one sheet per value of option ``sheetColumn``
-(repartition by that column first so each sheet is written whole by one task; a sheet
-is bounded by the format's row limit, and longer ones continue on a numbered sheet).
+among the task's rows (a sheet spread over several tasks lands in several part
+workbooks; a sheet longer than the format's row limit continues on a numbered sheet).
 No data passes through the driver.  Paths are
 plain file-system paths, so on a cluster they must be on storage every executor mounts.
 """
