@@ -1,6 +1,7 @@
 """An ``xlsx`` Python data source (read and write).
 
-Reading: one input partition per (workbook, sheet); a workbook is a zip of XML parts,
+Reading: one input partition per workbook (the driver only lists file names); a
+workbook is a zip of XML parts,
 parsed with the standard library only.  Options: ``header`` (default true), ``sheet``
 (``first`` -- default --, a sheet name, or ``*`` for all sheets, which adds a ``sheet``
 column).  Without a user schema every column is read as a string named by the header.
@@ -106,9 +107,9 @@ def _convert(value, dtype):
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, sheet: str, part: str):
-        super().__init__((path, sheet, part))
-        self.path, self.sheet, self.part = path, sheet, part
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
 
 
 class XlsxReader(DataSourceReader):
@@ -116,31 +117,29 @@ class XlsxReader(DataSourceReader):
         self.options, self.schema = options, schema
 
     def partitions(self):
-        choice = self.options.get("sheet", "first")
-        parts = []
-        for f in _files(self.options["path"]):
-            with zipfile.ZipFile(f) as zf:
-                sheets = _sheets(zf)
-            if choice == "first":
-                sheets = sheets[:1]
-            elif choice != "*":
-                sheets = [s for s in sheets if s[0] == choice]
-            parts += [_Part(f, name, p) for name, p in sheets]
-        return parts
+        # one input partition per workbook; the driver only lists file names
+        return [_Part(f) for f in _files(self.options["path"])]
 
     def read(self, partition: _Part):
         header = str(self.options.get("header", "true")).lower() == "true"
-        with_sheet = self.options.get("sheet", "first") == "*"
+        choice = self.options.get("sheet", "first")
+        with_sheet = choice == "*"
         fields = [f for f in self.schema.fields if not (with_sheet and f.name == "sheet")]
         with zipfile.ZipFile(partition.path) as zf:
-            rows = _rows(zf, partition.part)
-            if header:
-                next(rows, None)
-            for r in rows:
-                vals = [_convert(r[i] if i < len(r) else None, f.dataType) for i, f in enumerate(fields)]
-                if with_sheet:
-                    vals.append(partition.sheet)
-                yield tuple(vals)
+            sheets = _sheets(zf)
+            if choice == "first":
+                sheets = sheets[:1]
+            elif choice != "*":
+                sheets = [s for s in sheets if s[0] == choice]
+            for name, part in sheets:
+                rows = _rows(zf, part)
+                if header:
+                    next(rows, None)
+                for r in rows:
+                    vals = [_convert(r[i] if i < len(r) else None, f.dataType) for i, f in enumerate(fields)]
+                    if with_sheet:
+                        vals.append(name)
+                    yield tuple(vals)
 
 
 def _cell(ref: str, value) -> str:
