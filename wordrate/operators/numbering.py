@@ -22,7 +22,11 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition_index << 33 | row_in
 def _n_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    try:
+        return int(setting)
+    except (TypeError, ValueError):  # a non-numeric setting such as "auto"
+        return int(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _cols(cols) -> list[Column]:
