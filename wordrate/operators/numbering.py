@@ -34,8 +34,10 @@ def _cols(cols) -> list[Column]:
 
 
 def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int = 1,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Append ``name`` = position in the total order of ``order_cols`` (+ start)."""
+                    num_partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Append ``name`` = position in the total order of ``order_cols`` (+ start), and
+    with ``total`` the row count of the whole input (from the same per-partition counts,
+    so no extra pass)."""
     order = _cols(order_cols)
     n = _n_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)
@@ -47,7 +49,8 @@ def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int
         "_wr_pid",
         F.coalesce(F.sum("_wr_n").over(Window.orderBy("_wr_pid")
                                        .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_wr_off"))
+                   F.lit(0)).alias("_wr_off"),
+        *([F.sum("_wr_n").over(Window.partitionBy()).cast("long").alias(total)] if total else []))
     local = F.col("_wr_mid") - F.shiftleft(F.col("_wr_pid").cast("long"), _LOCAL_BITS)
     return (tagged.join(F.broadcast(offsets), "_wr_pid")  # one row per partition
                   .withColumn(name, (F.col("_wr_off") + local + F.lit(start)).cast("long"))

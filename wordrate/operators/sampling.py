@@ -2,8 +2,9 @@
 
 Rows are ordered by ``md5(key || '#' || seed)`` (the same order on any engine), then
 numbered globally with the range-partitioned ``with_row_number``; the first n rows of
-the order (per stratum) are drawn.  Only constant-size facts (row counts per stratum)
-reach the driver; no window ever holds a whole stratum in one task.
+the order (per stratum) are drawn.  The exact split takes its row count from the
+numbering itself; the stratified split brings one count per configured stratum to the
+driver.  No window ever holds a whole stratum in one task.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ def seeded_key(key: str | Column, seed: int) -> Column:
 
 
 def seeded_order(df: DataFrame, key: str, seed: int = 42, name: str = "position",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Seeded shuffle, materialised as a position column."""
-    return with_row_number(df, [seeded_key(key, seed), F.col(key)], name=name, num_partitions=num_partitions)
+    return with_row_number(df, [seeded_key(key, seed), F.col(key)], name=name, num_partitions=num_partitions,
+                           total=total)
 
 
 def sample_size(n: int, fraction: float, rule: str) -> int:
@@ -38,15 +40,25 @@ def sample_size(n: int, fraction: float, rule: str) -> int:
     raise ValueError(rule)
 
 
+def _size_column(n: Column, fraction: float, rule: str) -> Column:
+    """``sample_size`` as a Column: ``bround`` rounds half to even like Python's
+    ``round`` for these values (a double that prints as k.5 is exactly k.5)."""
+    x = F.lit(float(fraction)) * n.cast("double")
+    if rule == "round":
+        return F.bround(x, 0)
+    if rule == "ceil":
+        return F.ceil(x)
+    raise ValueError(rule)
+
+
 def split_exact(df: DataFrame, key: str, fraction: float, seed: int = 42, rule: str = "round",
                 drawn: str = "train", rest: str = "test", num_partitions: int | None = None) -> DataFrame:
     """T4/T5 + J7 / U5: the first n rows of the seeded order get ``drawn``, all others
     ``rest`` (the complement is a label, not a second anti-join scan)."""
-    n_total = df.count()
-    n = sample_size(n_total, fraction, rule)
-    ordered = seeded_order(df, key, seed, name="_pos", num_partitions=num_partitions)
-    return (ordered.withColumn("split", F.when(F.col("_pos") <= n, F.lit(drawn)).otherwise(F.lit(rest)))
-                   .drop("_pos"))
+    ordered = seeded_order(df, key, seed, name="_pos", num_partitions=num_partitions, total="_n")
+    take = _size_column(F.col("_n"), fraction, rule)  # in the plan: no separate counting pass
+    return (ordered.withColumn("split", F.when(F.col("_pos") <= take, F.lit(drawn)).otherwise(F.lit(rest)))
+                   .drop("_pos", "_n"))
 
 
 def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[str, float],
