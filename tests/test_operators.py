@@ -164,3 +164,10 @@ def test_model_scoring_groups_of_five_in_order(spark):
     assert all(1 <= r["g"] <= 5 for r in rows)
     lens = MS.score_prompts(df, "prompt", MS.length_scorer_factory).collect()
     assert all(r["score"] == float(len(r["prompt"]) % 7 + 1) for r in lens)
+
+
+def test_stratified_split_rejects_unconfigured_stratum(spark):
+    df = spark.range(30).withColumnRenamed("id", "k")
+    s = SP.split_stratified(df, "k", F.when(F.col("k") < 10, "a").otherwise("b"), {"a": 0.5})
+    with pytest.raises(Exception, match="no fraction given for stratum b"):
+        s.collect()

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import with_row_number
@@ -65,28 +65,30 @@ def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[s
                      seed: int = 42, rule: str = "ceil", drawn: str = "test", rest: str = "train",
                      num_partitions: int | None = None) -> DataFrame:
     """T6 + U1: per stratum, the first ceil(f * n_stratum) rows of the seeded order are
-    ``drawn``.  Rows whose stratum is NULL belong to no stratum and are dropped (F2)."""
-    d = df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
+    ``drawn``.  Rows whose stratum is NULL belong to no stratum and are dropped (F2); a
+    stratum without a configured fraction stops the job.  Stratum sizes and offsets are
+    a table with one row per configured stratum, joined in the plan (nothing is
+    collected)."""
     known = F.col("stratum").isin(list(fractions))
-    stray = d.where(~known).select("stratum").limit(1).collect()
-    if stray:
-        raise ValueError(f"no fraction given for stratum {stray[0]['stratum']!r}")
-    # at most one row per configured stratum reaches the driver
-    sizes = {r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes)
-    offsets, acc = {}, 0
-    for s in names:
-        offsets[s] = acc
-        acc += sizes[s]
-    take = {s: sample_size(sizes[s], fractions[s], rule) for s in names}
+    d = (df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
+           .where(F.coalesce(F.when(~known, F.raise_error(F.concat(F.lit("no fraction given for stratum "),
+                                                                     F.col("stratum")))), F.lit(True))))
+    sizes = d.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
+    frac = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
+    before = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    table = sizes.select("stratum",
+                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
+                         F.col("_size").cast("double").alias("_n"),
+                         frac[F.col("stratum")].alias("_f"))
+    table = table.select("stratum", "_off",
+                         (F.ceil(F.col("_f") * F.col("_n")) if rule == "ceil"
+                          else F.bround(F.col("_f") * F.col("_n"), 0)).alias("_take"))
     numbered = with_row_number(d, [F.col("stratum"), seeded_key(key, seed), F.col(key)], name="_pos",
                                num_partitions=num_partitions)
-    off = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(offsets[s]))])
-    lim = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(take[s]))])
-    in_stratum = F.col("_pos") - off[F.col("stratum")]
-    return (numbered.withColumn("split", F.when(in_stratum <= lim[F.col("stratum")], F.lit(drawn))
-                                          .otherwise(F.lit(rest)))
-                    .drop("_pos"))
+    j = numbered.join(F.broadcast(table), "stratum")  # one row per configured stratum
+    return (j.withColumn("split", F.when(F.col("_pos") - F.col("_off") <= F.col("_take"), F.lit(drawn))
+                                   .otherwise(F.lit(rest)))
+             .drop("_pos", "_off", "_take"))
 
 
 def split_sizes(split: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
