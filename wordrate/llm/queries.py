@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +49,25 @@ FROM documents d LEFT JOIN n USING (doc_id)
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_lpf_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, len(h) // 2 - 49)) AS t(p)),
+lo AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
+gone AS (SELECT doc_id, p FROM w JOIN lo USING (s) WHERE doc_id > lo),
+edge AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM gone),
+isle AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edge),
+span AS (SELECT doc_id, g, min(p) AS a, max(p) + 50 AS b FROM isle GROUP BY doc_id, g),
+cuts AS (SELECT doc_id, b AS a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM span
+         UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (SELECT c.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS h
+         FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_later_copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
