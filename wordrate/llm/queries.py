@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
+from .toxicity import score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,16 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WITH RECURSIVE ws AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-           ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
   FROM ws),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-both AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
   FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT u, v FROM both JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+e AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
   WHERE 100 * k >= 80 * (a.n + b.n - k)),
 reach AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
@@ -71,3 +72,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_later_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op9_toxicity_nb_ngrams")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
