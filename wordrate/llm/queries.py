@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
+from .pii_bootstrap import KINDS, count_of, named, personal_data
 from .toxicity import score_documents
+from .vector_packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +79,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_toxicity_nb_ngrams")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op8_vector_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_pii_bootstrap")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[count_of("base", k).alias(f"n_{k}") for k in KINDS],
+                        F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
