@@ -40,6 +40,7 @@ _U = np.uint64
 SKETCH_BITS = 22  # 4M counters: 16 MB per task, whatever the input
 LONG_LIST = 24  # nodes of a list from which pivots are tried first
 PIVOTS = 12
+TURNS = 2
 POSTING_COST = 3.0  # rows a posting costs (its own, and its share of scanned pairs)
 
 
@@ -214,6 +215,22 @@ def _fits(na: str, nb: str, percent: int):
     return F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")
 
 
+def _in_mixed_lists(shared: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The postings with their node's component so far, of lists with two components or more."""
+    if edges is None:
+        return shared.withColumn("label", F.col("node"))
+    label = components(edges).withColumnRenamed("component", "label")
+    mine = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = mine.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return mine.join(mixed, "key", "left_semi")
+
+
+def _second(rows: DataFrame) -> DataFrame:
+    """The other side of a pair: every column but the key renamed with a 2."""
+    keep = [c for c in ("node", "n", "label", "ks", "ls") if c in rows.columns]
+    return rows.select("key", *[F.col(c).alias(c + "2") for c in keep])
+
+
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles (distinct n-grams of
     ``k`` words), component_id (smallest doc_id reachable over links, itself included).
@@ -240,36 +257,49 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     posts = docs.filter("doc_id is not null").mapInArrow(_postings(k, percent, classes, x), "key long, node long, n int, light boolean")
     shared = cut_lineage(posts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int, light boolean"))
 
-    # 1. long lists: every node against a few pivots of its list
-    long = shared.groupBy("key").agg(
-        F.count(F.lit(1)).alias("g"),
-        *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(s))).alias(f"p{s}") for s in range(PIVOTS)]
-    ).filter(F.col("g") > LONG_LIST).select("key", F.array_distinct(F.array(*[f"p{s}" for s in range(PIVOTS)])).alias("ps"))
-    star = (shared.join(long, "key").select("node", "n", "light", F.explode("ps").alias("p"))
-            .filter(F.col("node") != F.col("p.node")).filter(_fits("n", "p.n", percent))
-            .groupBy(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            .agg(F.count(F.lit(1)).alias("c"), F.max("light").alias("light"), F.max("n").alias("n"))
-            # the pivots' lists are a part of those that the pair shares
-            .filter(F.col("light") | (F.col("c") * 40 >= F.col("n"))).select("a", "b"))
-    first = cut_lineage(_links(docs, sets, star, k, percent))
-    label = components(first)
+    edges = None
+    # 1. long lists: every node against a few pivots of its list, while that joins components
+    for turn in range(TURNS):
+        mine = _in_mixed_lists(shared, edges)
+        long = mine.groupBy("key").agg(
+            F.count(F.lit(1)).alias("g"),
+            *[F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn * PIVOTS + s))).alias(f"p{s}") for s in range(PIVOTS)]
+        ).filter(F.col("g") > LONG_LIST).select("key", F.array_distinct(F.array(*[f"p{s}" for s in range(PIVOTS)])).alias("ps"))
+        star = (mine.join(long, "key").select("node", "n", "label", "light", F.explode("ps").alias("p"))
+                .filter(F.col("label") != F.col("p.label")).filter(_fits("n", "p.n", percent))
+                .groupBy(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+                .agg(F.count(F.lit(1)).alias("c"), F.max("light").alias("light"), F.max("n").alias("n"))
+                # a pivot's lists are a part of those that the pair shares
+                .filter(F.col("light") | (F.col("c") * 40 >= F.col("n"))).select("a", "b"))
+        new = cut_lineage(_links(docs, sets, star, k, percent))
+        if new.limit(1).count() == 0:
+            break
+        edges = new if edges is None else cut_lineage(edges.union(new))
 
     # 2. all lists, complete: pairs of nodes that are not in one component yet
-    mine = (shared.join(label.withColumnRenamed("component", "label"), "node", "left")
-            .withColumn("label", F.coalesce("label", "node")))
-    mixed = mine.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    mine = mine.join(mixed, "key", "left_semi")
-    other = mine.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    mine = cut_lineage(_in_mixed_lists(shared, edges))
+    size = mine.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
+    short = mine.join(size.filter(F.col("g") <= LONG_LIST).select("key"), "key")
     # lists shared + the tokens behind the shorter prefix bound the overlap from above
     rest = f"greatest(ceil({percent} * n / 100), ceil({percent} * n2 / 100)) - 1"
-    pairs = (mine.join(other, "key").filter("node < node2 and label <> label2").filter(_fits("n", "n2", percent))
+    enough = f"(c + {rest}) * (100 + {percent}) >= {percent} * (n + n2)"
+    pairs = (short.join(_second(short), "key").filter("node < node2 and label <> label2").filter(_fits("n", "n2", percent))
              .groupBy(F.col("node").alias("a"), F.col("node2").alias("b"))
              .agg(F.count(F.lit(1)).alias("c"), F.max("light").alias("light"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-             .filter(F.expr(f"light or (c + {rest}) * (100 + {percent}) >= {percent} * (n + n2)")).select("a", "b"))
-    second = cut_lineage(_links(docs, sets, pairs, k, percent))
+             .filter(F.expr(f"light or {enough}")).select("a", "b"))
+    # in long lists each pair is made once, in its first common list, and counted there
+    hot = mine.join(size.filter(F.col("g") > LONG_LIST).select("key"), "key")
+    lists = (mine.filter("not light").join(hot.select("node").distinct(), "node").join(size, "key").groupBy("node")
+             .agg(F.collect_list("key").alias("ks"), F.sort_array(F.collect_list(F.when(F.col("g") > LONG_LIST, F.col("key")))).alias("ls")))
+    hot = hot.join(lists, "node", "left")
+    once = f"element_at(array_intersect(ls, ls2), 1) = key and {enough.replace('(c +', '(size(array_intersect(ks, ks2)) +', 1)}"
+    more = (hot.join(_second(hot), "key").filter("node < node2 and label <> label2").filter(_fits("n", "n2", percent))
+            .filter(F.expr(f"light or ({once})")).select(F.col("node").alias("a"), F.col("node2").alias("b")))
+    second = cut_lineage(_links(docs, sets, pairs.union(more).distinct(), k, percent))
+    edges = second if edges is None else edges.union(second)
 
     # nodes linked to each other, and the smallest document of each group
-    label = components(first.union(second))
+    label = components(edges)
     named = sets.join(label, "node", "left").withColumn("_g", F.coalesce("component", "node"))
     low = named.filter("node is not null and doc_id is not null").groupBy("_g").agg(F.min("doc_id").alias("_low"))
     return (named.join(low, "_g", "left")
