@@ -12,7 +12,7 @@ consecutive windows mostly share it, so a text falls into runs of windows of one
 Runs go to the task of their anchor; there, runs whose bytes are equal are one class, whose
 smallest document keeps them, and the suffix order of the classes' bytes settles the rest.
 
-* pass 1 finds the anchors that occur at least twice (exactly, per range of hashes) and
+* pass 1 finds the anchors that occur in at least two texts (exactly, per range of hashes) and
   marks them in a bitmap of fixed size; a false mark costs a row, never a result;
 * pass 2 sends the runs of marked anchors;
 * an anchor with too many classes for one task is settled window by window, by aggregates;
@@ -75,13 +75,17 @@ def _runs(raw: np.ndarray, off: np.ndarray, length: int):
 
 
 def _anchors(length: int, ranges: int):
-    """Pass 1: the anchors' hashes, by range; one that repeats in a piece is sent twice."""
+    """Pass 1: the hashes of each text's anchors, once a text, by range; of several texts of
+    a piece that share one, two are sent."""
     def run(batches):
         for big in batches:
             for batch in pieces(big, "text"):
                 raw, off = H.buffer_of(batch.column(batch.schema.get_field_index("text")))
-                h, _, _, _ = _runs(raw, off, length)
-                u, c = np.unique(h, return_counts=True)
+                h, _, _, text = _runs(raw, off, length)
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[:len(h)]
+                u, c = np.unique(h[once], return_counts=True)
                 u = np.sort(np.concatenate([u, u[c > 1]]))
                 r = (u % _U(ranges)).astype(np.int64)
                 order = np.argsort(r, kind="stable")
@@ -99,7 +103,7 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeated(batches):
-    """The bits of the hashes that occur at least twice, for the ranges of this task."""
+    """The bits of the hashes that were sent at least twice, for the ranges of this task."""
     found = []
     rows: dict[int, list] = {}
     for batch in batches:
