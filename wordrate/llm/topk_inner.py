@@ -21,6 +21,7 @@ from wordrate.session import cut_lineage
 
 BLOCK = 4096  # candidates of a block
 QUERIES = 1024  # queries of a block
+BANDS = 256  # lengths that are told apart when blocks are dealt
 LEAD = 16  # coordinates multiplied before the bound is tested
 
 
@@ -143,15 +144,15 @@ def top_inner(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, bl
     rotation = spark.sparkContext.broadcast(np.linalg.eigh(gram)[1][:, ::-1].copy())
 
     # blocks by falling length: the cut points are lengths, so ties stay together and are split by id
-    n_blocks = -(-n // block)
-    if n_blocks > 1:
-        cuts = v.approxQuantile("norm2", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks)
+    n_bands = min(-(-n // block), BANDS)  # a band of more than a block is dealt into several
+    if n_bands > 1:
+        cuts = v.approxQuantile("norm2", [i / n_bands for i in range(1, n_bands)], 0.1 / n_bands)
     else:
         cuts = []
     cuts = sorted(set(cuts), reverse=True)
     band = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c > F.col("norm2"))) if cuts else F.lit(0)
     banded = v.withColumn("band", band)
-    size = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}  # one row a block
+    size = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}  # one row a band
     parts = {b: -(-c // block) for b, c in size.items()}
     first, at = {}, 0
     for b in sorted(size):
