@@ -11,6 +11,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
 from .pii_bootstrap import KINDS, count_of, named, personal_data
+from .token_output import token_sequences
 from .topk_inner import top_inner
 from .toxicity import score_documents
 from .vector_packing import pack_documents
@@ -68,6 +69,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@_query("op3_token_matrix_output")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_sequences(table(spark, sf_dir, "documents"))
+
+
 @_query("op4_lpf_dedup", """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, len(h) // 2 - 49)) AS t(p)),
