@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import near_duplicate_vectors
+from .html_extract import main_text
 from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
 from .pii_bootstrap import KINDS, count_of, named, personal_data
@@ -112,6 +113,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+@_query("op7_html_tree_model")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @_query("op9_toxicity_nb_ngrams")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
