@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_fold import decode, encode
 from .embedding_dedup import near_duplicate_vectors
 from .html_extract import main_text
 from .lpf_dedup import remove_later_copies
@@ -97,6 +98,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op5_byte_bpe_fold")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(encode(table(spark, sf_dir, "documents"))).select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query("op6_collision_counting_dedup", """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
