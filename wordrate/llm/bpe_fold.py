@@ -1,12 +1,16 @@
 """Byte-level BPE: a fold of ranked merges over the byte arrays of distinct words.
 
-Texts are split into pieces by the vocabulary's pattern and reduced to their distinct pieces,
-chunk by chunk, in a narrow pass; a chunk's row holds the byte ids of its distinct pieces
-and, for every piece of its documents, the number of its word.  Each word is then folded:
-the adjacent pair of the lowest rank is merged, the leftmost first, until no pair has a
-rank.  The rank map is one literal array, a hash table from a pair of ids to the merged id.
-Last, documents take their words' ids, and decoding concatenates the ids' bytes.  Nothing
-is shuffled, so memory is bounded by a chunk and a lost task is redone from its split.
+Texts are split into pieces by the vocabulary's pattern and reduced, chunk by chunk, to
+their distinct pieces.  Each of these words is folded: the adjacent pair of the lowest rank
+is merged, the leftmost first, until no pair has a rank.  The rank map is one array, a hash
+table from a pair of ids to the merged id.  Documents then take their words' ids, and
+decoding concatenates the ids' bytes.  Nothing is shuffled: memory is bounded by a chunk,
+and a lost task is redone from its split.
+
+``encode_words`` does the fold with Spark's higher-order functions over a literal rank map.
+``encode`` does the same fold, step by step for all words of one length at once, in numpy:
+over the words of a corpus, interpreted lambdas take several times the CPU allowed (see the
+README for the figures).
 """
 
 from __future__ import annotations
@@ -102,40 +106,95 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_CHUNK = "doc_ids array<long>, counts array<int>, numbers array<int>, words array<array<int>>, long_words array<binary>"
+_NONE = np.int32(1 << 30)
 
 
-def _split(path: str, pattern: str):
-    """(doc_id, text) -> one row per chunk of documents."""
+def _ranks(left: np.ndarray, right: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The merged id of every pair, _NONE if it has no rank."""
+    key = left.astype(np.int64) << 16 | right
+    out = np.full(key.shape, _NONE, np.int32)
+    for which in (0, 1):
+        e = table[_probe(key, which)]
+        hit = e >> 16 == key
+        out[hit] = (e[hit] & 0xFFFF).astype(np.int32)
+    return out
+
+
+def fold_words(words: list[bytes], byte_id: np.ndarray, table: np.ndarray, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, ids of each word).  Words of one length are folded in lockstep: every
+    step merges the leftmost lowest pair of each word that still has one, so all that go on
+    stay equally long."""
+    size = np.array([len(w) for w in words], np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    order = np.argsort(size, kind="stable")
+    cut = np.searchsorted(size[order], np.arange(LONG + 2))
+    for n in range(1, LONG + 1):
+        rows = order[cut[n]:cut[n + 1]]
+        if len(rows) == 0:
+            continue
+        parts = byte_id[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)].reshape(len(rows), n)
+        rank = _ranks(parts[:, :-1], parts[:, 1:], table)
+        while parts.shape[1] > 1:
+            at = rank.argmin(axis=1)
+            low = rank[np.arange(len(rows)), at]
+            go = low < _NONE
+            if not go.all():
+                done.append((rows[~go], parts[~go]))
+                rows, parts, rank, at, low = rows[go], parts[go], rank[go], at[go], low[go]
+            if len(rows) == 0:
+                break
+            every, width = np.arange(len(rows)), parts.shape[1]
+            parts[every, at] = low
+            keep = np.ones(parts.shape, bool)
+            keep[every, at + 1] = False
+            parts = parts[keep].reshape(len(rows), width - 1)
+            keep = np.ones(rank.shape, bool)
+            keep[every, at] = False
+            rank = rank[keep].reshape(len(rows), width - 2)
+            # only the pairs beside the merged part are new
+            for side in (-1, 0):
+                i = at + side
+                ok = np.flatnonzero((i >= 0) & (i < width - 2))
+                rank[ok, i[ok]] = _ranks(parts[ok, i[ok]], parts[ok, i[ok] + 1], table)
+        if len(rows):
+            done.append((rows, parts))
+    for i in order[cut[LONG + 1]:]:
+        done.append((np.array([i]), np.array([merged_by_heap(words[i], ranks)], np.int32)))
+    out_size = np.zeros(len(words), np.int64)
+    for rows, parts in done:
+        out_size[rows] = parts.shape[1]
+    first = np.cumsum(out_size) - out_size
+    flat = np.zeros(int(out_size.sum()), "<u4")
+    for rows, parts in done:
+        flat[first[rows][:, None] + np.arange(parts.shape[1])] = parts
+    return flat, out_size
+
+
+def _encode(path: str, pattern: str, table):
+    """(doc_id, text) -> (doc_id, ids), chunk by chunk."""
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        byte_id = _byte_ids(read_ranks(path))
+        ranks = read_ranks(path)
+        byte_id = _byte_ids(ranks)
         for big in batches:
             for batch in pieces(big, "text", CHUNK_BYTES):
                 number: dict[str, int] = {}
-                take, counts = [], []
+                take: list[int] = []
+                counts = []
                 for text in batch.column(1).to_pylist():
                     found = find(text) if text else []
                     counts.append(len(found))
                     take += [number.setdefault(w, len(number)) for w in found]
-                encoded = [w.encode() for w in number]
-                # long pieces are numbered after the others
-                size = np.array([len(w) for w in encoded], np.int64)
-                order = np.argsort(size > LONG, kind="stable")
-                place = np.empty(len(order), np.int32)
-                place[order] = np.arange(len(order), dtype=np.int32)
-                short = int((size <= LONG).sum())
-                raw = np.frombuffer(b"".join(encoded[i] for i in order[:short]), np.uint8)
-                words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[order[:short]])).astype(np.int32)), pa.array(byte_id[raw]))
-                numbers = place[np.array(take, np.int64)] if take else np.zeros(0, np.int32)
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0), pa.int64()), one(counts, pa.int32()), one(numbers, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                     one([encoded[i] for i in order[short:]], pa.binary())],
-                    names=["doc_ids", "counts", "numbers", "words", "long_words"])
+                flat, size = fold_words([w.encode() for w in number], byte_id, table.value, ranks)
+                num = np.array(take, np.int64)
+                n = size[num]
+                end = np.cumsum(n)
+                first = np.cumsum(size) - size
+                data = flat[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n, n) + np.repeat(first[num], n)].tobytes()
+                edge = np.append(0, end)[np.append(0, np.cumsum(counts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[4 * a:4 * b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc_id", "ids"])
     return run
 
 
@@ -168,28 +227,6 @@ def folded(words: Column, table: np.ndarray) -> Column:
     return F.transform(words, fold)
 
 
-def _assemble(path: str):
-    """Chunks with folded words -> (doc_id, ids as little-endian unsigned 32-bit)."""
-    def run(batches):
-        ranks = read_ranks(path)
-        for batch in batches:
-            for c in range(batch.num_rows):
-                doc_ids, counts, numbers = (batch.column(i)[c].values for i in range(3))
-                short, long = batch.column(3)[c].values, [merged_by_heap(w, ranks) for w in batch.column(4)[c].as_py()]
-                ids = np.concatenate([short.flatten().to_numpy(zero_copy_only=False).astype("<u4"), *[np.array(w, "<u4") for w in long]])
-                size = np.append(short.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(w) for w in long], np.int64))
-                first = np.cumsum(size) - size
-                num = numbers.to_numpy(zero_copy_only=False)
-                n = size[num]
-                end = np.cumsum(n)
-                out = ids[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n, n) + np.repeat(first[num], n)]
-                total = np.append(0, end)
-                cut = total[np.append(0, np.cumsum(counts.to_numpy(zero_copy_only=False)))]
-                data = out.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([data[4 * a:4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "ids"])
-    return run
-
-
 def _joined(path: str):
     def run(batches):
         ranks = read_ranks(path)
@@ -216,10 +253,18 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     numbers in a binary.  Special tokens' strings are plain text.  A null text is empty (no
     ids); null and repeated doc_ids are rows of their own; other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = rank_table(pair_ranks(read_ranks(path)))
-    chunks = rows.mapInArrow(_split(path, pattern), _CHUNK)
-    done = chunks.withColumn("words", folded(F.col("words"), table))
-    return done.mapInArrow(_assemble(path), "doc_id long, ids binary")
+    table = docs.sparkSession.sparkContext.broadcast(rank_table(pair_ranks(read_ranks(path))))
+    return rows.mapInArrow(_encode(path, pattern, table), "doc_id long, ids binary")
+
+
+def encode_words(words: DataFrame, path: str = RANKS) -> DataFrame:
+    """``words(word)``, a binary column, with ids: the same fold by Spark's higher-order functions
+    alone.  A null or empty word has no ids."""
+    ranks = read_ranks(path)
+    byte_id = F.from_json(F.lit(json.dumps(_byte_ids(ranks).tolist())), "array<int>")
+    hexed = F.hex("word")
+    values = F.when(F.length("word") > 0, F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.get(byte_id, F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))))
+    return words.withColumn("ids", folded(F.array(F.coalesce(values, F.array().cast("array<int>"))), rank_table(pair_ranks(ranks)))[0])
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:

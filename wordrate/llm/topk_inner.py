@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordrate.session import cut_lineage
 
@@ -185,7 +186,7 @@ def top_inner(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, bl
     return _ranked(found.union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-@F.arrow_udf("array<long>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _ids(col: pa.Array) -> pa.Array:
     return pa.array([np.frombuffer(x, "<i8").tolist() for x in col.to_pylist()], pa.list_(pa.int64()))
 
@@ -198,7 +199,7 @@ def _thresholds(key, pdf):
     return pd.DataFrame({"qblock": [int(key[0])], "lids": [pdf["query_id"].to_numpy("<i8").tobytes()], "low": [low.tobytes()], "weakest": [float(low.min())]})
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _aligned(qids: pa.Array, lids: pa.Array, low: pa.Array) -> pa.Array:
     """The thresholds in the order of the block's queries."""
     out = []
