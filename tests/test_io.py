@@ -30,7 +30,7 @@ def test_chunked_batches_and_exact_run(spark):
     back = S.read_batches_of_run(spark, out, "original")
     assert back.count() == 25
     per_batch = {r["b"]: r["n"] for r in back.groupBy(
-        F.regexp_extract(F.col("_metadata.file_path"), r"batch_index=(\d+)", 1).alias("b")).count()
+        S.batch_of_file(F.col("line_no.file")).cast("string").alias("b")).count()
         .withColumnRenamed("count", "n").collect()}
     assert per_batch == {"0": 10, "1": 10, "2": 5}
     first = back.where(F.col("custom_id") == "exp_task_1").first()
@@ -133,3 +133,44 @@ def test_utf8_csv_and_local_request_ft_dir(spark, tmp_path):
     assert "ft_dir" not in plain.first()["json"]
     assert '"ft_dir":"/models/ft1"' in tuned.first()["json"]
     assert '"prompt":"\\"cat\\""' in tuned.first()["json"]
+
+
+def test_csv_quotes_are_doubled(spark, tmp_path):
+    from wordrate.sources import files as S
+    (tmp_path / "w.csv").write_text('Word,Note\n"say ""hi"", you",1\n"a,b","x ""y"""\n', encoding="utf-8")
+    want = [('say "hi", you', "1"), ("a,b", 'x "y"')]
+    for df in (S.read_word_table(spark, str(tmp_path / "w.csv")), S.read_csv_utf8(spark, str(tmp_path / "w.csv"))):
+        assert [tuple(r) for r in df.collect()] == want
+
+
+def test_xlsx_overwrite_and_failed_write(spark, tmp_path):
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from wordrate.sources import xlsx
+    xlsx.register(spark)
+    out = str(tmp_path / "book")
+    df = spark.range(5).select(F.col("id").cast("int").alias("n"), F.lit("a").alias("t"))
+    read = lambda: spark.read.format("xlsx").schema("n int, t string").load(out).count()
+    for _ in range(2):
+        df.write.format("xlsx").mode("overwrite").save(out)
+        assert read() == 5
+    df.write.format("xlsx").mode("append").save(out)
+    assert read() == 10
+    bad = df.withColumn("n", F.when(F.col("n") == 4, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception):
+        bad.write.format("xlsx").mode("append").save(out)
+    assert read() == 10 and not [f for f in os.listdir(out) if f.startswith(".job")]
+
+
+def test_model_factories_of_one_name_stay_apart(spark):
+    from wordrate.operators import model_scoring as M
+
+    def maker(x):
+        def factory():
+            return lambda prompts: [x] * len(prompts)
+        return factory
+    df = spark.createDataFrame([("a",)], "p string").coalesce(1)
+    assert [M.score_prompts(df, "p", maker(v)).first()["score"] for v in (1.0, 2.0)] == [1.0, 2.0]

@@ -2,7 +2,9 @@
 
 import json
 import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordrate import jobs
@@ -30,8 +32,9 @@ def test_prepare_then_score(spark, tmp_path):
     reqs = jobs.prepare_requests(spark, str(exp), CATALOGUE, ["fam_v02"], out, chunk_size=2)
     got = sorted((r["task_no"], r["word"]) for r in reqs.collect())
     assert got == [(1, "abdication"), (2, "abdomen"), (3, "café")]
-    files = [os.path.join(d, f) for d, _, fs in os.walk(out) for f in fs if f.endswith(".txt")]
+    files = [os.path.join(d, f) for d, _, fs in os.walk(out) for f in fs if f.endswith(".jsonl")]
     assert len(files) == 2                                   # 2 + 1 tasks in chunks of 2
+    assert all(re.fullmatch(r"fam_v02_batch_[01]_[-0-9]+\.jsonl", os.path.basename(f)) for f in files)
     results = tmp_path / "results.jsonl"
     lines = []
     for n in (1, 2):
@@ -43,7 +46,7 @@ def test_prepare_then_score(spark, tmp_path):
     scored = jobs.score_results(spark, out, str(results), str(tmp_path / "out"), mode="weighted_sum",
                                 feature_label="Familiarity", run="fam_v02", fmt="xlsx")
     book = spark.read.format("xlsx").schema("word string, answer_text string, value double, logprob double, "
-                                            "weighted_sum double, task_id string").load(str(tmp_path / "out" / "scores"))
+                                            "weighted_sum double, task_id string, run string").load(str(tmp_path / "out" / "scores"))
     assert sorted(r["word"] for r in book.collect()) == ["abdication", "abdomen"]
     rows = {r["word"]: r for r in scored.collect()}
     assert set(rows) == {"abdication", "abdomen"}
@@ -97,6 +100,48 @@ experiments:
     assert len(rows) == 1 and rows[0]["word"] == "dog" and rows[0]["value"] == 5.0
     a = jobs.score_results(spark, out, str(res), run="run_a", mode="number", feature_label="Familiarity")
     assert a.first()["word"] == "dog"
+    with pytest.raises(ValueError):  # the file names no run, and there are two
+        jobs.score_results(spark, out, str(res), mode="number", feature_label="Familiarity")
+
+
+def _requests(path, ids_words):
+    path.write_text("".join(json.dumps({"custom_id": i, "body": {"messages": [{"role": "user", "content": f'Rate "{w}"'}]}}) + "\n" for i, w in ids_words))
+
+
+def _answers(path, ids_values):
+    path.write_text("".join(json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": v}}]}}}) + "\n" for i, v in ids_values))
+
+
+def test_runs_with_the_same_ids_and_other_words(spark, tmp_path):
+    """Each answer belongs to the run in its file's name."""
+    req, res, err = tmp_path / "req", tmp_path / "res", tmp_path / "err"
+    for d in (req, res, err):
+        d.mkdir()
+    _requests(req / "original_batch_0_2025-01-01.jsonl", [("t_1", "cat"), ("t_2", "emu")])
+    _requests(req / "original_2_batch_0_2025-01-01.jsonl", [("t_1", "dog"), ("t_2", "yak")])
+    _answers(res / "original_batch_0_2025-01-01_results.jsonl", [("t_1", "4")])
+    _answers(res / "original_2_batch_0_2025-01-01_results.jsonl", [("t_1", "6")])
+    scored = jobs.score_results(spark, str(req), str(res), str(tmp_path / "out"), mode="number", feature_label="Familiarity")
+    want = [("original", "cat", 4.0), ("original_2", "dog", 6.0)]
+    assert sorted((r.run, r.word, r.value) for r in scored.collect()) == want
+    back = spark.read.parquet(str(tmp_path / "out" / "scores"))
+    assert sorted((r.run, r.word, r.value) for r in back.collect()) == want
+    (err / "original_2_batch_0_2025-01-01_error.jsonl").write_text('{"custom_id": "t_2"}\n')
+    again = [json.loads(r.value)["body"]["messages"][0]["content"] for r in jobs.requeue_failed(spark, str(req), str(err)).collect()]
+    assert again == ['Rate "yak"']
+
+
+def test_batches_of_a_run_are_the_only_files_read(spark, tmp_path):
+    from wordrate.sources import files as S
+
+    for run in ("a", "a_2", "a+b c"):
+        _requests(tmp_path / f"{run}_batch_0_x.jsonl", [(f"{run}_1", "w")])
+    (tmp_path / "a_batch_bad.txt").write_text("no json")
+    for run in ("a", "a_2", "a+b c"):
+        got = S.read_batches_of_run(spark, str(tmp_path), run)
+        assert [(r.run, r.custom_id) for r in got.select("run", "custom_id").collect()] == [(run, f"{run}_1")]
+        if run != "a":
+            assert len(got.inputFiles()) == 1
 
 
 def test_merge_workbook_keeps_other_sheets(spark, tmp_path):

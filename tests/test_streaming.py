@@ -41,3 +41,22 @@ def test_two_drops_two_runs_exactly_once(spark):
     w = [math.exp(lp) for _, lp in TOP]
     expected = sum(int(t) * x for (t, _), x in zip(TOP, w)) / sum(w)
     assert got.where(F.abs(F.col("weighted_sum") - F.lit(expected)) > 1e-12).count() == 0
+
+
+def test_late_first_answers_and_runs(spark):
+    """An answer stamped hours before the others is kept, a repeat is not, and two runs with
+    the same task ids stay apart."""
+    base = K.scratch_dir(spark, "test-stream-late")
+    inbox = os.path.join(base, "in")
+    os.makedirs(inbox)
+    reqs = spark.createDataFrame([(r, f"k{i}", f'Rate "{r}{i}"', i) for r in ("a", "a_2") for i in range(4)],
+                                 "run string, task_id string, prompt string, line_no long")
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    drops = [("a_batch_0_x.jsonl", [("k0", 50), ("k1", 51)]), ("a_batch_1_x.jsonl", [("k2", 1), ("k0", 2)]),
+             ("a_2_batch_0_x.jsonl", [("k0", 0), ("k3", 59)])]
+    for name, answers in drops:
+        with open(os.path.join(inbox, name), "w") as fh:
+            fh.write("".join(_result(k, m) + "\n" for k, m in answers))
+        ST.run_available(ST.scored_stream(spark, inbox, reqs, feature_label="Familiarity", watermark="1 minute"), out, ckpt)
+    got = sorted((r.run, r.task_id, r.word) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "k0", "a0"), ("a", "k1", "a1"), ("a", "k2", "a2"), ("a_2", "k0", "a_20"), ("a_2", "k3", "a_23")]

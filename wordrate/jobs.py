@@ -61,19 +61,27 @@ def score_results(spark: SparkSession, request_paths, result_paths, out_dir: str
                   mode: str = "weighted_sum", feature_label: str = "AoA", locale: str = "default",
                   word_rule: str = "first", run: str | None = None, fmt: str = "parquet") -> DataFrame:
     """§3.3: both sides read with the union schemas (dialect per row), requests
-    deduplicated last-wins, inner join, one scoring projection; word mismatches are
-    written beside the result as diagnostics (K6).  ``fmt="xlsx"`` writes workbooks
-    (K2, one per task) instead of parquet."""
-    raw = S.read_requests(spark, request_paths)
-    if run is not None and "run" in raw.columns:  # K1 folders carry the run name
-        raw = raw.where(F.col("run") == run)
-    # one run at a time: task ids carry the experiment folder, not the run
-    reqs = R.canonical_requests(raw).withColumn("run", F.lit(run or ""))
-    res = R.canonical_results(S.read_results(spark, result_paths)).withColumn("run", F.lit(run or ""))
+    deduplicated last-wins per (run, task id), inner join on both, one scoring projection;
+    word mismatches are written beside the result as diagnostics (K6).  Task ids carry the
+    experiment folder, not the run (P3), so the run comes from the files' names (or their
+    ``run=`` folder).  ``run`` picks one run, and is the run of files that tell none; without
+    it, such results belong to the requests' only run, and it is an error if there are
+    several.  ``fmt="xlsx"`` writes workbooks (K2, one per task) instead of parquet."""
+    reqs = R.canonical_requests(S.read_requests(spark, request_paths))
+    res = R.canonical_results(S.read_results(spark, result_paths))
+    if run is None and res.where(F.col("run") == "").limit(1).count():
+        known = [r["run"] for r in reqs.select("run").distinct().limit(2).collect()]
+        if len(known) > 1:
+            raise ValueError("result files name no run, and the requests are of several; give run=")
+        run = known[0] if known else ""
+        res = res.withColumn("run", F.when(F.col("run") == "", F.lit(run)).otherwise(F.col("run")))
+    elif run is not None:
+        mine = F.when(F.col("run") == "", F.lit(run)).otherwise(F.col("run"))
+        reqs, res = (d.withColumn("run", mine).where(F.col("run") == run) for d in (reqs, res))
     scored = R.score(R.join_results(res, reqs), mode=mode, feature_label=feature_label,
                      locale=locale, word_rule=word_rule)
     if out_dir:
-        table = scored.select("word", "answer_text", "value", "logprob", "weighted_sum", "task_id")
+        table = scored.select("word", "answer_text", "value", "logprob", "weighted_sum", "task_id", "run")
         if fmt == "xlsx":
             from .sources import xlsx
             xlsx.register(spark)
@@ -85,11 +93,16 @@ def score_results(spark: SparkSession, request_paths, result_paths, out_dir: str
 
 
 def requeue_failed(spark: SparkSession, request_paths, error_paths, out_dir: str | None = None) -> DataFrame:
-    """J6 with a tolerant read of the error file (S6); rejects go to diagnostics."""
-    reqs = spark.read.text(request_paths).where(F.trim("value") != "")
-    parsed = S.parse_json_lines(reqs, "custom_id string", keep=("value",)).where(F.col("_bad").isNull())
+    """J6 with a tolerant read of the error file (S6); rejects go to diagnostics.  An error
+    file whose name tells its run re-queues that run's requests only; one that tells none
+    matches by id alone."""
+    text = spark.read.text(request_paths).select("value", S.run_of_file(F.col("_metadata.file_path")).alias("run"))
+    parsed = S.parse_json_lines(text.where(F.trim("value") != ""), "custom_id string", keep=("value", "run")).where(F.col("_bad").isNull())
     failed, rejects = S.read_jsonl_tolerant(spark, error_paths, "custom_id string")
-    again = RQ.requeue(parsed.select("custom_id", "value"), failed).select("value")
+    failed = failed.select("custom_id", S.run_of_file(F.col("line_no.file")).alias("run"))
+    reqs = parsed.select("run", "custom_id", "value")
+    hit = RQ.requeue(reqs, failed, run="run")
+    again = hit.select("value")
     if out_dir:
         again.write.mode("error").text(os.path.join(out_dir, "requests"))
         K.write_diagnostics(rejects, os.path.join(out_dir, "rejected_lines"))

@@ -1,7 +1,7 @@
 """M1: score prompts with a caller-supplied model, in small groups, inside Spark tasks.
 
-The model (a Python callable ``prompts -> outputs``) is built once per Python worker by
-``factory`` and cached; prompts stream through ``mapInPandas`` as Arrow batches and are
+The model (a Python callable ``prompts -> outputs``) is built once per task by
+``factory``; prompts stream through ``mapInPandas`` as Arrow batches and are
 regrouped into calls of ``batch_size`` prompts (the last group of a batch is flushed
 short).  One output per prompt, in input order.  Calling remote services or loading
 weights is the factory's business, not this module's.
@@ -14,23 +14,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_MODELS: dict[tuple[str, str], Callable] = {}
-
-
-def _model(factory: Callable[[], Callable[[list[str]], Sequence]]) -> Callable:
-    # keyed by name: the factory is unpickled afresh for every task, the worker is reused
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
-
-
 def score_prompts(df: DataFrame, prompt_col: str, factory: Callable[[], Callable[[list[str]], Sequence]],
                   out_col: str = "score", out_type: T.DataType = T.DoubleType(), batch_size: int = 5) -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type)])
 
     def run(batches):
-        model = _model(factory)
+        model = factory()  # once per task
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
             outs: list = []

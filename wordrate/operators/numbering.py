@@ -4,11 +4,12 @@
 ``prefix_sum``       exclusive running sum of a value within groups (Spearman ranks,
                      transcript offsets).
 
-Both range-partition the data on the ordering keys, number or sum inside each
-partition (a sort, or a window over one partition-and-group slice), and add an offset
-from a table with one row per partition (or per partition and group), which is tiny.
-The ordering keys must be unique (add a tie-breaker) so a recomputed partition yields
-the same numbers.
+Both range-partition the data on the ordering keys and number or sum inside each
+partition, then add an offset per partition.  Range bounds are sampled, so two plans over
+the same data may cut it differently; the ranged rows are therefore stored once (a reliable
+checkpoint), each with its partition's number, and both the counts and the rows are read
+from there.  Offsets have one row per partition at most, and are broadcast.  The ordering
+keys must be unique (add a tie-breaker) so that the order is total.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
 
@@ -40,10 +43,11 @@ def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int
     so no extra pass)."""
     order = _cols(order_cols)
     n = _n_partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_wr_pid", F.spark_partition_id())
-                .withColumn("_wr_mid", F.monotonically_increasing_id()))
+    # the place in the order is a stored value: no later plan computes it again
+    tagged = cut_lineage(df.repartitionByRange(n, *order)
+                           .sortWithinPartitions(*order)
+                           .withColumn("_wr_pid", F.spark_partition_id())
+                           .withColumn("_wr_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_wr_pid").agg(F.count(F.lit(1)).alias("_wr_n"))
     offsets = counts.select(
         "_wr_pid",
@@ -64,23 +68,25 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols, value_col: str,
 
     The data is range-partitioned on (group, order), so every (partition, group)
     slice is bounded by the partition size.  The running sum inside a slice is a
-    window over that slice only, and the slice's starting offset is the sum of the
-    totals of the same group in earlier partitions -- a table with at most
-    (partitions x groups-per-partition) rows.  Nothing runs in Python.
+    window over that slice only.  A group that began in an earlier partition is the
+    first of its partition, so at most one slice per partition has an offset: the sum of
+    the group's totals before it.  Nothing runs in Python.
     """
     order = _cols(order_cols)
     keys = [F.col(c) for c in group_cols] + order
     n = _n_partitions(df, num_partitions)
     ranged = df.repartitionByRange(n, *keys).withColumn("_ps_pid", F.spark_partition_id())
-
-    totals = ranged.groupBy("_ps_pid", *group_cols).agg(F.sum(value_col).cast("long").alias("_ps_tot"))
-    before = Window.partitionBy(*group_cols).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_ps_pid", *group_cols,
-                            F.coalesce(F.sum("_ps_tot").over(before), F.lit(0)).cast("long").alias("_ps_off"))
-
     in_slice = (Window.partitionBy("_ps_pid", *group_cols).orderBy(*order)
                       .rowsBetween(Window.unboundedPreceding, -1))
-    local = ranged.withColumn("_ps_local", F.coalesce(F.sum(value_col).over(in_slice), F.lit(0)).cast("long"))
-    return (local.join(offsets, ["_ps_pid", *group_cols])  # AQE broadcasts the small side
-                 .withColumn(out, F.col("_ps_off") + F.col("_ps_local"))
-                 .drop("_ps_pid", "_ps_local", "_ps_off"))
+    local = cut_lineage(ranged.withColumn("_ps_local", F.coalesce(F.sum(value_col).over(in_slice), F.lit(0)).cast("long")))
+
+    totals = local.groupBy("_ps_pid", *group_cols).agg(F.sum(value_col).cast("long").alias("_ps_tot"))
+    before = Window.partitionBy(*group_cols).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_ps_pid", *[F.col(c).alias(f"_ps_{c}") for c in group_cols],
+                            F.sum("_ps_tot").over(before).cast("long").alias("_ps_off")).filter("_ps_off is not null")
+    same = F.col("_ps_pid") == F.col("_ps_pid2")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_ps_{c}"))
+    return (local.join(F.broadcast(offsets.withColumnRenamed("_ps_pid", "_ps_pid2")), same, "left")  # one row per partition at most
+                 .withColumn(out, F.coalesce("_ps_off", F.lit(0)) + F.col("_ps_local"))
+                 .drop("_ps_pid", "_ps_pid2", "_ps_local", "_ps_off", *[f"_ps_{c}" for c in group_cols]))

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def requeue(requests: DataFrame, failed: DataFrame, key: str = "custom_id") -> DataFrame:
+def requeue(requests: DataFrame, failed: DataFrame, key: str = "custom_id", run: str | None = None) -> DataFrame:
     """Requests whose id occurs among the failed ids (left semi join).
 
-    The failed side is reduced to distinct ids first; a semi join never multiplies
-    request rows, and AQE broadcasts the id set only when it is small at run time.
+    With ``run``, a failed id counts for the requests of its own run; one whose run is ''
+    counts for every run.  The failed side is reduced to distinct ids first; a semi join
+    never multiplies request rows, and AQE broadcasts the id set only when it is small at
+    run time.
     """
-    ids = failed.select(key).where(F.col(key).isNotNull()).distinct()
-    return requests.join(ids, key, "left_semi")
+    cols = [key] + ([run] if run else [])
+    ids = failed.select(*[F.col(c).alias(f"_failed_{c}") for c in cols]).dropna(subset=[f"_failed_{key}"]).distinct()
+    same = F.col(key) == F.col(f"_failed_{key}")
+    if run:
+        same = same & ((F.col(f"_failed_{run}") == "") | (F.col(f"_failed_{run}") == F.col(run)))
+    return requests.join(ids, same, "left_semi")
 
 
 def completeness(requests: DataFrame, results: DataFrame, run: str = "run", key: str = "task_id",

@@ -5,7 +5,6 @@ under the shared checkpoint folder, derived from the driver tables."""
 from __future__ import annotations
 
 import os
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,35 +38,28 @@ def prefix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = K.scratch_dir(spark, "batches")
     _write_runs(spark, sf_dir, folder)
     reqs = S.read_batches_of_run(spark, folder, "original")
-    per_file = reqs.select("run", F.regexp_extract(F.col("_metadata.file_path"), r"batch_index=(\d+)", 1)
-                           .cast("long").alias("batch_index"),
+    per_file = reqs.select("run", S.batch_of_file(F.col("line_no.file")).alias("batch_index"),
                            F.regexp_extract("custom_id", r"_task_(\d+)$", 1).cast("long").alias("task_no"))
     return per_file.groupBy("run", "batch_index").agg(F.count(F.lit(1)).alias("n_tasks"),
                                                       F.min("task_no").alias("first_task"))
 
 
-@query("newest_file")
+@query("newest_file", sql="""
+SELECT 'later' AS run, count(*) AS n_requests, sum(length(p_name))::BIGINT AS name_chars FROM part""")
 def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After writing run ``original`` and then run ``original_2``, the newest file
-    directly in the run folder belongs to ``original_2``."""
+    """S9 + T9: two runs are written one after the other, the first over the odd parts and
+    the other over all; the newest file directly in the folder is found, read and counted."""
     folder = K.scratch_dir(spark, "newest")
     part = D.read(spark, sf_dir, "part")
-    words = Q.number_words(part, ["p_partkey"], column="p_name")
-    for run in ("original", "original_2"):
-        reqs = Q.build_requests(words, D.experiment("OpenAI", run=run)).select(
-            F.col("json").alias("value"))
-        reqs.write.text(os.path.join(folder, "tmp-" + run))
-        # flat layout: move the part files up as {run}_batch_{i}_... names
-        jvm = spark.sparkContext._jvm
-        src = jvm.org.apache.hadoop.fs.Path(os.path.join(folder, "tmp-" + run))
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for i, st in enumerate(sorted(fs.listStatus(src), key=lambda s: s.getPath().getName())):
-            if st.getPath().getName().startswith("part-"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(
-                    os.path.join(folder, f"{run}_batch_{i}_2025-01-01-00-00.jsonl")))
-        time.sleep(1.1)
-    newest = S.newest_file(spark, folder, "*.jsonl")
-    return newest.select(S.run_of_file(F.col("path")).alias("run"))
+    for run, rows in (("earlier", part.where(F.col("p_partkey") % 2 == 1)), ("later", part)):
+        words = Q.number_words(rows, ["p_partkey"], column="p_name")
+        reqs = Q.build_requests(words, D.experiment("OpenAI", run=run))
+        K.write_request_batches(reqs, folder, chunk_size=1 << 40, stamp="2025-01-01-00-00")
+        K.touch(spark, os.path.join(folder, f"{run}_batch_0_2025-01-01-00-00.jsonl"), 1735689600 + 60 * (run == "later"))
+    newest = S.newest_file(spark, folder, "*.jsonl").first()["path"]  # one path
+    reqs = S.read_requests(spark, newest)
+    words = F.regexp_extract(F.col("body.messages")[0]["content"], '"([^"]*)"', 1)
+    return reqs.groupBy("run").agg(F.count(F.lit(1)).alias("n_requests"), F.sum(F.length(words)).alias("name_chars"))
 
 
 @query("stream_scores", sql=_E + """

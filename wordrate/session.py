@@ -71,6 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current.get()
     if configured:
         return configured
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="wordrate-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:

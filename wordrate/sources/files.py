@@ -7,11 +7,14 @@ driver.  ``line_no`` orders lines by (file, byte offset of the split, position).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as SC
 
+
 def line_order() -> Column:
     """Input order of text-based files: file name, split start, position in split."""
     return F.struct(F.col("_metadata.file_path").alias("file"),
@@ -19,11 +22,18 @@ def line_order() -> Column:
                     F.monotonically_increasing_id().alias("pos"))
 
 
-def read_word_table(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+def _csv(spark: SparkSession, encoding: str, multi_line: bool):
+    """Comma-separated with a header; a quote inside a quoted cell is doubled.  A line break
+    ends a record unless ``multi_line`` is set, which reads each file as one split."""
+    return (spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+                 .option("multiLine", multi_line))
+
+
+def read_word_table(spark: SparkSession, path: str, column: str | None = None, multi_line: bool = False) -> DataFrame:
     """Word list by extension -- CSV in ISO-8859-1 with header, or XLSX (first
     sheet); any other extension is an error.  ``column`` projects P1's word column."""
     if path.endswith(".csv"):
-        df = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+        df = _csv(spark, "ISO-8859-1", multi_line).csv(path)
     elif path.endswith(".xlsx"):
         from . import xlsx
         xlsx.register(spark)
@@ -33,9 +43,9 @@ def read_word_table(spark: SparkSession, path: str, column: str | None = None) -
     return df.select(column) if column else df
 
 
-def read_csv_utf8(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_utf8(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with header in UTF-8."""
-    return spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    return _csv(spark, "UTF-8", multi_line).csv(path)
 
 
 def read_jsonl_strict(spark: SparkSession, paths, ddl: str) -> DataFrame:
@@ -69,38 +79,45 @@ def read_jsonl_tolerant(spark: SparkSession, paths, ddl: str) -> tuple[DataFrame
     return good, rejects
 
 
+def _records(spark: SparkSession, paths, ddl: str, strict: bool) -> DataFrame:
+    """Records with the ``run`` that their file's name or folder tells ('' if neither does)."""
+    df = read_jsonl_strict(spark, paths, ddl) if strict else read_jsonl_tolerant(spark, paths, ddl)[0]
+    return df.withColumn("run", run_of_file(F.col("line_no.file")))
+
+
 def read_results(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
     """Result files of any dialect (S5/S6 + S12 happens per row downstream)."""
-    if strict:
-        return read_jsonl_strict(spark, paths, SC.RESULT_UNION)
-    return read_jsonl_tolerant(spark, paths, SC.RESULT_UNION)[0]
+    return _records(spark, paths, SC.RESULT_UNION, strict)
 
 
 def read_requests(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
-    if strict:
-        return read_jsonl_strict(spark, paths, SC.REQUEST_UNION)
-    return read_jsonl_tolerant(spark, paths, SC.REQUEST_UNION)[0]
+    return _records(spark, paths, SC.REQUEST_UNION, strict)
 
 
 def run_of_file(path: Column) -> Column:
-    """Run name of a batch file ``{run}_batch_{i}_{stamp}.jsonl`` (or K1's ``run=`` folder)."""
+    """Run name of a batch, result or error file: what stands before ``_batch_{i}_`` in the
+    file's name, else the folder ``run=...`` it is in, else ''."""
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # file paths are URI-encoded
     name = F.regexp_extract(path, r"([^/]+)$", 1)
-    folder_run = F.regexp_extract(path, r"/run=([^/]+)/", 1)
-    return F.when(folder_run != "", folder_run).otherwise(F.regexp_extract(name, r"^(.*)_batch_\d+_", 1))
+    from_name = F.regexp_extract(name, r"^(.+)_batch_\d+_", 1)
+    return F.when(from_name != "", from_name).otherwise(F.regexp_extract(path, r"/run=([^/]+)/", 1))
+
+
+def batch_of_file(path: Column) -> Column:
+    """Index of a batch file ``{run}_batch_{i}_{stamp}.jsonl``."""
+    return F.regexp_extract(path, r"_batch_(\d+)_[^/]*$", 1).cast("long")
 
 
 def read_batches_of_run(spark: SparkSession, folder: str, run: str, ddl: str = SC.REQUEST_UNION,
                         glob: str | None = None) -> DataFrame:
-    """Files of one run.  The name-prefix glob also matches longer run names
-    (``original`` vs ``original_2``), so the exact run is checked afterwards.
-    F6: ``glob="*predictions.jsonl"`` keeps only prediction files."""
-    reader = spark.read.schema(ddl).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = (reader.json(folder)
-               .withColumn("line_no", line_order())
-               .withColumn("run", run_of_file(F.col("_metadata.file_path"))))
-    return df.where(F.col("run") == run)
+    """Files of one run.  Only files whose name starts like the run's are listed; the
+    prefix also matches longer run names (``original`` and ``original_batch_2_x``), so the exact run
+    is checked on the file's path, before any line is parsed.
+    F6: ``glob="*predictions.jsonl"`` keeps only prediction files (of any name)."""
+    pattern = glob or re.sub(r"([\[\]{}*?\\])", r"\\\1", run) + "_batch_*"
+    df = (spark.read.schema(ddl).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
+               .where(run_of_file(F.col("_metadata.file_path")) == run))
+    return df.withColumn("line_no", line_order()).withColumn("run", F.lit(run))
 
 
 def newest_file(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

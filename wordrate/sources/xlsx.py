@@ -10,8 +10,12 @@ Writing: every task writes its own workbook (``part-<task>-<id>.xlsx``), with on
 (option ``sheet``, default ``Sheet1``) or one sheet per value of option ``sheetColumn``
 among the task's rows (a sheet spread over several tasks lands in several part
 workbooks; a sheet longer than the format's row limit continues on a numbered sheet).
-No data passes through the driver.  Paths are
-plain file-system paths, so on a cluster they must be on storage every executor mounts.
+No data passes through the driver.  Tasks
+write below a hidden folder of the job; the commit moves the workbooks of the tasks that
+succeeded into place (after removing the earlier ones for ``mode("overwrite")``), and an
+abort leaves the target as it was.  Rows are read and written one at a time; only cells
+that a workbook keeps in its shared string table are held.  Paths are plain file-system
+paths, so on a cluster they must be on storage that every executor mounts.
 """
 
 from __future__ import annotations
@@ -19,11 +23,15 @@ from __future__ import annotations
 import glob as _glob
 import os
 import re
+import shutil
+import sys
+import tempfile
 import uuid
 import zipfile
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType,
@@ -35,8 +43,8 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 
 
 def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(p for p in _glob.glob(os.path.join(path, "**", "*.xlsx"), recursive=True))
+    if os.path.isdir(path):  # a job's hidden folder is not part of the table
+        return sorted(_glob.glob(os.path.join(path, "**", "*.xlsx"), recursive=True))
     return sorted(_glob.glob(path)) or [path]
 
 
@@ -60,34 +68,54 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _rows(zf: zipfile.ZipFile, part: str):
-    shared = []
+_M = "{%s}" % _NS["m"]
+
+
+def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
+    out: list[str] = []
     if "xl/sharedStrings.xml" in zf.namelist():
-        for si in ET.fromstring(zf.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter("{%s}t" % _NS["m"])))
-    root = ET.fromstring(zf.read(part))
-    for row in root.findall("m:sheetData/m:row", _NS):
-        cells: dict[int, object] = {}
-        for i, c in enumerate(row.findall("m:c", _NS)):
-            idx = _col_index(c.get("r")) if c.get("r") else i
-            t = c.get("t")
-            v = c.find("m:v", _NS)
-            if t == "s":
-                val = shared[int(v.text)] if v is not None else None
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter("{%s}t" % _NS["m"]))
-            elif t == "b":
-                val = (v.text == "1") if v is not None else None
-            elif t in ("str", "e"):
-                val = v.text if v is not None else None
-            else:
-                val = v.text if v is not None else None
-                if val is not None:
-                    f = float(val)
-                    val = int(f) if f.is_integer() and "." not in val and "E" not in val.upper() else f
-            cells[idx] = val
-        width = max(cells) + 1 if cells else 0
-        yield [cells.get(i) for i in range(width)]
+        with zf.open("xl/sharedStrings.xml") as part:
+            for _, e in ET.iterparse(part):
+                if e.tag == _M + "si":
+                    out.append("".join(t.text or "" for t in e.iter(_M + "t")))
+                    e.clear()
+    return out
+
+
+def _value(cell, shared: list[str]):
+    kind, v = cell.get("t"), cell.find("m:v", _NS)
+    if kind == "inlineStr":
+        return "".join(x.text or "" for x in cell.iter(_M + "t"))
+    if v is None or v.text is None:
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return v.text == "1"
+    if kind in ("str", "e"):
+        return v.text
+    f = float(v.text)
+    return int(f) if f.is_integer() and "." not in v.text and "E" not in v.text.upper() else f
+
+
+def _rows(zf: zipfile.ZipFile, part: str):
+    """The rows of a worksheet, parsed one at a time."""
+    shared = _shared_strings(zf)
+    with zf.open(part) as xml:
+        data = None
+        for event, e in ET.iterparse(xml, events=("start", "end")):
+            if event == "start":
+                if e.tag == _M + "sheetData":
+                    data = e
+                continue
+            if e.tag != _M + "row":
+                continue
+            cells: dict[int, object] = {}
+            for i, c in enumerate(e.findall("m:c", _NS)):
+                cells[_col_index(c.get("r")) if c.get("r") else i] = _value(c, shared)
+            yield [cells.get(i) for i in range(max(cells) + 1)] if cells else []
+            if data is not None:
+                data.clear()  # rows already read
 
 
 def _convert(value, dtype):
@@ -164,64 +192,93 @@ def _col_name(i: int) -> str:
 MAX_ROWS = 1_048_576  # rows per worksheet, header included (format limit)
 
 
-def _sheet_xml(columns: list[str], rows) -> tuple[str, int]:
-    parts = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>']
-    parts.append('<row r="1">' + "".join(_cell(f"{_col_name(i)}1", c) for i, c in enumerate(columns)) + "</row>")
-    n = 0
-    for r in rows:
-        n += 1
-        k = n + 1
-        parts.append(f'<row r="{k}">' + "".join(_cell(f"{_col_name(i)}{k}", v) for i, v in enumerate(r)) + "</row>")
-    parts.append("</sheetData></worksheet>")
-    return "".join(parts), n
-
-
-def write_workbook_sheets(path: str, sheets: list[tuple[str, list[str], list]]) -> int:
-    """Write a workbook with one worksheet per (name, columns, rows) entry.  A sheet
-    longer than the format allows continues on ``<name>_2``, ``<name>_3``... so no
-    row is dropped."""
-    split: list[tuple[str, list[str], list]] = []
+class _Book:
+    """A workbook written row by row; each open sheet is a file beside it until it is closed."""
+
+    def __init__(self, path: str):
+        self.path, self.sheets = path, []  # (name, columns, file, rows)
+        self.parts = tempfile.mkdtemp(prefix="sheets-", dir=os.path.dirname(path) or ".")
+        self.open: dict[str, int] = {}
+        self.total = 0
+
+    def start(self, name: str, columns: list[str], part: int = 1) -> None:
+        full = name if part == 1 else f"{name}_{part}"
+        f = open(os.path.join(self.parts, f"{len(self.sheets)}.xml"), "w", encoding="utf-8")
+        f.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+        self.sheets.append([full, columns, f, 1, part])
+        self.open[name] = len(self.sheets) - 1
+        self._row(self.sheets[-1], columns)
+
+    @staticmethod
+    def _row(sheet, values) -> None:
+        k = sheet[3]
+        sheet[2].write(f'<row r="{k}">' + "".join(_cell(f"{_col_name(i)}{k}", v) for i, v in enumerate(values)) + "</row>")
+        sheet[3] = k + 1
+
+    def add(self, name: str, columns: list[str], values) -> None:
+        if name not in self.open:
+            self.start(name, columns)
+        sheet = self.sheets[self.open[name]]
+        if sheet[3] > MAX_ROWS:  # the format's limit: go on in a numbered sheet
+            self.start(name, columns, sheet[4] + 1)
+            sheet = self.sheets[self.open[name]]
+        self._row(sheet, values)
+        self.total += 1
+
+    def close(self) -> int:
+        n = len(self.sheets)
+        with zipfile.ZipFile(self.path, "w", zipfile.ZIP_DEFLATED) as zf:
+            overrides = "".join(
+                f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" '
+                'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+                for i in range(n))
+            zf.writestr("[Content_Types].xml",
+                        '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+                        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+                        '<Default Extension="xml" ContentType="application/xml"/>'
+                        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+                        + overrides + '</Types>')
+            zf.writestr("_rels/.rels",
+                        '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                        '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
+                        '</Relationships>')
+            zf.writestr("xl/workbook.xml",
+                        '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+                        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+                        + "".join(f'<sheet name="{escape(x[0])}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, x in enumerate(self.sheets))
+                        + '</sheets></workbook>')
+            zf.writestr("xl/_rels/workbook.xml.rels",
+                        '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                        + "".join(f'<Relationship Id="rId{i + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+                                  f'relationships/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(n))
+                        + '</Relationships>')
+            for i, sheet in enumerate(self.sheets):
+                sheet[2].write("</sheetData></worksheet>")
+                sheet[2].close()
+                zf.write(sheet[2].name, f"xl/worksheets/sheet{i + 1}.xml")
+        shutil.rmtree(self.parts)
+        return self.total
+
+    def discard(self) -> None:
+        for sheet in self.sheets:
+            sheet[2].close()
+        shutil.rmtree(self.parts, ignore_errors=True)
+
+
+def write_workbook_sheets(path: str, sheets) -> int:
+    """Write a workbook with one worksheet per (name, columns, rows) entry; rows may be any
+    iterable.  A sheet longer than the format allows continues on ``<name>_2``,
+    ``<name>_3``... so no row is dropped."""
+    book = _Book(path)
     for name, cols, rows in sheets:
-        rows = list(rows)
-        step = MAX_ROWS - 1
-        for part, start in enumerate(range(0, max(len(rows), 1), step)):
-            split.append((name if part == 0 else f"{name}_{part + 1}", cols, rows[start:start + step]))
-    total = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
-        overrides = "".join(
-            f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" '
-            'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
-            for i in range(len(split)))
-        zf.writestr("[Content_Types].xml",
-                    '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-                    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-                    '<Default Extension="xml" ContentType="application/xml"/>'
-                    '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-                    + overrides + '</Types>')
-        zf.writestr("_rels/.rels",
-                    '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
-                    '</Relationships>')
-        zf.writestr("xl/workbook.xml",
-                    '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-                    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
-                    + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>'
-                              for i, (n, _, _) in enumerate(split))
-                    + '</sheets></workbook>')
-        zf.writestr("xl/_rels/workbook.xml.rels",
-                    '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                    + "".join(f'<Relationship Id="rId{i + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
-                              f'relationships/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(split)))
-                    + '</Relationships>')
-        for i, (_, cols, rows) in enumerate(split):
-            xml, n = _sheet_xml(cols, rows)
-            total += n
-            zf.writestr(f"xl/worksheets/sheet{i + 1}.xml", xml)
-    return total
+        book.start(name, cols)
+        for r in rows:
+            book.add(name, cols, r)
+    return book.close()
 
 
 def write_workbook(path: str, sheet: str, columns: list[str], rows) -> int:
-    return write_workbook_sheets(path, [(sheet, columns, list(rows))])
+    return write_workbook_sheets(path, [(sheet, columns, rows)])
 
 
 class _Done(WriterCommitMessage):
@@ -230,33 +287,63 @@ class _Done(WriterCommitMessage):
 
 
 class XlsxWriter(DataSourceWriter):
-    def __init__(self, options, schema: StructType):
-        self.options, self.schema = options, schema
+    def __init__(self, options, schema: StructType, overwrite: bool = False):
+        self.options, self.schema, self.overwrite = options, schema, overwrite
+        self.job = uuid.uuid4().hex
+
+    @property
+    def _staging(self) -> str:
+        return os.path.join(self.options["path"], f".job-{self.job}")
 
     def write(self, iterator):
-        """One workbook per task.  With option ``sheetColumn`` the rows are grouped
-        into one worksheet per value of that column (the column itself is not written);
-        otherwise all rows go to the sheet named by option ``sheet``."""
+        """One workbook per task.  With option ``sheetColumn`` the rows go to one worksheet
+        per value of that column (the column itself is not written); otherwise all go to
+        the sheet named by option ``sheet``.  An attempt has a folder of its own, so a
+        retried or speculative task never adds to another's rows."""
         from pyspark import TaskContext
-        folder = self.options["path"]
-        os.makedirs(folder, exist_ok=True)
         ctx = TaskContext.get()
-        path = os.path.join(folder, f"part-{ctx.partitionId():05d}-{uuid.uuid4().hex}.xlsx")
+        folder = os.path.join(self._staging, uuid.uuid4().hex)
+        os.makedirs(folder)
+        path = os.path.join(folder, f"part-{ctx.partitionId():05d}-{self.job}.xlsx")
         names = [f.name for f in self.schema.fields]
         by = self.options.get("sheetColumn")
-        if by:
-            idx = names.index(by)
-            cols = [c for c in names if c != by]
-            groups: dict[str, list] = {}
-            for r in iterator:
-                vals = tuple(r)
-                groups.setdefault(str(vals[idx]), []).append(vals[:idx] + vals[idx + 1:])
-            sheets = [(k, cols, v) for k, v in groups.items()]
-        else:
-            sheets = [(self.options.get("sheet", "Sheet1"), names, [tuple(r) for r in iterator])]
-        n = write_workbook_sheets(path, sheets)
+        idx = names.index(by) if by else None
+        cols = [c for c in names if c != by]
+        book = _Book(path)
+        try:
+            if idx is None:
+                sheet = self.options.get("sheet", "Sheet1")
+                book.start(sheet, cols)
+                for r in iterator:
+                    book.add(sheet, cols, tuple(r))
+            else:
+                for r in iterator:
+                    vals = tuple(r)
+                    book.add(str(vals[idx]), cols, vals[:idx] + vals[idx + 1:])
+                if not book.sheets:
+                    book.start(self.options.get("sheet", "Sheet1"), cols)
+            n = book.close()
+        except BaseException:
+            book.discard()
+            raise
         return _Done(path, n)
 
+    def commit(self, messages) -> None:
+        """Runs once, on the driver: what the successful attempts wrote takes its place."""
+        folder = self.options["path"]
+        before = [f for f in _files(folder) if os.path.isfile(f)] if os.path.isdir(folder) else []
+        os.makedirs(folder, exist_ok=True)
+        for m in messages:
+            if m is not None:
+                os.replace(m.path, os.path.join(folder, os.path.basename(m.path)))
+        if self.overwrite:
+            for f in before:
+                os.remove(f)
+        shutil.rmtree(self._staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self._staging, ignore_errors=True)
+
 
 class XlsxDataSource(DataSource):
     @classmethod
@@ -280,10 +367,12 @@ class XlsxDataSource(DataSource):
         return XlsxReader(self.options, schema)
 
     def writer(self, schema: StructType, overwrite: bool):
-        return XlsxWriter(self.options, schema)
+        return XlsxWriter(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    # by value: Python workers need no copy of the package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(XlsxDataSource)
 
 

@@ -4,17 +4,23 @@ result files (any dialect, explicit schema) --readStream--> canonical results
   --R2 dedupe per (run, task_id)--> stream-static inner join with the request table
   --score (same expressions as batch)--> append sink
 
-Deduplication state is bounded by an event-time watermark when the dialect carries a
-timestamp (``processed_time``); otherwise the key set itself is the state.  The sink
+A task's first answer is always kept, however old its own time stamp: provider batches
+finish hours apart and land in any order.  Repeats are told by (run, task_id), the run
+coming from the file's name or folder.  Without ``watermark`` the state holds one key per
+answered task and repeats are dropped for good.  With it, the state forgets a key that long
+after its *arrival* (the micro-batch's clock, which never runs late), so state is bounded by
+the tasks that arrive in that time, and a repeat that arrives later is a new answer.  The sink
 and its checkpoint live in shared storage, so a restarted query resumes exactly once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import responses as R
 from ..session import cut_lineage
+from ..sources import files as S
 from ..sources import schemas as SC
 
 
@@ -27,9 +33,11 @@ def scored_stream(spark: SparkSession, results_dir: str, requests: DataFrame, mo
     reader = spark.readStream.schema(SC.RESULT_UNION).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    canon = R.canonical_results(reader.json(results_dir))
+    raw = reader.json(results_dir).withColumn("run", S.run_of_file(F.col("_metadata.file_path")))
+    canon = R.canonical_results(raw)
     if watermark:
-        canon = canon.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["run", "task_id"])
+        canon = (canon.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", watermark)
+                      .dropDuplicatesWithinWatermark(["run", "task_id"]))
     else:
         canon = canon.dropDuplicates(["run", "task_id"])
     req = R.last_per_key(requests.select("run", "task_id", "prompt", "line_no"))
