@@ -37,7 +37,7 @@ from .graph import components
 from .sketch import blocks, summed
 
 _U = np.uint64
-SKETCH_BITS = 22  # 4M counters: 16 MB per task, whatever the input
+SKETCH_BITS = 24  # 16M counters: 64 MB per task, whatever the input
 LONG_LIST = 24  # nodes of a list from which pivots are tried first
 PIVOTS = 12
 TURNS = 2
@@ -79,7 +79,7 @@ def _profile(k: int):
                     n.append(len(t))
                     node.append(_node(t) if len(t) else None)
                     seen.append(t)
-                table += np.bincount((np.concatenate(seen) & mask).astype(np.int64), minlength=len(table)).astype(np.int32)
+                np.add.at(table, (np.concatenate(seen) & mask).astype(np.int64), 1)
                 none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())],
@@ -215,12 +215,12 @@ def _fits(na: str, nb: str, percent: int):
     return F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")
 
 
-def _in_mixed_lists(shared: DataFrame, edges: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     """The postings with their node's component so far, of lists with two components or more."""
     if edges is None:
-        return shared.withColumn("label", F.col("node"))
+        return rows.withColumn("label", F.col("node"))
     label = components(edges).withColumnRenamed("component", "label")
-    mine = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mine = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = mine.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     return mine.join(mixed, "key", "left_semi")
 
@@ -259,12 +259,13 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
     edges = None
     # 1. long lists: every node against a few pivots of its list, while that joins components
+    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > LONG_LIST)
+    crowded = cut_lineage(shared.join(size, "key"))
     for turn in range(TURNS):
-        mine = _in_mixed_lists(shared, edges)
+        mine = _labelled(crowded, edges)
         long = mine.groupBy("key").agg(
-            F.count(F.lit(1)).alias("g"),
             *[F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn * PIVOTS + s))).alias(f"p{s}") for s in range(PIVOTS)]
-        ).filter(F.col("g") > LONG_LIST).select("key", F.array_distinct(F.array(*[f"p{s}" for s in range(PIVOTS)])).alias("ps"))
+        ).select("key", F.array_distinct(F.array(*[f"p{s}" for s in range(PIVOTS)])).alias("ps"))
         star = (mine.join(long, "key").select("node", "n", "label", "light", F.explode("ps").alias("p"))
                 .filter(F.col("label") != F.col("p.label")).filter(_fits("n", "p.n", percent))
                 .groupBy(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
@@ -277,7 +278,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
         edges = new if edges is None else cut_lineage(edges.union(new))
 
     # 2. all lists, complete: pairs of nodes that are not in one component yet
-    mine = cut_lineage(_in_mixed_lists(shared, edges))
+    mine = cut_lineage(_labelled(shared, edges))
     size = mine.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
     short = mine.join(size.filter(F.col("g") <= LONG_LIST).select("key"), "key")
     # lists shared + the tokens behind the shorter prefix bound the overlap from above
