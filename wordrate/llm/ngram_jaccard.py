@@ -95,7 +95,10 @@ def common_classes(table: np.ndarray) -> np.ndarray:
     """0 for a counter that chance alone explains, else 1-15 growing with its count."""
     mean = table.mean()
     usual = mean + 6 * np.sqrt(mean) + 4
-    return np.where(table <= usual, 0, np.clip(1 + np.log2(np.maximum(table, 1) / usual), 1, 15)).astype(np.uint8)
+    out = np.zeros(len(table), np.uint8)
+    high = np.flatnonzero(table > usual)
+    out[high] = np.clip(1 + np.log2(table[high] / usual), 1, 15).astype(np.uint8)
+    return out
 
 
 def light_boundary(histogram: dict[int, int], percent: int, limit: int) -> int:

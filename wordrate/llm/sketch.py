@@ -46,7 +46,7 @@ def _merge(key, pdf):
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
     """The whole table of ``size`` counts from the tasks' blocks."""
-    out = np.zeros(-(-size // _BLOCK) * _BLOCK, np.int64)
+    out = np.zeros(-(-size // _BLOCK) * _BLOCK, np.uint32)
     # two levels, so that one block's parts from very many tasks never meet in one task
     first = parts.selectExpr(f"block * {_WAYS} + pmod(hash(counts), {_WAYS}) AS block", "counts")
     half = first.groupBy("block").applyInPandas(_merge, BLOCK_SCHEMA)

@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     if len(totals) < 2:
         return Model(np.zeros(1 << BITS), 0.0)
     table = summed(rows.select("text", "toxic").mapInArrow(_count, BLOCK_SCHEMA), 2 << BITS)
-    clean, toxic = table[:1 << BITS], table[1 << BITS:]
+    clean, toxic = table[:1 << BITS].astype(float), table[1 << BITS:].astype(float)
     p, q = (toxic + 0.5) / (totals[1] + 1), (clean + 0.5) / (totals[0] + 1)
     ratio = np.log(p / q)
     # how far a feature's toxic share is from what chance gives at its frequency
