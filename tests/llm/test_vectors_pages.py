@@ -37,7 +37,7 @@ def test_top_inner_is_exact(spark):
 
 
 def test_top_inner_fewer_rows_than_k(spark):
-    got = topk_inner.top_inner(vectors(spark, table(5)[:3]), F.col("vec_id") == 0, k=20).collect()
+    got = topk_inner.top_inner(vectors(spark, table()[:3]), F.col("vec_id") == 0, k=20).collect()
     assert sorted(r.rank for r in got) == [1, 2]
     assert topk_inner.top_inner(vectors(spark, ODD[:5]), F.col("vec_id") > 0).count() == 0
     assert topk_inner.top_inner(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") > 0).count() == 0

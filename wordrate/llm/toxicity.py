@@ -65,7 +65,7 @@ def _present(batch: pa.RecordBatch, column: int, chosen: np.ndarray | None = Non
         if chosen is not None:
             hit = chosen[slot]
             text, slot = text[hit], slot[hit]
-        keys.append(np.unique(text.astype(np.int64) << BITS | slot))
+        keys.append(text.astype(np.int64) << BITS | slot)
     key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return key >> BITS, key & ((1 << BITS) - 1)
 
