@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
 from .numbering import prefix_sum
 
 
@@ -121,9 +124,10 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
     broadcasts the rank table of a low-cardinality column); one pass then aggregates
     every such pair.  Pairs that involve missing values are ranked within the pair:
     rows are stacked per pair, identical (pair, a, b) rows combined map-side, values
-    counted per (pair, side, value) and ranked the same way, then joined back.  No
-    window ever holds a whole column or pair in one task.  Diagonal cells need no
-    ranks: 1 when the column has two distinct values, else missing.
+    counted per (pair, side, value) and ranked the same way, then joined back.  Pairs with
+    a column of one value have no correlation and are only counted.  No window ever holds a
+    whole column or pair in one task.  Diagonal cells need no ranks: 1 when the column has
+    two distinct values, else missing.
     """
     cols = [F.col(c).cast("double") for c in columns]
     ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
@@ -133,14 +137,19 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
         F.count_if(~o).alias(f"m{k}"), F.count_if(o).alias(f"n{k}"),
         (F.min(F.when(o, c)) < F.max(F.when(o, c))).alias(f"v{k}"))]).first()
     complete = [facts[f"m{k}"] == 0 for k in range(len(columns))]
-    all_pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    every = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    # a column of one value has no correlation with any: nothing to rank, only rows to count
+    flat = [p for p in every if not (facts[f"v{p[0]}"] and facts[f"v{p[1]}"])]
+    all_pairs = [p for p in every if p not in flat]
     fast = [(i, j) for i, j in all_pairs if complete[i] and complete[j]]
-    # Column-wide ranking costs one join per column; it pays off once there are at
-    # least two complete pairs per complete column (five or more complete columns).
-    if len(fast) < 2 * len({k for p in fast for k in p}):
-        fast = []
     slow = [p for p in all_pairs if p not in fast]
     parts = []
+    if flat:
+        both = df.agg(*[F.count_if(ok[i] & ok[j]).alias(f"p{k}") for k, (i, j) in enumerate(flat)])
+        per_pair = both.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("pair"), F.lit(None).cast("double").alias("r"), F.col(f"p{k}").alias("n"))
+            for k in range(len(flat))])).alias("s")).select("s.*")
+        parts.append(_long_form(spark, columns, flat, per_pair))
     if fast:
         used = sorted({k for p in fast for k in p})
         ranks = _column_ranks(df, [columns[k] for k in used], num_partitions)
@@ -168,8 +177,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int |
             (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_pair") + 1) / 2.0).alias("c"))
         ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("c").alias("ca"))
         rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
-        # Both sides grow with the number of distinct values: always a shuffled join.
-        with_ranks = combos.join(ra.hint("merge"), ["pair", "a"]).join(rb.hint("merge"), ["pair", "b"])
+        with_ranks = combos.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
         per_pair = with_ranks.groupBy("pair").agg(*_centred_r("ca", "cb", "w"))
         parts.append(_long_form(spark, columns, slow, per_pair))
     diag = [(name, name, 1.0 if facts[f"v{k}"] else None, int(facts[f"n{k}"])) for k, name in enumerate(columns)]
@@ -267,12 +275,9 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
     lat1 = F.col("lattice") == 1
     inside = F.when(lat1, (F.col("i") >= 0) & (F.col("i") <= nx) & (F.col("j") >= 0) & (F.col("j") <= ny)).otherwise(
         (F.col("i") >= 0) & (F.col("i") < nx) & (F.col("j") >= 0) & (F.col("j") < ny))
-    # Cells outside the lattice ranges are dropped after counting, one test per cell.
-    # The test compares the count, so the optimizer keeps it above the aggregate; a
-    # test on the keys alone would be pushed below it and inline the whole staged
-    # lattice arithmetic into a row filter.
-    cells = (pts.groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("count"))
-                .where(F.col("count") >= F.when(inside, F.lit(1)).otherwise(F.lit(1 << 62))))
+    # Cells outside of the lattice (points beyond its border cells) are no cells of the plot.
+    # The counted cells, at most a few thousand, are stored, so the test runs once per cell.
+    cells = cut_lineage(pts.groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("count"))).where(inside)
     off = F.when(F.col("lattice") == 2, F.lit(0.5)).otherwise(F.lit(0.0))
     return cells.select("lattice", "i", "j",
                         (F.lit(xmin) + F.lit(sx) * (F.col("i") + off)).alias("cx"),
@@ -293,12 +298,19 @@ def error_density(df: DataFrame, column: str, gridsize: int = 200, cut: float =
     gmin, gmax = s["lo"] - bw * cut, s["hi"] + bw * cut
     step = (gmax - gmin) / (gridsize - 1)
     grid = [gmin + k * step for k in range(gridsize - 1)] + [gmax]
-    # Each value meets every grid point through a generator over a literal grid (no
-    # join), and the kernel sums are a small aggregate by grid point, combined map-side.
-    points = F.array(*[F.struct(F.lit(k).alias("point"), F.lit(g).alias("x")) for k, g in enumerate(grid)])
-    z = (F.col("p.x") - F.col("_v")) / F.lit(bw)
-    sums = (d.select(v.alias("_v"), F.explode(points).alias("p"))
-             .groupBy(F.col("p.point").alias("point"), F.col("p.x").alias("x"))
-             .agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("s")))
+    # Equal values are counted first; a task then adds up all grid points of its values
+    # at once, so no row is multiplied and gridsize rows leave a task.
+    values = d.groupBy(v.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+    def kernel_sums(batches):
+        at, total = np.array(grid), np.zeros(len(grid))
+        for batch in batches:
+            x, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for start in range(0, len(x), 4096):
+                z = (at[None, :] - x[start:start + 4096, None]) / bw
+                total += w[start:start + 4096] @ np.exp(-0.5 * z * z)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(at), pa.array(total)], names=["point", "x", "s"])
+
+    sums = values.mapInArrow(kernel_sums, "point int, x double, s double").groupBy("point", "x").agg(F.sum("s").alias("s"))
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
     return sums.select("point", "x", (F.col("s") * F.lit(norm)).alias("density"))
