@@ -168,6 +168,5 @@ def test_model_scoring_groups_of_five_in_order(spark):
 
 def test_stratified_split_rejects_unconfigured_stratum(spark):
     df = spark.range(30).withColumnRenamed("id", "k")
-    s = SP.split_stratified(df, "k", F.when(F.col("k") < 10, "a").otherwise("b"), {"a": 0.5})
     with pytest.raises(Exception, match="no fraction given for stratum b"):
-        s.collect()
+        SP.split_stratified(df, "k", F.when(F.col("k") < 10, "a").otherwise("b"), {"a": 0.5}).collect()

@@ -30,7 +30,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
 BROADCAST_ROWS = 200_000
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already materialised, a few fixed-width columns) marked for broadcast if its
-    measured row count is within BROADCAST_ROWS, and as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    measured row count is within ``rows``, and as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,6 +12,7 @@ consecutive windows mostly share it, so a text falls into runs of windows of one
 Runs go to the task of their anchor; there, runs whose bytes are equal are one class, whose
 smallest document keeps them, and the suffix order of the classes' bytes settles the rest.
 
+* texts that are equal count as one: all of a later copy goes, and only the first is read on;
 * pass 1 finds the anchors that occur in at least two texts (exactly, per range of hashes) and
   marks them in a bitmap of fixed size; a false mark costs a row, never a result;
 * pass 2 sends the runs of marked anchors;
@@ -21,24 +22,28 @@ smallest document keeps them, and the suffix order of the classes' bytes settles
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordrate.session import cut_lineage
+from wordrate.session import cut_lineage, ensure_checkpoint_dir
 
 from . import hashing as H
-from .batches import pieces
+from .batches import bounded, pieces
 
 _U = np.uint64
 GRAM = 16  # bytes of an anchor
 BITMAP_BITS = 28  # 32 MB, whatever the input
+_LOW = _U((1 << 40) - 1)
 CLASS_LIMIT = 100_000  # rows of one anchor held in a task
 
-_RUNS = "anchor long, run binary, doc_id long, tkey long, at int"
-_FOUND = "doc_id long, tkey long, span long, run binary, at int"
+#: ``places``: where in the text the run is found, little-endian 32-bit numbers.
+_RUNS = "anchor long, run binary, doc_id long, tkey long, places binary"
+_FOUND = "doc_id long, tkey long, span long, run binary, places binary"
 
 
 def _runs(raw: np.ndarray, off: np.ndarray, length: int):
@@ -85,21 +90,32 @@ def _anchors(length: int, ranges: int):
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
                 once = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[:len(h)]
-                u, c = np.unique(h[once], return_counts=True)
+                u, c = np.unique(h[once] & _LOW, return_counts=True)
                 u = np.sort(np.concatenate([u, u[c > 1]]))
                 r = (u % _U(ranges)).astype(np.int64)
                 order = np.argsort(r, kind="stable")
                 u, r = u[order], r[order]
                 cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r[cut], pa.int64()), pa.array([x.tobytes() for x in np.split(u, cut[1:])] if len(r) else [], pa.binary())],
+                    [pa.array(r[cut], pa.int64()), pa.array([_short(x) for x in np.split(u, cut[1:])] if len(r) else [], pa.binary())],
                     names=["range", "hashes"])
     return run
 
 
+def _short(h: np.ndarray) -> bytes:
+    """Five bytes of every hash: two that agree by chance only mark an anchor too many."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = _U((1 << BITMAP_BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> _U(64 - BITMAP_BITS))).astype(np.int64)
+    return (h & mask).astype(np.int64), (h >> _U(40 - BITMAP_BITS) & mask).astype(np.int64)
 
 
 def _repeated(batches):
@@ -108,7 +124,7 @@ def _repeated(batches):
     rows: dict[int, list] = {}
     for batch in batches:
         for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.setdefault(r, []).append(np.frombuffer(b, _U))
+            rows.setdefault(r, []).append(_long(b))
     for parts in rows.values():
         h = np.sort(np.concatenate(parts))
         parts.clear()
@@ -146,19 +162,32 @@ def _marked(length: int, bitmap):
             for batch in pieces(big, "text"):
                 raw, off = H.buffer_of(batch.column(2))
                 h, first, last, text = _runs(raw, off, length)
-                a, b = _places(h)
+                a, b = _places(h & _LOW)
                 bits = bitmap.value
                 hit = ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
                 h, first, last, text = h[hit], first[hit], last[hit], text[hit]
+                # a run that repeats in its text is sent once; its first and last window
+                # cover it, so their hashes tell it
+                w = H.byte_windows(raw, length)
+                order = np.lexsort((first, w[last], w[first], h, text))
+                h, first, last, text = h[order], first[order], last[order], text[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (w[first[1:]] != w[first[:-1]]) | (w[last[1:]] != w[last[:-1]])
+                places = (first - off[text]).astype("<i4")
+                edge = np.append(np.flatnonzero(new), len(h)).astype(np.int32)
+                h, first, last, text = h[new], first[new], last[new], text[new]
                 size = last - first + length
                 ends = np.cumsum(size)
                 idx = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
                 data = raw[idx] if len(idx) else raw[:0]
-                runs = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+                def binary(offsets, values):
+                    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.int64)), runs, batch.column(0).take(take), batch.column(1).take(take), pa.array((first - off[text]).astype(np.int32))],
-                    names=["anchor", "run", "doc_id", "tkey", "at"])
+                    [pa.array((h >> _U(33)).astype(np.int64)), binary(np.append(0, ends), data), batch.column(0).take(take), batch.column(1).take(take), binary(4 * edge, places)],
+                    names=["anchor", "run", "doc_id", "tkey", "places"])
     return run
 
 
@@ -195,15 +224,20 @@ def later_copies(data: np.ndarray, first: np.ndarray, count: np.ndarray, origin:
 
 
 def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Windows first..last of a run as one number."""
+    """Windows first..last of a run, counted from its start, as one number."""
     return first.astype(np.int64) << 16 | (last - first)
 
 
 def _settle(length: int, limit: int):
     """Rows sorted by (anchor, run, doc_id) in; spans out.  ``span`` null: a class of an
     anchor with more than ``limit`` rows, to be settled window by window."""
-    def cols(doc, tkey, span, run, at):
-        return pa.RecordBatch.from_arrays([doc, tkey, span, run, at], names=["doc_id", "tkey", "span", "run", "at"])
+    def rows_of(t, rows, span, with_run):
+        """(doc_id, tkey, span, run, places) of some rows of ``t``."""
+        p = t.take(pa.array(rows)).combine_chunks()
+        col = lambda n: p[n].combine_chunks()
+        span = pa.nulls(len(rows), pa.int64()) if span is None else pa.array(span)
+        run = col("run") if with_run else pa.nulls(len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays([col("doc_id"), col("tkey"), span, run, col("places")], names=["doc_id", "tkey", "span", "run", "places"])
 
     def classes(t, before):
         """(class of each row, its smallest document); ``before``: an earlier row of the first class."""
@@ -218,18 +252,13 @@ def _settle(length: int, limit: int):
         return new, cls, low
 
     def spans(t, rows, first, last):
-        if len(rows) == 0:
-            return None
-        take = pa.array(rows)
-        return cols(t["doc_id"].take(take).combine_chunks(), t["tkey"].take(take).combine_chunks(), pa.array(_pack(first, last)),
-                    pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int32()))
+        return rows_of(t, rows, _pack(first, last), False) if len(rows) else None
 
     def whole(t, new, cls, low):
         """Rows of a class whose smallest document is another one: all windows go."""
         rows = np.flatnonzero(t["doc_id"].to_numpy() > low[cls])
-        at = t["at"].to_numpy()[rows].astype(np.int64)
         size = pc.binary_length(t["run"]).to_numpy().astype(np.int64)[rows]
-        return spans(t, rows, at, at + size - length)
+        return spans(t, rows, np.zeros(len(rows), np.int64), size - length)
 
     def group(t):
         """Whole anchors."""
@@ -253,21 +282,19 @@ def _settle(length: int, limit: int):
         end = np.append(np.flatnonzero(edge)[1:] - 1, len(string) - 1)
         c, lo, hi = cls[heads[string[edge]]], offset[edge], offset[end]
         # every row of the class that belongs to its smallest document
-        doc, at = t["doc_id"].to_numpy(), t["at"].to_numpy().astype(np.int64)
-        mine = np.flatnonzero(doc == low[cls])
+        mine = np.flatnonzero(t["doc_id"].to_numpy() == low[cls])
         a, b = np.searchsorted(cls[mine], c), np.searchsorted(cls[mine], c, side="right")
         rep = np.repeat(np.arange(len(c)), b - a)
         rows = mine[np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
-        yield spans(t, rows, at[rows] + lo[rep], at[rows] + hi[rep])
+        yield spans(t, rows, lo[rep], hi[rep])
 
     def crowd(t, before):
         """A part of an anchor with too many rows: what is settled, and the classes' own rows."""
         new, cls, low = classes(t, before)
         yield whole(t, new, cls, low)
         rows = np.flatnonzero(t["doc_id"].to_numpy() == low[cls])
-        p = t.take(pa.array(rows)).combine_chunks()
         if len(rows):
-            yield cols(p["doc_id"].combine_chunks(), p["tkey"].combine_chunks(), pa.nulls(len(rows), pa.int64()), p["run"].combine_chunks(), p["at"].combine_chunks())
+            yield rows_of(t, rows, None, True)
 
     def run(batches):
         held, crowded, before = None, None, None
@@ -326,14 +353,22 @@ def _cut(length: int):
                 for i in range(batch.num_rows):
                     raw = (texts[i].as_py() or "").encode()
                     s = spans[i].values
-                    if s is None or len(s) == 0:
+                    if s is not None and len(s) == 0:  # a whole copy
+                        keep.append(b"")
+                        size.append(len(raw))
+                        gone.append(len(raw))
+                        parts.append([{"start": 0, "end": len(raw)}])
+                        continue
+                    if s is None:
                         keep.append(raw)
                         size.append(len(raw))
                         gone.append(0)
                         parts.append([])
                         continue
-                    p = s.to_numpy()
-                    first, last = p >> 16, (p >> 16) + (p & 0xFFFF) + length
+                    span, places = s.field("span").to_numpy(), s.field("places")
+                    n = pc.binary_length(places).to_numpy() // 4
+                    first = np.frombuffer(b"".join(places.to_pylist()), "<i4") + np.repeat(span >> 16, n)
+                    last = first + np.repeat(span & 0xFFFF, n) + length
                     d = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(d, first, 1)
                     np.add.at(d, last, -1)
@@ -350,9 +385,22 @@ def _cut(length: int):
     return run
 
 
+COPIES = 2_000_000  # later copies up to which they are told by a broadcast
+
+
+def later_whole_copies(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, tkey) of the documents whose whole text, of ``length`` bytes or more, is that of a
+    document with a smaller id."""
+    long = docs.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "tkey", F.md5("text").alias("h"))
+    low = long.groupBy("h").agg(F.min("doc_id").alias("low"))
+    found = cut_lineage(long.join(low, "h").filter("doc_id > low").select("doc_id", "tkey").distinct())
+    return bounded(found, COPIES)
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, class_limit: int = CLASS_LIMIT) -> DataFrame:
-    """(doc_id, tkey, spans) of the documents with later copies; a span packs the first of
-    a run of ``length``-byte windows and how many follow.  ``docs``: doc_id, tkey, text."""
+    """(doc_id, tkey, spans) of the documents with later copies.  A span has the windows of a
+    run that go, as the first of them (from the run's start) and how many follow, and the
+    places of the run in the text.  ``docs``: doc_id, tkey, text."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null")
     n = spark.conf.get("spark.sql.shuffle.partitions")
@@ -365,15 +413,18 @@ def repeated_spans(docs: DataFrame, length: int = 50, class_limit: int = CLASS_L
         bitmap[r["page"] << 13:(r["page"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     bitmap = spark.sparkContext.broadcast(bitmap)
     runs = docs.select("doc_id", "tkey", "text").mapInArrow(_marked(length, bitmap), _RUNS)
-    found = cut_lineage(runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc_id")
-                        .mapInArrow(_settle(length, class_limit), _FOUND))
+    # written as a table: compressed, and read twice
+    path = f"{ensure_checkpoint_dir(spark)}/spans-{uuid.uuid4().hex}"
+    (runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc_id")
+         .mapInArrow(_settle(length, class_limit), _FOUND).write.parquet(path))
+    found = spark.read.schema(_FOUND).parquet(path)
     # anchors with too many classes: window by window
-    each = (found.filter("span is null").select("doc_id", "tkey", "run", "at", F.explode(F.expr(f"sequence(0, length(run) - {length})")).alias("o"))
-            .select("doc_id", "tkey", F.expr(f"substring(run, o + 1, {length})").alias("w"), (F.col("at") + F.col("o")).cast("long").alias("p")))
+    each = (found.filter("span is null").select("doc_id", "tkey", "run", "places", F.explode(F.expr(f"sequence(0, length(run) - {length})")).alias("o"))
+            .select("doc_id", "tkey", "places", "o", F.expr(f"substring(run, o + 1, {length})").alias("w")))
     low = each.groupBy("w").agg(F.min("doc_id").alias("low"))
-    more = each.join(low, "w").filter("doc_id > low").select("doc_id", "tkey", F.shiftleft("p", 16).alias("span"))
-    return (found.filter("span is not null").select("doc_id", "tkey", "span").union(more)
-            .groupBy("doc_id", "tkey").agg(F.collect_list("span").alias("spans")))
+    more = each.join(low, "w").filter("doc_id > low").select("doc_id", "tkey", F.shiftleft(F.col("o").cast("long"), 16).alias("span"), "places")
+    return (found.filter("span is not null").select("doc_id", "tkey", "span", "places").union(more)
+            .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("span", "places")).alias("spans")))
 
 
 def remove_later_copies(docs: DataFrame, length: int = 50, class_limit: int = CLASS_LIMIT) -> DataFrame:
@@ -385,23 +436,33 @@ def remove_later_copies(docs: DataFrame, length: int = 50, class_limit: int = CL
     ``length`` bytes are kept.  Other columns are ignored, an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("tkey", F.xxhash64("text"))
-    spans = repeated_spans(docs, length, class_limit)
-    return (docs.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans")
-            .mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"))
+    docs = _with_spans(docs.withColumn("tkey", F.xxhash64("text")), length, class_limit)
+    return docs.select("doc_id", "text", "spans").mapInArrow(
+        _cut(length), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+
+
+def _with_spans(docs: DataFrame, length: int, class_limit: int) -> DataFrame:
+    """``docs(doc_id, tkey, text, ...)`` with spans: null if nothing goes, empty if all goes."""
+    copies = later_whole_copies(docs, length)
+    spans = repeated_spans(docs.join(copies, ["doc_id", "tkey"], "left_anti"), length, class_limit)
+    every = F.array().cast(spans.schema["spans"].dataType)
+    marked = docs.join(copies.withColumn("_copy", F.lit(True)), ["doc_id", "tkey"], "left")
+    return (marked.join(spans, ["doc_id", "tkey"], "left")
+            .withColumn("spans", F.when(F.col("_copy"), every).otherwise(F.col("spans"))).drop("_copy"))
 
 
 def without_later_copies(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with every text cut to its kept bytes (a character that loses some of its
     bytes goes as a whole) and n_chars set to the new length, where that column is there."""
     cols = docs.columns
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    spans = repeated_spans(marked.select(F.col("_id").alias("doc_id"), F.col("_key").alias("tkey"), F.col("text").cast("string").alias("text")), length)
-    joined = marked.join(spans.withColumnsRenamed({"doc_id": "_id", "tkey": "_key", "spans": "_spans"}), ["_id", "_key"], "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_kept_text(length)(F.col("text"), F.col("_spans"))))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(cols)]
+    marked = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = _with_spans(marked.withColumn("tkey", F.xxhash64("text")), length, CLASS_LIMIT)
+    changed = F.col("spans").isNotNull()
+    text = _kept_text(length)(F.col("text"), F.col("spans"))
+    out = marked.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    final = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col(f"own_{cols.index('n_chars')}")) if "n_chars" in cols else None}
+    return out.select(*[(final[c].cast(docs.schema[c].dataType) if c in final else F.col(f"own_{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 def _kept_text(length: int):
