@@ -78,7 +78,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_lpf_dedup", """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, len(h) // 2 - 49)) AS t(p)),
+seg AS (SELECT doc_id, k, len(h) // 2 - 50 - 256 * k AS last, substr(h, 512 * k + 1, 610) AS h
+        FROM d, unnest(range(0, len(h) // 512 + 1)) AS t(k)),
+w AS (SELECT doc_id, 256 * k + o AS p, substr(h, 2 * o + 1, 100) AS s FROM seg, unnest(range(0, least(256, last + 1))) AS t(o)),
 lo AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
 gone AS (SELECT doc_id, p FROM w JOIN lo USING (s) WHERE doc_id > lo),
 edge AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM gone),
