@@ -23,8 +23,8 @@ from .sketch import BLOCK_SCHEMA, blocks, summed
 
 _U = np.uint64
 BITS = 20
-FEATURES = 20_000  # n-grams kept: those whose ratio is farthest from chance
-FIT_ROWS = 20_000
+FEATURES = 8_000  # n-grams kept: those whose ratio is farthest from chance
+FIT_ROWS = 10_000
 THRESHOLD = 0.7
 
 #: ASCII letters folded, bytes of non-ASCII characters kept, all else a space.
@@ -87,16 +87,17 @@ def _rows(chosen):
             for batch in pieces(big, "text"):
                 text, slot = _present(batch, 1, chosen.value)
                 cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([slot[a:b].astype(np.int32).tolist() for a, b in zip(cut[:-1], cut[1:])], pa.list_(pa.int32()))], names=["toxic", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([slot[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["toxic", "slots"])
     return run
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 400, l2: float = 1e-4):
     """Logistic regression on binary features scaled by ``ratio``: Adam on the full sample."""
-    idx = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    idx = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     used, col = np.unique(idx, return_inverse=True)
-    val = ratio[used][col]
+    col = col.astype(np.int32)
+    val = ratio[used].astype(np.float32)[col]
     w, b = np.zeros(len(used)), 0.0
     m = v = np.zeros(len(used) + 1)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if 0 < y.mean() < 1 else np.ones(len(y))
@@ -150,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     chosen[keep] = True
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id")
     sample = rows.join(bounded(cut_lineage(ids)), "doc_id", "left_semi")
-    got = sample.mapInArrow(_rows(spark.sparkContext.broadcast(chosen)), "toxic int, slots array<int>").toPandas()  # <= fit_rows short rows
-    got["k"] = [bytes(np.asarray(s, np.int32)) for s in got["slots"]]
-    got = got.sort_values(["toxic", "k"])  # one order whatever the partitions
-    used, w, b = _fit([np.asarray(s, np.int64) for s in got["slots"]], got["toxic"].to_numpy(np.float64), ratio)
+    got = sample.mapInArrow(_rows(spark.sparkContext.broadcast(chosen)), "toxic int, slots binary")
+    # at most fit_rows short rows, in one order whatever the partitions
+    got = sorted((r["toxic"], bytes(r["slots"])) for r in got.collect())
+    used, w, b = _fit([np.frombuffer(s, "<i4") for _, s in got], np.array([t for t, _ in got], float), ratio)
     weights = np.zeros(1 << BITS)
     weights[used] = w
     return Model(weights, b)
