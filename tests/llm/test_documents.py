@@ -310,6 +310,24 @@ def test_toxicity_held_out(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted((x.doc_id is None, x.doc_id or 0) for x in got if not x.predicted)
 
 
+def test_toxicity_never_learns_from_other_labels(spark):
+    """Held-out labels and labels of no document change nothing, nor do they use up the sample."""
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(30)) + (" scumbag" if i % 4 == 0 else "")) for i in range(400)]
+    marks = [(i, int(i % 4 == 0)) for i in range(400)]
+
+    def scores(marks):
+        labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+        return {x.doc_id: x.score for x in toxicity.score_documents(frame(spark, rows), labels, fit_rows=150).collect()}
+
+    held = {i for i, _ in rows if binascii.crc32(str(i).encode()) % 3 == 1}
+    want = scores(marks)
+    assert want[4] > 0.7 > want[1]
+    for other in ([(i, 1 - t if i in held else t) for i, t in marks], marks + [(i, 1) for i in range(1000, 9000)]):
+        assert scores(other) == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_documents(frame(spark, [(1, "a"), (2, None)]), labels).collect()} == {0.5}

@@ -130,11 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     a null id, text or label are left out, and an id labelled twice both ways counts as toxic.
     Without rows of both classes every text scores 0.5."""
     spark = docs.sparkSession
-    marked = cut_lineage(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-                         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
-    rows = (docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(bounded(marked), "doc_id").select("doc_id", "text", "toxic"))
-    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = cut_lineage(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+                        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # only labels of the documents given count: totals, shares and the sample cover the same rows
+    marked = cut_lineage(texts.select("doc_id").join(bounded(known), "doc_id").groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("n")))
+    rows = texts.join(bounded(marked.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     if len(totals) < 2:
         return Model(np.zeros(1 << BITS), 0.0)
     table = summed(rows.select("text", "toxic").mapInArrow(_count, BLOCK_SCHEMA), 2 << BITS)
