@@ -328,6 +328,16 @@ def test_toxicity_never_learns_from_other_labels(spark):
         assert scores(other) == pytest.approx(want, abs=1e-6)
 
 
+def test_toxicity_weighs_every_telling_ngram(spark):
+    """More than 8,000 n-grams tell the classes apart here; none of the 20,000 best is left out."""
+    r = random.Random(6)
+    words = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(2000))
+    texts = [words(), words()]
+    docs = frame(spark, [(i, texts[i % 2]) for i in range(40)])
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert np.count_nonzero(model.weights) == 20_000
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_documents(frame(spark, [(1, "a"), (2, None)]), labels).collect()} == {0.5}

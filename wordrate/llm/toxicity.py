@@ -4,14 +4,16 @@ Features are the distinct n-grams of 4, 6 and 8 bytes of the text, after folding
 turning every other ASCII byte that is no letter into a space, hashed into a table of
 fixed size.  Each feature is scaled by the log ratio of its smoothed shares in the two
 classes (counted over every labelled training document), and a logistic regression weighs
-the scaled features.  Its weights are fitted on at most ``fit_rows`` training documents,
-those with the smallest hash of their id; everything else covers all rows.
+the scaled features.  Its weights are fitted on the training documents of at most
+``fit_rows`` ids, those with the smallest hash; everything else covers all rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from .sketch import BLOCK_SCHEMA, blocks, summed
 
 _U = np.uint64
 BITS = 20
-FEATURES = 8_000  # n-grams kept: those whose ratio is farthest from chance
-FIT_ROWS = 10_000
+FEATURES = 20_000  # n-grams kept: those whose ratio is farthest from chance
+FIT_ROWS = 20_000
 THRESHOLD = 0.7
 
 #: ASCII letters folded, bytes of non-ASCII characters kept, all else a space.
@@ -81,36 +83,34 @@ def _count(batches):
     yield pa.RecordBatch.from_pandas(blocks(table), schema=pa.schema([("block", pa.int64()), ("counts", pa.binary())]))
 
 
-def _rows(chosen):
+def _rows(place):
+    """Arrow map: (doc_id, text, toxic) -> toxic and the places of the chosen features it holds."""
     def run(batches):
         for big in batches:
             for batch in pieces(big, "text"):
-                text, slot = _present(batch, 1, chosen.value)
+                text, slot = _present(batch, 1, place.value >= 0)
                 cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([slot[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["toxic", "slots"])
+                at = np.concatenate([np.sort(place.value[slot[a:b]]) for a, b in zip(cut[:-1], cut[1:])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.ListArray.from_arrays(cut.astype(np.int32), at)], names=["toxic", "at"])
     return run
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 400, l2: float = 1e-4):
-    """Logistic regression on binary features scaled by ``ratio``: Adam on the full sample."""
-    idx = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    used, col = np.unique(idx, return_inverse=True)
-    col = col.astype(np.int32)
-    val = ratio[used].astype(np.float32)[col]
-    w, b = np.zeros(len(used)), 0.0
-    m = v = np.zeros(len(used) + 1)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if 0 < y.mean() < 1 else np.ones(len(y))
-    weight = np.sqrt(weight)
-    for t in range(1, steps + 1):
-        z = np.bincount(doc, val * w[col], minlength=len(y)) + b
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(col, val * e[doc], minlength=len(used)) + l2 * w, e.sum())
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return used, w * ratio[used], b
+def _fit(sample: DataFrame, ratio: np.ndarray, l2: float = 1e-4):
+    """Weights and bias of a logistic regression on binary features scaled by ``ratio``, from
+    ``sample(toxic, at)``: gradients are summed on the executors, the driver holds one weight
+    per feature."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # each class weighs the square root of what would make both count alike
+    weight = {y: (0.5 * sum(n.values()) / n[y]) ** 0.5 if len(n) > 1 else 1.0 for y in n}
+    size = max(1, len(ratio))
+    scale = sample.sparkSession.sparkContext.broadcast(ratio)
+    vector = F.udf(lambda at: Vectors.sparse(size, at, scale.value[at] if at else []), VectorUDT())
+    data = sample.select(F.col("toxic").cast("double").alias("label"), vector("at").alias("features"),
+                         F.when(F.col("toxic") == 1, F.lit(weight.get(1, 1.0))).otherwise(F.lit(weight.get(0, 1.0))).alias("weight"))
+    # the mean is over the weights' sum, the penalty over the rows
+    l2 *= sum(n.values()) / max(1e-9, sum(n[y] * weight[y] for y in n))
+    model = LogisticRegression(weightCol="weight", regParam=l2, standardization=False, maxIter=400).fit(data)
+    return model.coefficients.toArray()[:len(ratio)] * ratio, model.intercept
 
 
 class Model:
@@ -149,16 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     far = np.where(both >= 3, (toxic - both * share) / np.sqrt(both * share * (1 - share) + 1e-9), 0)
     keep = np.argsort(-np.abs(far), kind="stable")[:FEATURES]
     keep = keep[np.abs(far[keep]) > 3]
-    chosen = np.zeros(1 << BITS, bool)
-    chosen[keep] = True
-    ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id")
-    sample = rows.join(bounded(cut_lineage(ids)), "doc_id", "left_semi")
-    got = sample.mapInArrow(_rows(spark.sparkContext.broadcast(chosen)), "toxic int, slots binary")
-    # at most fit_rows short rows, in one order whatever the partitions
-    got = sorted((r["toxic"], bytes(r["slots"])) for r in got.collect())
-    used, w, b = _fit([np.frombuffer(s, "<i4") for _, s in got], np.array([t for t, _ in got], float), ratio)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    ids = cut_lineage(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id"))
+    sample = rows.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_rows(spark.sparkContext.broadcast(place)), "toxic int, at array<int>").persist()
+    try:
+        w, b = _fit(sample, ratio[keep])
+    finally:
+        sample.unpersist()
     weights = np.zeros(1 << BITS)
-    weights[used] = w
+    weights[keep] = w
     return Model(weights, b)
 
 
