@@ -110,6 +110,24 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows)
 
 
+def test_embedded_elements_cut_nothing_else():
+    """Embedded elements, closed, self-closed or never closed, leave the text after them alone."""
+    model = html_extract.Model({})
+    last = "Last words of the article, which are many enough to be read."
+    page = "<body><nav>Home</nav><article><p>First words of it, also many enough to be read.</p>{}<p>" + last + "</p></article><footer>end</footer></body>"
+    first = "First words of it, also many enough to be read."
+    for tag in ("svg", "math", "canvas", "audio", "video", "object", "template"):
+        for some in (f"<{tag} id='x'/>", f"<{tag}>", f"<{tag} width=1>"):
+            assert model.text(page.format(some)) == f"{first}\n\n{last}", some
+            assert model.text(page.format(some + f"</{tag}>") + f"<{tag}></{tag}>") == f"{first}\n\n{last}", some
+    for tag in ("canvas", "audio", "video", "template"):
+        assert model.text(page.format(f"<{tag}>You can not see <p>this.</p></{tag}>")) == f"{first}\n\n{last}"
+    for some in ("<svg><title/><style/><path d='M0'/></svg>", "<svg><script/>", "<iframe src=x>", "<noscript>"):
+        assert model.text(page.format(some)) == f"{first}\n\n{last}", some
+    assert model.text(page.format("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=y>a plot</object><svg><text>A</text><text>B</text></svg> are given.</p>")) == \
+        f"{first}\n\nWhere x=2 and a plot A B are given.\n\n{last}"
+
+
 def test_messages_are_marginals():
     """Sum-product on the tree against the sum over all states."""
     import itertools

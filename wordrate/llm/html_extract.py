@@ -28,7 +28,12 @@ TRAIN_PAGES = 2000
 
 # Fixed values of the HTML language: elements by the way they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template iframe object svg math canvas audio video".split())
+RAW = frozenset("script style title noscript iframe".split())
+CODE = frozenset("script style".split())  # without a close tag the rest of the page is theirs
+#: Closed, what they hold is not shown; one that is never closed is read like any other block.
+UNSHOWN = frozenset("template canvas audio video".split())
+FOREIGN = frozenset("svg math".split())  # "/>" closes an element only in these
+SPACED = frozenset("svg object text".split())  # inline, but never part of a word
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 #: A start tag of the first closes an open element of the second, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -38,7 +43,7 @@ SCOPE = frozenset("ul ol dl table select article section div main aside nav body
 # Words that pages use, by convention, in the names of their parts.
 OTHER_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar side aside ad ads advert advertisement sponsor sponsored banner promo cookie cookies consent notice alert popup modal form login signup newsletter subscribe share social related recommended breadcrumb breadcrumbs pagination comment comments reply replies disqus toolbar widget copyright legal skip search".split())
 MAIN_WORDS = frozenset("article main content post entry body story text page".split())
-OTHER_TAGS = frozenset("nav aside footer header form menu button select option textarea label fieldset dialog search".split())
+OTHER_TAGS = frozenset("#unshown nav aside footer header form menu button select option textarea label fieldset dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
 
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(>|(?=<)|\Z))""", re.S)
@@ -68,7 +73,7 @@ def parse(source: str) -> Page:
     in outline: a start tag closes what it can't be inside of, the end closes everything."""
     page = Page()
     stack = [(page.add(-1, "#root"), "#root")]
-    run, linked, links = [], 0, 0
+    run, linked, links, foreign = [], 0, 0, 0
 
     def flush():
         nonlocal linked
@@ -122,21 +127,40 @@ def parse(source: str) -> Page:
                 flush()
             elif name in BLOCK:
                 close({name}, ())
+            elif name in UNSHOWN:
+                node = next((i for i, t in reversed(stack) if t == name), None)
+                close({name}, SCOPE)
+                if node is not None and all(i != node for i, _ in stack):
+                    page.tag[node] = "#unshown"
+            elif name in FOREIGN:
+                foreign = max(0, foreign - 1)
+            if name in SPACED:
+                put(" ")
             continue
+        alone = m.group(4).rstrip().endswith("/")
+        if name in SPACED:
+            put(" ")
         if name == "br" or name == "hr":
             put(" ")
             if name == "hr":
                 flush()
         elif name in VOID:
             pass
+        elif name in FOREIGN:
+            foreign += not alone
+        elif foreign and alone:
+            pass
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if name in CODE else at
+        elif name in UNSHOWN:
+            flush()
+            stack.append((page.add(stack[-1][0], name), name))
         elif name == "a":
             links += 1
         elif name in BLOCK:
             flush()
-            links = 0
+            links = foreign = 0
             if name in CLOSES_P:
                 close({"p"}, SCOPE - {"li"})
             if name in CLOSES:
