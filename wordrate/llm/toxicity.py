@@ -61,15 +61,23 @@ def _grams(batch: pa.RecordBatch, column: int):
 
 
 def _present(batch: pa.RecordBatch, column: int, chosen: np.ndarray | None = None):
-    """Distinct (text, feature) pairs, of the chosen features only if given."""
-    keys = []
+    """Distinct (text, feature) pairs by text, of the chosen features only if given."""
+    n = batch.num_rows
+    found = []
     for text, slot in _grams(batch, column):
         if chosen is not None:
             hit = chosen[slot]
             text, slot = text[hit], slot[hit]
-        keys.append(text.astype(np.int64) << BITS | slot)
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+        found.append((np.searchsorted(text, np.arange(n + 1)), slot))
+    # of equal features of a text, only one is where its cell of ``last`` says; no sort
+    last = np.empty(1 << BITS, np.int32)
+    distinct = [np.zeros(0, np.int32)]
+    for i in range(n):
+        slot = np.concatenate([s[cut[i]:cut[i + 1]] for cut, s in found])
+        at = np.arange(len(slot), dtype=np.int32)
+        last[slot] = at
+        distinct.append(slot[last[slot] == at])
+    return np.repeat(np.arange(n), [len(d) for d in distinct[1:]]), np.concatenate(distinct)
 
 
 def _count(batches):
