@@ -1,10 +1,9 @@
 """Removal of repeated byte passages, the copy in the smallest document kept.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with
-a smaller doc_id.  Method: longest-previous-factor values.  In suffix order, the nearest
-suffixes before and after one that come from a smaller document (previous and next smaller
-values of the origin) give its longest match in an earlier document; where that is
-``length`` or more, the string is a later copy.
+a smaller doc_id: where its longest previous factor, the longest match in an earlier document,
+is ``length`` or more.  No such values are computed: windows of ``length`` bytes are grouped
+by equality (prefix doubling), and the smallest origin of each group tells its later copies.
 
 The suffixes are dealt out so that equal strings always meet.  The smallest hash among the
 k-grams of a ``length``-byte window (its anchor) depends on the window's bytes alone, and
@@ -196,9 +195,8 @@ def later_copies(data: np.ndarray, first: np.ndarray, count: np.ndarray, origin:
     each whose longest previous factor, the longest match in a string of smaller ``origin``,
     reaches ``length``.  String i has ``count[i]`` windows from ``first[i]`` on.
 
-    Suffixes are ordered by prefix doubling on their first ``length`` bytes.  Runs of equal
-    windows are then the suffixes with a common prefix of ``length``, and a smaller origin
-    before or after in the run is the previous or next smaller value within that prefix.
+    Suffixes are ranked by prefix doubling on their first ``length`` bytes; of each group of
+    equal windows, those of an origin larger than the group's smallest are later copies.
     """
     padded = np.append(data, np.zeros(8, np.uint8)).astype(_U)
     word = np.zeros(len(data), _U)
