@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_fold import decode, encode
+from .decontamination import contamination, digests
 from .embedding_dedup import near_duplicate_vectors
 from .html_extract import main_text
+from .importance import importance_ranks
 from .lpf_dedup import remove_later_copies
 from .ngram_jaccard import ngram_jaccard_components
 from .pii_bootstrap import KINDS, count_of, named, personal_data
@@ -143,3 +145,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[count_of("base", k).alias(f"n_{k}") for k in KINDS],
                         F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+
+# words of letters and digits after A-Z are lower-cased; CRC-32 four bits at a time
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_CRC_TABLE = """tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(4)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(16) r(i)) x)"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h)),
+  lambda i: strpos('0123456789ABCDEF', substr(h, (CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END)::BIGINT, 1)) - 1)),
+  lambda c, b: xor(c >> 4, t[(xor(c, b) & 15) + 1])))"""
+
+
+@_query("op11_bit_sliced_resampling", f"""
+WITH {_CRC_TABLE},
+w AS (SELECT 0 AS side, row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+      UNION ALL SELECT 1, row_number() OVER (), NULL, {_WORDS} FROM benchmark),
+f AS (SELECT side, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w),
+n AS (SELECT side, rid, s, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT s, {_CRC} % 10000 AS b FROM (SELECT DISTINCT s, hex(encode(s)) AS h FROM n), tab),
+k AS (SELECT b, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM n JOIN b USING (s) GROUP BY b),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM k),
+g AS (SELECT b, floor(1000 * ln(((k.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE) / ((k.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS g
+      FROM k, a),
+x AS (SELECT rid, sum(n * g) AS weight, sum(n) AS n FROM n JOIN b USING (s) JOIN g USING (b) WHERE side = 0 GROUP BY rid),
+d AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+      FROM w LEFT JOIN x USING (rid) WHERE side = 0),
+r AS (SELECT *, words >= 20 AS able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS pos,
+        count(*) OVER (PARTITION BY words >= 20) AS n FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND pos <= 5 * n // 100 THEN pos END AS rank FROM r
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@_query("op13_window_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+         lambda p: array_to_string(w[p:p + 9], ' '))) AS s FROM i WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT rid, k, unnest(range(1, len(w) - k + 2)) AS p,
+         unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s FROM d, k),
+h AS (SELECT rid, p, dw.k, item FROM dw JOIN iw ON dw.s = iw.s AND dw.k = iw.k),
+c AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
