@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_fold import decode, encode
+from .conversation_repair import repair_report
 from .decontamination import contamination, digests
 from .embedding_dedup import near_duplicate_vectors
 from .html_extract import main_text
@@ -199,3 +200,73 @@ FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def _least(*options: str) -> str:
+    """The struct of the least (cost, audit); null ones do not count."""
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+
+def _step(v: str, cost: str, letter: str, line: str) -> str:
+    """An edit before what ``v`` holds: cost, letters and repaired lines are put in front."""
+    return f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': '{letter}' || {v}.a, 't': list_concat({line}, {v}.t)}} END"
+
+
+_AFTER = (2, 2, 3, 2)
+_GIVEN = ("user", "user", "assistant", "user")
+_KEEPS = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+
+
+def _closed(names: list[str]) -> str:
+    """Columns v0..v3 from those with up to two rows inserted first."""
+    def ins(s, v):
+        return _step(v, "5", "I", f"['{_GIVEN[s]}:']")
+    out = []
+    for s in range(4):
+        one, two = _AFTER[s], _AFTER[_AFTER[s]]
+        out.append(f"{_least(names[s], ins(s, names[one]), ins(s, '(' + ins(one, names[two]) + ')'))} AS v{s}")
+    return ", ".join(out)
+
+
+def _row(s: int) -> str:
+    """The least edit of a row in state ``s``, from v0..v3 behind it."""
+    stays = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    kept = " ".join(f"WHEN k = '{k}' THEN {_step(f'v{to}', f'({stays})', 'K', '[role || chr(58) || text]')}" for k, to in _KEEPS[s].items())
+    free = "coalesce(fault, '') NOT IN ('blank', 'duplicate')"
+    given = f"['{_GIVEN[s]}:' || text]"
+    return _least(_step(f"v{s}", "2", "D", "[]"), f"CASE WHEN {free} THEN (CASE {kept} END) END",
+                  f"CASE WHEN {free} THEN ({_step(f'v{_AFTER[s]}', f'(1 + {stays})', 'R', given)}) END")
+
+
+@_query("op12_checkpointed_repair", f"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+e AS (SELECT *, {_CRC} % 20 AS e FROM k, tab),
+r AS (SELECT conv_id, turn, CASE WHEN e = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN e = 1 THEN '' WHEN e = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN e = 3 THEN [1, 2] ELSE [1] END) AS copy FROM e WHERE e <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM r),
+f AS (SELECT *, substr(role, 1, 1) AS k, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before || k NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS done),
+p AS (SELECT conv_id, n + 1 AS i, done AS w0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS w1,
+        NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS w2, done AS w3 FROM n, z),
+g AS (SELECT conv_id, i, {_closed(['w0', 'w1', 'w2', 'w3'])} FROM p
+  UNION ALL
+  SELECT conv_id, i, {_closed(['w0', 'w1', 'w2', 'w3'])} FROM (
+    SELECT g.conv_id, f.i, {', '.join(f'{_row(s)} AS w{s}' for s in range(4))}
+    FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i - 1) s),
+d AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost,
+       coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM d LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id AND g.i = 1
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
