@@ -154,13 +154,11 @@ def agreement(table: DataFrame, truth: str, pred: str, columns: Sequence[str],
               by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """A1-A12 over a merged table whose estimate columns may be text (X20 first)."""
     numeric = table.select(*by, *[N.coerce_numeric(c).alias(c) for c in columns])
-    pearson = AG.pearson_matrix(numeric, list(columns))
-    spearman = AG.spearman_matrix(numeric, list(columns))
     return {
         "errors": AG.error_metrics(numeric, truth, pred, by=list(by)),
-        "pearson": pearson,
-        "spearman": spearman,
-        "combined": AG.combined_matrix(pearson, spearman, list(columns)),
+        "pearson": AG.pearson_matrix(numeric, list(columns)),
+        "spearman": AG.spearman_matrix(numeric, list(columns)),
+        "combined": AG.combined_correlations(numeric, list(columns)),
         "histogram": AG.histogram(numeric, pred, 100),
         "hexbin": AG.hexbin(numeric, truth, pred, 30),
         "error_density": AG.error_density(numeric.select((F.col(pred) - F.col(truth)).alias("e")), "e"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import cut_lineage
-from .numbering import prefix_sum
+from .comoments import value_and_rank_moments, value_moments
 
 
 def _c(c) -> Column:
@@ -57,148 +57,37 @@ def error_metrics(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ())
 
 # --- A7-A9 ------------------------------------------------------------------------
 
-def _stack_pairs(df: DataFrame, columns: Sequence[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """One row per (input row, column pair) with both values present (NaN is missing)."""
-    cols = [F.col(c).cast("double") for c in columns]
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("pair"), cols[i].alias("a"), cols[j].alias("b"))
-        for k, (i, j) in enumerate(pairs)])).alias("s")).select("s.*")
-    return stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
-
-
-def _long_form(spark, columns: Sequence[str], pairs: list[tuple[int, int]], per_pair: DataFrame) -> DataFrame:
-    """(pair, r, n) -> (col_x, col_y, r, n) in both orientations; pairs without any
-    complete row appear with n = 0 and a missing r."""
-    names = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"))
-                      for k, (i, j) in enumerate(pairs)])
-    catalog = spark.range(1).select(F.explode(names).alias("p")).select("p.*")
-    full = catalog.join(per_pair, "pair", "left")  # both sides hold one row per pair
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    one = F.struct(F.col("x").alias("col_x"), F.col("y").alias("col_y"), "r", n.alias("n"))
-    other = F.struct(F.col("y").alias("col_x"), F.col("x").alias("col_y"), "r", n.alias("n"))
-    return (full.select(F.explode(F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, other)))
-                        .alias("o")).select("o.*"))
-
-
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson for every column pair; NULL when either side is
-    constant.  Rows are stacked per pair and aggregated by pair id (a handful of
-    groups, combined map-side) -- a small aggregate that stays code-generated, unlike
-    one aggregate with a buffer field per pair statistic.  Long form, both orders."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    stacked = _stack_pairs(df, columns, pairs)
-    denom = F.stddev_pop("a") * F.stddev_pop("b")
-    per_pair = stacked.groupBy("pair").agg((F.covar_pop("a", "b") / F.when(denom > 0, denom)).alias("r"),
-                                           F.count(F.lit(1)).alias("n"))
-    return _long_form(df.sparkSession, columns, pairs, per_pair)
-
-
-def _centred_r(ca: str, cb: str, w: str | None = None) -> tuple[Column, Column]:
-    """Pearson of ranks already centred on their exact mean (weights optional)."""
-    wt = F.col(w) if w else F.lit(1)
-    sab = F.sum(wt * F.col(ca) * F.col(cb))
-    saa = F.sum(wt * F.col(ca) * F.col(ca))
-    sbb = F.sum(wt * F.col(cb) * F.col(cb))
-    return (sab / F.when(saa * sbb > 0, F.sqrt(saa * sbb))).alias("r"), F.sum(wt).cast("long").alias("n")
-
-
-def _column_ranks(df: DataFrame, columns: Sequence[str], num_partitions: int | None) -> DataFrame:
-    """Centred average rank of every value of every listed column over all rows
-    (the columns hold no missing values): (col, v, c)."""
-    cols = [F.col(c).cast("double") for c in columns]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("col"), c.alias("v"))
-                                         for k, c in enumerate(cols)])).alias("s")).select("s.*")
-    counts = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sum(counts, ["col"], ["v"], "cnt", out="before", num_partitions=num_partitions)
-    n_col = counts.groupBy("col").agg(F.sum("cnt").alias("n_col"))
-    return ranked.join(n_col, "col").select(
-        "col", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_col") + 1) / 2.0).alias("c"))
+    """Pairwise-complete Pearson for every column pair, both orders; NULL when either
+    side is constant.  One scan; each task gives a co-moment matrix, merged in a tree."""
+    return value_moments(df, columns).select("col_x", "col_y", F.col("pearson").alias("r"), "n")
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Pearson of average ranks computed within each pair's complete rows.
-
-    Pairs of columns without missing values (found by one counting pass) share
-    column-wide ranks: each such column's distinct values are counted, ranked with a
-    range-partitioned prefix sum, and joined back to the rows once per column (AQE
-    broadcasts the rank table of a low-cardinality column); one pass then aggregates
-    every such pair.  Pairs that involve missing values are ranked within the pair:
-    rows are stacked per pair, identical (pair, a, b) rows combined map-side, values
-    counted per (pair, side, value) and ranked the same way, then joined back.  Pairs with
-    a column of one value have no correlation and are only counted.  No window ever holds a
-    whole column or pair in one task.  Diagonal cells need no ranks: 1 when the column has
-    two distinct values, else missing.
-    """
-    cols = [F.col(c).cast("double") for c in columns]
-    ok = [c.isNotNull() & ~F.isnan(c) for c in cols]
-    spark = df.sparkSession
-    # one pass gives, per column, the missing count and the diagonal cell (constant size)
-    facts = df.agg(*[x for k, (c, o) in enumerate(zip(cols, ok)) for x in (
-        F.count_if(~o).alias(f"m{k}"), F.count_if(o).alias(f"n{k}"),
-        (F.min(F.when(o, c)) < F.max(F.when(o, c))).alias(f"v{k}"))]).first()
-    complete = [facts[f"m{k}"] == 0 for k in range(len(columns))]
-    every = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    # a column of one value has no correlation with any: nothing to rank, only rows to count
-    flat = [p for p in every if not (facts[f"v{p[0]}"] and facts[f"v{p[1]}"])]
-    all_pairs = [p for p in every if p not in flat]
-    fast = [(i, j) for i, j in all_pairs if complete[i] and complete[j]]
-    slow = [p for p in all_pairs if p not in fast]
-    parts = []
-    if flat:
-        both = df.agg(*[F.count_if(ok[i] & ok[j]).alias(f"p{k}") for k, (i, j) in enumerate(flat)])
-        per_pair = both.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("pair"), F.lit(None).cast("double").alias("r"), F.col(f"p{k}").alias("n"))
-            for k in range(len(flat))])).alias("s")).select("s.*")
-        parts.append(_long_form(spark, columns, flat, per_pair))
-    if fast:
-        used = sorted({k for p in fast for k in p})
-        ranks = _column_ranks(df, [columns[k] for k in used], num_partitions)
-        rows = df.select(*[cols[k].alias(f"x{k}") for k in used])
-        for pos, k in enumerate(used):
-            rk = ranks.where(F.col("col") == pos).select(F.col("v").alias(f"x{k}"), F.col("c").alias(f"c{k}"))
-            rows = rows.join(rk, f"x{k}")
-        stacked = rows.select(F.explode(F.array(*[
-            F.struct(F.lit(p).alias("pair"), F.col(f"c{i}").alias("ca"), F.col(f"c{j}").alias("cb"))
-            for p, (i, j) in enumerate(fast)])).alias("s")).select("s.*")
-        per_pair = stacked.groupBy("pair").agg(*_centred_r("ca", "cb"))
-        parts.append(_long_form(spark, columns, fast, per_pair))
-    if slow:
-        stacked = _stack_pairs(df, columns, slow)
-        combos = stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-        counts = (combos.select("pair", F.lit(0).alias("side"), F.col("a").alias("v"), "w")
-                  .unionByName(combos.select("pair", F.lit(1).alias("side"), F.col("b").alias("v"), "w"))
-                  .groupBy("pair", "side", "v").agg(F.sum("w").alias("cnt")))
-        ranked = prefix_sum(counts, ["pair", "side"], ["v"], "cnt", out="before", num_partitions=num_partitions)
-        # Average ranks are centred on the known mean (n+1)/2 of each pair, so the
-        # correlation needs no second pass and no large-number cancellation.
-        n_pair = counts.where(F.col("side") == 0).groupBy("pair").agg(F.sum("cnt").alias("n_pair"))
-        ranks = ranked.join(n_pair, "pair").select(
-            "pair", "side", "v",
-            (F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n_pair") + 1) / 2.0).alias("c"))
-        ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("c").alias("ca"))
-        rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("c").alias("cb"))
-        with_ranks = combos.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
-        per_pair = with_ranks.groupBy("pair").agg(*_centred_r("ca", "cb", "w"))
-        parts.append(_long_form(spark, columns, slow, per_pair))
-    diag = [(name, name, 1.0 if facts[f"v{k}"] else None, int(facts[f"n{k}"])) for k, name in enumerate(columns)]
-    parts.append(spark.createDataFrame(diag, "col_x string, col_y string, r double, n long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Pearson of average ranks computed within each pair's complete rows.  Ranks of all
+    partners come from one prefix sum over (column, value)."""
+    return value_and_rank_moments(df, columns, num_partitions).select("col_x", "col_y", F.col("spearman").alias("r"), "n")
+
+
+def _placed(cells: DataFrame, columns: Sequence[str], upper: str, lower: str) -> DataFrame:
+    order = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    i, k = order[F.col("col_x")], order[F.col("col_y")]
+    r = F.when(i < k, F.col(upper)).when(i > k, F.col(lower))
+    return cells.select("col_x", "col_y", r.alias("r"), X.cell_label(r).alias("label"))
 
 
 def combined_matrix(upper: DataFrame, lower: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A9 + X24: cell (i, j) from ``upper`` when i < j, from ``lower`` when i > j,
     missing on the diagonal; label is two decimals or '-'."""
-    pos = {c: i for i, c in enumerate(columns)}
-    order = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(pos[c]))])
     u = upper.select("col_x", "col_y", F.col("r").alias("r_up"))
     lo = lower.select("col_x", "col_y", F.col("r").alias("r_lo"))
-    j = u.join(lo, ["col_x", "col_y"], "full_outer")
-    i, k = order[F.col("col_x")], order[F.col("col_y")]
-    r = F.when(i < k, F.col("r_up")).when(i > k, F.col("r_lo"))
-    return j.select("col_x", "col_y", r.alias("r"), X.cell_label(r).alias("label"))
+    return _placed(u.join(lo, ["col_x", "col_y"], "full_outer"), columns, "r_up", "r_lo")
+
+
+def combined_correlations(df: DataFrame, columns: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """A7 + A8 + A9: ``combined_matrix`` of a table's Pearson (above the diagonal) and Spearman
+    (below), both taken by the same scan."""
+    return _placed(value_and_rank_moments(df, columns, num_partitions), columns, "pearson", "spearman")
 
 
 # --- A10-A12 ----------------------------------------------------------------------

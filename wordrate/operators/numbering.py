@@ -1,7 +1,7 @@
 """Global ordering primitives that never put a whole table (or group) in one task.
 
 ``with_row_number``  dense 1-based numbering in a total order (P2, T4-T6).
-``prefix_sum``       exclusive running sum of a value within groups (Spearman ranks,
+``prefix_sum(s)``    exclusive running sums of values within groups (Spearman ranks,
                      transcript offsets).
 
 Both range-partition the data on the ordering keys and number or sum inside each
@@ -64,7 +64,16 @@ def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols, value_col: str,
                out: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = sum of ``value_col`` over rows of the same group that come
-    strictly earlier in ``order_cols`` order.
+    strictly earlier in ``order_cols`` order (see ``prefix_sums``)."""
+    return prefix_sums(df, group_cols, order_cols, {out: value_col}, num_partitions)
+
+
+def prefix_sums(df: DataFrame, group_cols: list[str], order_cols, sums: dict[str, str],
+                num_partitions: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
+    """Append, for every (out, value column) of ``sums``, the sum of the value over rows of
+    the same group that come strictly earlier in ``order_cols`` order; for every (out, value
+    column) of ``totals``, the sum over the whole group (few groups only: one row per group
+    is broadcast).
 
     The data is range-partitioned on (group, order), so every (partition, group)
     slice is bounded by the partition size.  The running sum inside a slice is a
@@ -75,18 +84,28 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols, value_col: str,
     order = _cols(order_cols)
     keys = [F.col(c) for c in group_cols] + order
     n = _n_partitions(df, num_partitions)
+    values = list(dict.fromkeys([*sums.values(), *(totals or {}).values()]))
     ranged = df.repartitionByRange(n, *keys).withColumn("_ps_pid", F.spark_partition_id())
     in_slice = (Window.partitionBy("_ps_pid", *group_cols).orderBy(*order)
                       .rowsBetween(Window.unboundedPreceding, -1))
-    local = cut_lineage(ranged.withColumn("_ps_local", F.coalesce(F.sum(value_col).over(in_slice), F.lit(0)).cast("long")))
+    local = cut_lineage(ranged.withColumns({f"_ps_local_{o}": F.coalesce(F.sum(v).over(in_slice), F.lit(0)).cast("long") for o, v in sums.items()}))
 
-    totals = local.groupBy("_ps_pid", *group_cols).agg(F.sum(value_col).cast("long").alias("_ps_tot"))
+    slices = local.groupBy("_ps_pid", *group_cols).agg(*[F.sum(v).cast("long").alias(f"_ps_tot_{v}") for v in values])
     before = Window.partitionBy(*group_cols).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_ps_pid", *[F.col(c).alias(f"_ps_{c}") for c in group_cols],
-                            F.sum("_ps_tot").over(before).cast("long").alias("_ps_off")).filter("_ps_off is not null")
+    offsets = slices.select(F.col("_ps_pid").alias("_ps_pid2"), *[F.col(c).alias(f"_ps_{c}") for c in group_cols],
+                            F.count(F.lit(1)).over(before).alias("_ps_earlier"),
+                            *[F.sum(f"_ps_tot_{v}").over(before).cast("long").alias(f"_ps_off_{o}") for o, v in sums.items()])
+    offsets = offsets.filter("_ps_earlier > 0").drop("_ps_earlier")
     same = F.col("_ps_pid") == F.col("_ps_pid2")
     for c in group_cols:
         same = same & F.col(c).eqNullSafe(F.col(f"_ps_{c}"))
-    return (local.join(F.broadcast(offsets.withColumnRenamed("_ps_pid", "_ps_pid2")), same, "left")  # one row per partition at most
-                 .withColumn(out, F.coalesce("_ps_off", F.lit(0)) + F.col("_ps_local"))
-                 .drop("_ps_pid", "_ps_pid2", "_ps_local", "_ps_off", *[f"_ps_{c}" for c in group_cols]))
+    out = (local.join(F.broadcast(offsets), same, "left")  # one row per partition at most
+                .withColumns({o: F.coalesce(f"_ps_off_{o}", F.lit(0)) + F.col(f"_ps_local_{o}") for o in sums})
+                .drop("_ps_pid", "_ps_pid2", *[f"_ps_{c}" for c in group_cols], *[f"_ps_local_{o}" for o in sums], *[f"_ps_off_{o}" for o in sums]))
+    if totals:
+        whole = slices.groupBy(*[F.col(c).alias(f"_ps_{c}") for c in group_cols]).agg(*[F.sum(f"_ps_tot_{v}").cast("long").alias(o) for o, v in totals.items()])
+        in_group = F.lit(True)
+        for c in group_cols:
+            in_group = in_group & F.col(c).eqNullSafe(F.col(f"_ps_{c}"))
+        out = out.join(F.broadcast(whole), in_group).drop(*[f"_ps_{c}" for c in group_cols])
+    return out

@@ -1,10 +1,9 @@
 """Exact-size seeded splits and shuffles.
 
-Rows are ordered by ``md5(key || '#' || seed)`` (the same order on any engine), then
-numbered globally with the range-partitioned ``with_row_number``; the first n rows of
-the order (per stratum) are drawn.  The exact split takes its row count from the
-numbering itself; the stratified split brings one count per configured stratum to the
-driver.  No window ever holds a whole stratum in one task.
+Rows are ordered by ``md5(key || '#' || seed)`` (the same order on any engine).  A shuffle as a
+column (T3) is numbered globally with the range-partitioned ``with_row_number``.  A split
+needs no numbers: ``selection.places`` finds the n-th row of the order (per stratum) by
+counting, and every row is labelled where it lies by comparing itself with that row.
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import with_row_number
+from .selection import places, up_to
 
 
 def seeded_key(key: str | Column, seed: int) -> Column:
@@ -40,25 +40,40 @@ def sample_size(n: int, fraction: float, rule: str) -> int:
     raise ValueError(rule)
 
 
-def _size_column(n: Column, fraction: float, rule: str) -> Column:
-    """``sample_size`` as a Column: ``bround`` rounds half to even like Python's
-    ``round`` for these values (a double that prints as k.5 is exactly k.5)."""
-    x = F.lit(float(fraction)) * n.cast("double")
-    if rule == "round":
-        return F.bround(x, 0)
-    if rule == "ceil":
-        return F.ceil(x)
-    raise ValueError(rule)
+def _labelled(df: DataFrame, key: str, seed: int, found: dict, stratum: str | None, drawn: str, rest: str,
+              num_partitions: int | None) -> DataFrame:
+    """``df`` with split: every row compares itself with its stratum's place.  Only where rows of
+    one key are to be told apart (some of the equal rows at the place are drawn) are these
+    rows numbered."""
+    order, k, kind = seeded_key(key, seed), F.col(key), df.schema[key].dataType
+    taken, tied = F.lit(False), F.lit(False)
+    ties = []
+    for s, place in found.items():
+        mine = F.lit(True) if stratum is None else F.col(stratum) == F.lit(s)
+        before, at = up_to(place, order, k, kind)
+        if place.needed in (0, place.equal):
+            taken = taken | (mine & (before | at))
+        else:
+            taken, tied = taken | (mine & before), tied | (mine & at)
+            ties.append((mine & at, place.needed))
+    label = F.when(taken, F.lit(drawn)).otherwise(F.lit(rest))
+    if not ties:
+        return df.withColumn("split", label)
+    out = df.where(~F.coalesce(tied, F.lit(False))).withColumn("split", label)
+    for rows, needed in ties:
+        # which of several rows of one key are drawn follows their place in the scan
+        numbered = with_row_number(df.where(rows).withColumn("_at", F.monotonically_increasing_id()), ["_at"], name="_pos", num_partitions=num_partitions)
+        out = out.unionByName(numbered.withColumn("split", F.when(F.col("_pos") <= needed, F.lit(drawn)).otherwise(F.lit(rest))).drop("_pos", "_at"))
+    return out
 
 
 def split_exact(df: DataFrame, key: str, fraction: float, seed: int = 42, rule: str = "round",
                 drawn: str = "train", rest: str = "test", num_partitions: int | None = None) -> DataFrame:
     """T4/T5 + J7 / U5: the first n rows of the seeded order get ``drawn``, all others
-    ``rest`` (the complement is a label, not a second anti-join scan)."""
-    ordered = seeded_order(df, key, seed, name="_pos", num_partitions=num_partitions, total="_n")
-    take = _size_column(F.col("_n"), fraction, rule)  # in the plan: no separate counting pass
-    return (ordered.withColumn("split", F.when(F.col("_pos") <= take, F.lit(drawn)).otherwise(F.lit(rest)))
-                   .drop("_pos", "_n"))
+    ``rest`` (the complement is a label, not a second anti-join scan).  Rows stay where they
+    are; ``df`` is read once more for each histogram, its key only."""
+    found = places(df, seeded_key(key, seed), F.col(key), lambda _, n: sample_size(n, fraction, rule))
+    return _labelled(df, key, seed, found, None, drawn, rest, num_partitions)
 
 
 def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[str, float],
@@ -66,29 +81,17 @@ def split_stratified(df: DataFrame, key: str, stratum: Column, fractions: dict[s
                      num_partitions: int | None = None) -> DataFrame:
     """T6 + U1: per stratum, the first ceil(f * n_stratum) rows of the seeded order are
     ``drawn``.  Rows whose stratum is NULL belong to no stratum and are dropped (F2); a
-    stratum without a configured fraction stops the job.  Stratum sizes and offsets are
-    a table with one row per configured stratum, joined in the plan (nothing is
-    collected)."""
-    known = F.col("stratum").isin(list(fractions))
-    d = (df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
-           .where(F.coalesce(F.when(~known, F.raise_error(F.concat(F.lit("no fraction given for stratum "),
-                                                                     F.col("stratum")))), F.lit(True))))
-    sizes = d.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
-    frac = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
-    before = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
-    table = sizes.select("stratum",
-                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
-                         F.col("_size").cast("double").alias("_n"),
-                         frac[F.col("stratum")].alias("_f"))
-    table = table.select("stratum", "_off",
-                         (F.ceil(F.col("_f") * F.col("_n")) if rule == "ceil"
-                          else F.bround(F.col("_f") * F.col("_n"), 0)).alias("_take"))
-    numbered = with_row_number(d, [F.col("stratum"), seeded_key(key, seed), F.col(key)], name="_pos",
-                               num_partitions=num_partitions)
-    j = numbered.join(F.broadcast(table), "stratum")  # one row per configured stratum
-    return (j.withColumn("split", F.when(F.col("_pos") - F.col("_off") <= F.col("_take"), F.lit(drawn))
-                                   .otherwise(F.lit(rest)))
-             .drop("_pos", "_off", "_take"))
+    stratum without a configured fraction stops the job.  The strata are selected from
+    together, by the same scans."""
+    d = df.withColumn("stratum", stratum).where(F.col("stratum").isNotNull())
+
+    def take(s, n):
+        if s not in fractions:
+            raise ValueError(f"no fraction given for stratum {s}")
+        return sample_size(n, fractions[s], rule)
+
+    found = places(d, seeded_key(key, seed), F.col(key), take, F.col("stratum"))
+    return _labelled(d, key, seed, found, "stratum", drawn, rest, num_partitions)
 
 
 def split_sizes(split: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:

@@ -88,7 +88,7 @@ def _matrix_sql(spearman: bool) -> str:
 
 @query("pearson_matrix", sql=_matrix_sql(False) + "SELECT col_x, col_y, round(r, 6) AS r, n FROM m")
 def pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairwise-complete Pearson for every column pair (one pass, per-pair aggregate);
+    """Pairwise-complete Pearson for every column pair (one pass, mergeable co-moments);
     the constant column gives missing correlations."""
     m = AG.pearson_matrix(_matrix_input(spark, sf_dir), COLS)
     return m.select("col_x", "col_y", r6("r").alias("r"), "n")
@@ -113,8 +113,7 @@ _ORDER_SQL = "CASE {c} " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate
        + "SELECT col_x, col_y, round(r, 6) AS r, coalesce(printf('%.2f', r), '-') AS label FROM c")
 def combined_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + X24: Pearson above the diagonal, Spearman below, diagonal missing, 2-decimal labels."""
-    base = _matrix_input(spark, sf_dir)
-    c = AG.combined_matrix(AG.pearson_matrix(base, COLS), AG.spearman_matrix(base, COLS), COLS)
+    c = AG.combined_correlations(_matrix_input(spark, sf_dir), COLS)
     return c.select("col_x", "col_y", r6("r").alias("r"), "label")
 
 
