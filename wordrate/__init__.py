@@ -11,3 +11,10 @@ plans      The registered queries over the driver tables and their DuckDB oracle
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# functions that run in tasks are pickled by value, so executors need no copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
