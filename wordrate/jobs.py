@@ -47,11 +47,10 @@ def prepare_requests(spark: SparkSession, experiment_path: str, catalogue_yaml:
     column = first.get("dataset_column", "word")
     table_path = os.path.join(experiment_path, "data", first["dataset_path"])
     words = S.read_word_table(spark, table_path)
-    if order_by is None:  # input order of the file: position in the scan
-        pos = S.line_order() if table_path.endswith(".csv") else F.monotonically_increasing_id()
-        words = words.withColumn("_pos", pos)
-        order_by = "_pos"
-    numbered = Q.number_words(words, [order_by], column=column)
+    if order_by is None:  # input order of the file
+        numbered = Q.number_words_in_file_order(words, column=column)
+    else:
+        numbered = Q.number_words(words, [order_by], column=column)
     reqs = Q.build_requests(numbered, exps)
     K.write_request_batches(reqs, out_dir, chunk_size=chunk_size)
     return reqs

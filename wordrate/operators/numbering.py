@@ -1,10 +1,11 @@
 """Global ordering primitives that never put a whole table (or group) in one task.
 
 ``with_row_number``  dense 1-based numbering in a total order (P2, T4-T6).
+``number_in_file_order``  numbering of a file scan as it lies, from counts per split (P2).
 ``prefix_sum(s)``    exclusive running sums of values within groups (Spearman ranks,
                      transcript offsets).
 
-Both range-partition the data on the ordering keys and number or sum inside each
+The first and the last range-partition the data on the ordering keys and number or sum inside each
 partition, then add an offset per partition.  Range bounds are sampled, so two plans over
 the same data may cut it differently; the ranged rows are therefore stored once (a reliable
 checkpoint), each with its partition's number, and both the counts and the rows are read
@@ -14,6 +15,7 @@ keys must be unique (add a tie-breaker) so that the order is total.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,32 @@ def with_row_number(df: DataFrame, order_cols, name: str = "row_no", start: int
                   .drop("_wr_pid", "_wr_mid", "_wr_off"))
 
 
+def number_in_file_order(df: DataFrame, name: str = "row_no", start: int = 1) -> DataFrame:
+    """Append ``name`` = position of a row of a file scan in (file, place in the file) order (+ start),
+    without moving or storing a row.
+
+    Two passes over the scan: the first counts the rows of every split and notes the id its
+    first row has in the scan (partition, place); the second adds a split's offset to a row's
+    place in it.  Offsets have one row per split and are broadcast.  A scan that is cut otherwise in the
+    second pass finds no offset and stops.  A source without files (a Python data source) is
+    numbered in the order of its partitions.
+    """
+    try:
+        where = df.select("*", F.col("_metadata.file_path").alias("_no_file"), F.col("_metadata.file_block_start").alias("_no_block"))
+    except AnalysisException:
+        where = df.select("*", F.lit("").alias("_no_file"), F.spark_partition_id().cast("long").alias("_no_block"))
+    key = ["_no_file", "_no_block", "_no_pid"]
+    tagged = where.select("*", F.spark_partition_id().alias("_no_pid"), F.monotonically_increasing_id().alias("_no_mid"))
+    splits = tagged.groupBy(*key).agg(F.count(F.lit(1)).alias("_no_n"), F.min("_no_mid").alias("_no_first"))
+    before = Window.orderBy("_no_file", "_no_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(*[F.col(c).alias(c + "2") for c in key], "_no_first", F.coalesce(F.sum("_no_n").over(before), F.lit(0)).alias("_no_off"))
+    same = (F.col("_no_file") == F.col("_no_file2")) & (F.col("_no_block") == F.col("_no_block2")) & (F.col("_no_pid") == F.col("_no_pid2"))
+    no = F.col("_no_off") + F.col("_no_mid") - F.col("_no_first") + F.lit(start)
+    stop = F.raise_error(F.lit("the scan was cut differently in its second pass")).cast("long")
+    return (tagged.join(F.broadcast(offsets), same, "left")  # one row per split of the scan
+                  .withColumn(name, F.coalesce(no, stop).cast("long")).select(*df.columns, name))
+
+
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols, value_col: str,
                out: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = sum of ``value_col`` over rows of the same group that come

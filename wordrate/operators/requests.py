@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .numbering import with_row_number
+from .numbering import number_in_file_order, with_row_number
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,11 @@ def number_words(words: DataFrame, order_cols: Sequence[str], column: str = "wor
     return numbered.select(F.col("task_no"), F.col(column).alias("word"))
 
 
+def number_words_in_file_order(words: DataFrame, column: str = "word") -> DataFrame:
+    """P1 + P2 in input order: the words of a file scan as they lie, numbered 1.. where they are."""
+    return number_in_file_order(words.select(column), name="task_no").select("task_no", F.col(column).alias("word"))
+
+
 def task_id(experiment_path: Column | str, task_no: Column | str = "task_no") -> Column:
     """``{experiment_path}_task_{n}``."""
     path = F.lit(experiment_path) if isinstance(experiment_path, str) else experiment_path

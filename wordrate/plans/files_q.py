@@ -45,23 +45,52 @@ def prefix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("newest_file", sql="""
-SELECT 'later' AS run, count(*) AS n_requests, sum(length(p_name))::BIGINT AS name_chars FROM part""")
+WITH n AS (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS task_no FROM part)
+SELECT 'later' AS run, count(*) AS n_requests, sum(length(p_name))::BIGINT AS name_chars FROM n WHERE task_no <= 64""")
 def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S9 + T9: two runs are written one after the other, the first over the odd parts and
-    the other over all; the newest file directly in the folder is found, read and counted."""
+    """S9 + T9: two runs are written in files of 64 requests, the first over the odd parts and
+    the other over all; the first file of the later run is given the newest time, and the newest
+    file directly in the folder is found, read and counted."""
     folder = K.scratch_dir(spark, "newest")
     part = D.read(spark, sf_dir, "part")
     for run, rows in (("earlier", part.where(F.col("p_partkey") % 2 == 1)), ("later", part)):
         words = Q.number_words(rows, ["p_partkey"], column="p_name")
         reqs = Q.build_requests(words, D.experiment("OpenAI", run=run))
-        K.write_request_batches(reqs, folder, chunk_size=1 << 40, stamp="2025-01-01-00-00")
-        K.touch(spark, os.path.join(folder, f"{run}_batch_0_2025-01-01-00-00.jsonl"), 1735689600 + 60 * (run == "later"))
+        K.write_request_batches(reqs, folder, chunk_size=64, stamp="2025-01-01-00-00")
+    K.touch(spark, os.path.join(folder, "later_batch_0_2025-01-01-00-00.jsonl"), 4102444800)
     newest = S.newest_file(spark, folder, "*.jsonl").first()["path"]  # one path
     reqs = S.read_requests(spark, newest)
     words = F.regexp_extract(F.col("body.messages")[0]["content"], '"([^"]*)"', 1)
     return reqs.groupBy("run").agg(F.count(F.lit(1)).alias("n_requests"), F.sum(F.length(words)).alias("name_chars"))
 
 
+@query("prepare_requests", sql="""
+WITH n AS (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS task_no FROM part)
+SELECT 'a/b 50%' AS run, CAST(floor((task_no - 1) / 300) AS BIGINT) AS batch_index, count(*) AS n_tasks, min(task_no) AS first_task,
+       max(task_no) AS last_task, sum(task_no * length(p_name))::BIGINT AS names_in_order
+FROM n GROUP BY 2""")
+def prepare_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P1 + P2 + K1 + S8: a word list in CSV files (ISO-8859-1), numbered in file order where
+    its lines lie, requests in files of 300 named after a run with ``/`` and ``%``, written twice
+    (the second time over the first), and the run's files read back by the manifest."""
+    base = K.scratch_dir(spark, "prepare")
+    part = D.read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    (part.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").select(F.col("p_name").alias("Word"))
+         .write.option("header", True).option("encoding", "ISO-8859-1").csv(os.path.join(base, "words.csv")))
+    words = Q.number_words_in_file_order(S.read_word_table(spark, os.path.join(base, "words.csv")), "Word")
+    reqs = Q.build_requests(words, [D.experiment("OpenAI", run="a/b 50%"), D.experiment("OpenAI", run="b")])
+    for _ in range(2):
+        K.write_request_batches(reqs, os.path.join(base, "out"), chunk_size=300, mode="overwrite")
+    back = S.read_batches_of_run(spark, os.path.join(base, "out"), "a/b 50%")
+    name = F.regexp_extract(F.col("body.messages")[0]["content"], '"([^"]*)"', 1)
+    task = F.regexp_extract("custom_id", r"_task_(\d+)$", 1).cast("long")
+    rows = back.select("run", S.batch_of_file(F.col("line_no.file")).alias("batch_index"), task.alias("task"), name.alias("name"),
+                       (S.run_of_file(F.col("line_no.file")) == F.col("run")).alias("own"))
+    return rows.where("own").groupBy("run", "batch_index").agg(
+        F.count(F.lit(1)).alias("n_tasks"), F.min("task").alias("first_task"), F.max("task").alias("last_task"),
+        F.sum(F.col("task") * F.length("name")).alias("names_in_order"))
+
+
 @query("stream_scores", sql=_E + """
 SELECT task_id, word,
        CASE WHEN label = 2 THEN 'The rating is 5' ELSE CAST(label + 3 AS VARCHAR) END AS answer_text,

@@ -7,16 +7,15 @@ protocol, so a lost executor only re-runs its tasks.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from datetime import datetime, timezone
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.requests import batch_index
 from ..session import ensure_checkpoint_dir
+from .batches import write_batches
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
@@ -30,40 +29,17 @@ def write_request_batches(requests: DataFrame, path: str, chunk_size: int = 5000
     """K1: requests (run, task_no, json) -> files ``{run}_batch_{i}_{stamp}.jsonl`` in ``path``, each
     with the JSON lines of ``chunk_size`` consecutive tasks in task order, ready to be sent.
     A batch goes to one task, so each batch is one file (its size is the provider limit,
-    a parameter).  Tasks write below a hidden folder; files get their names when all are
-    there.  ``mode``: error (any file of the same runs is there already), append or
-    overwrite (batch files of the same runs are replaced)."""
+    a parameter).  Tasks name the files; the manifest that ``sinks.batches`` commits tells
+    which count.  ``mode``: error (batches of the same runs are there already), append or
+    overwrite (batches of the same runs are replaced)."""
     if mode not in ("error", "append", "overwrite"):
         raise ValueError(mode)
-    spark = requests.sparkSession
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y-%m-%d-%H-%M-%S")
-    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
     out = (requests.withColumn("batch_index", batch_index("task_no", chunk_size))
                    .repartition("run", "batch_index")
                    .sortWithinPartitions("run", "batch_index", "task_no")
                    .select("run", "batch_index", F.col("json").alias("value")))
-    out.write.partitionBy("run", "batch_index").text(staged)
-    # names only from here on: one rename per file of up to chunk_size requests
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    runs = [st.getPath() for st in fs.listStatus(hadoop(staged)) if st.getPath().getName().startswith("run=")]
-    names = {p: unquote(p.getName()[len("run="):]) for p in runs}
-    old = [f.getPath() for f in fs.listStatus(hadoop(path))
-           if any(re.fullmatch(re.escape(run) + r"_batch_\d+_[^/]*", f.getPath().getName()) for run in names.values())]
-    if old and mode == "error":
-        fs.delete(hadoop(staged), True)
-        raise FileExistsError(f"{path} holds batches of these runs already")
-    if mode == "overwrite":
-        for f in old:
-            fs.delete(f, False)
-    for folder, run in names.items():
-        for batch in fs.listStatus(folder):
-            i = batch.getPath().getName().partition("=")[2]
-            parts = sorted((f.getPath() for f in fs.listStatus(batch.getPath()) if f.getPath().getName().startswith("part-")), key=str)
-            for k, f in enumerate(parts):
-                more = f"-{k + 1}" if k else ""
-                fs.rename(f, hadoop(f"{path.rstrip('/')}/{run}_batch_{i}_{stamp}{more}.jsonl"))
-    fs.delete(hadoop(staged), True)
+    write_batches(out, path, stamp, mode)
 
 
 def touch(spark: SparkSession, path: str, seconds: int) -> None:

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.batches import files_of_run
 from . import schemas as SC
 
 
@@ -100,7 +101,9 @@ def run_of_file(path: Column) -> Column:
     path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # file paths are URI-encoded
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     from_name = F.regexp_extract(name, r"^(.+)_batch_\d+_", 1)
-    return F.when(from_name != "", from_name).otherwise(F.regexp_extract(path, r"/run=([^/]+)/", 1))
+    # characters that no file name holds are percent-encoded in it
+    plain = F.coalesce(F.try_url_decode(F.replace(from_name, F.lit("+"), F.lit("%2B"))), from_name)
+    return F.when(from_name != "", plain).otherwise(F.regexp_extract(path, r"/run=([^/]+)/", 1))
 
 
 def batch_of_file(path: Column) -> Column:
@@ -110,10 +113,16 @@ def batch_of_file(path: Column) -> Column:
 
 def read_batches_of_run(spark: SparkSession, folder: str, run: str, ddl: str = SC.REQUEST_UNION,
                         glob: str | None = None) -> DataFrame:
-    """Files of one run.  Only files whose name starts like the run's are listed; the
-    prefix also matches longer run names (``original`` and ``original_batch_2_x``), so the exact run
-    is checked on the file's path, before any line is parsed.
+    """Files of one run.  In a folder that K1 wrote they are the manifest's files of the
+    run, whatever else lies there.  Without a manifest, only files whose name starts like
+    the run's are listed; the prefix also matches longer run names (``original`` and
+    ``original_batch_2_x``), so the exact run is checked on the file's path, before any line is parsed.
     F6: ``glob="*predictions.jsonl"`` keeps only prediction files (of any name)."""
+    known = None if glob else files_of_run(folder, run)
+    if known is not None:
+        df = spark.read.schema(ddl).json(known) if known else spark.createDataFrame([], ddl).select("*", F.lit(None).alias("_metadata"))
+        order = line_order() if known else F.lit(None).cast("struct<file:string,block:long,pos:long>")
+        return df.withColumn("line_no", order).drop(*([] if known else ["_metadata"])).withColumn("run", F.lit(run))
     pattern = glob or re.sub(r"([\[\]{}*?\\])", r"\\\1", run) + "_batch_*"
     df = (spark.read.schema(ddl).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
                .where(run_of_file(F.col("_metadata.file_path")) == run))
