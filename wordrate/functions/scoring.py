@@ -91,13 +91,22 @@ def softmax_topk(scores, k: int = 5) -> Column:
 
     log-softmax via log-sum-exp, then the k largest in descending order (ties by the
     lower index).  The first entry is the arg-max token.  The normaliser is computed
-    once per step, so the cost is O(V log V) for a vocabulary of V scores.
+    once per step.  One pass keeps the k best seen so far; a score is put among them only if it
+    beats the last, so the cost is linear in the vocabulary and nothing of its size is sorted
+    or built.
     """
     v = _col(scores)
+    best = "array<struct<neg:double,index:int>>"
 
     def with_lse(lse):
-        scored = F.transform(v, lambda x, i: F.struct((lse - x.cast("double")).alias("neg"), i.alias("index")))
-        top = F.slice(F.array_sort(scored), 1, k)
+        def step(kept, x):
+            new = F.struct((lse - x.cast("double")).alias("neg"), kept["at"].alias("index"))
+            better = (F.size(kept["best"]) < k) | (new < F.element_at(kept["best"], -1))
+            best_now = F.when(better, F.slice(F.array_sort(F.array_append(kept["best"], new)), 1, k)).otherwise(kept["best"])
+            return F.struct((kept["at"] + 1).alias("at"), best_now.alias("best"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(best).alias("best"))
+        top = F.aggregate(v, start, step, lambda kept: kept["best"])
         return F.transform(top, lambda s: F.struct(s["index"].alias("index"), (F.lit(0.0) - s["neg"]).alias("logprob")))
 
     def with_max(m):
