@@ -121,15 +121,35 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("weighted_sum", 6).alias("weighted_sum"))
 
 
-@query("xlsx_roundtrip", sql="SELECT n_nationkey, n_name, n_regionkey, 'nation' AS sheet FROM nation")
+@query("xlsx_roundtrip", sql="""
+SELECT p_partkey, p_name || CASE WHEN p_partkey % 50 = 0 THEN chr(13) || chr(10) || chr(11) || '_x0041_"&<' ELSE '' END AS p_name,
+       p_size, p_retailprice, p_brand AS sheet
+FROM part""")
 def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2 + S3/S4: the nation table written as workbooks (one per task) and read back
-    with every sheet and the sheet name column."""
+    """K2 + S3/S4: the part table written as workbooks by several tasks, a sheet per brand (names
+    with line ends, control characters and markup among the cells), and read back, a task per
+    workbook and sheet, with the sheet's name as a column."""
     from ..sources import xlsx
     xlsx.register(spark)
     folder = K.scratch_dir(spark, "xlsx")
-    nation = D.read(spark, sf_dir, "nation")
-    nation.write.format("xlsx").mode("append").option("sheet", "nation").save(folder)
-    back = (spark.read.format("xlsx").schema("n_nationkey int, n_name string, n_regionkey int, sheet string")
+    part = D.read(spark, sf_dir, "part").withColumn(
+        "p_name", F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit('\r\n\x0b_x0041_"&<'))).otherwise(F.col("p_name")))
+    rows = part.select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice", "p_brand").repartition(4, "p_brand")
+    rows.write.format("xlsx").mode("append").option("sheetColumn", "p_brand").save(folder)
+    return (spark.read.format("xlsx").schema("p_partkey long, p_name string, p_size int, p_retailprice double, sheet string")
                  .option("sheet", "*").load(folder))
-    return back
+
+
+@query("xlsx_one_sheet", sql="""
+SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#7' AND p_size >= 20""")
+def xlsx_one_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 for some sheets and columns: of the workbooks of all parts, only the sheets of one brand are
+    planned, and two columns of their cells are parsed."""
+    from ..sources import xlsx
+    xlsx.register(spark)
+    folder = K.scratch_dir(spark, "xlsx")
+    rows = D.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand").repartition(3)
+    rows.write.format("xlsx").mode("append").option("sheetColumn", "p_brand").save(folder)
+    back = (spark.read.format("xlsx").schema("p_partkey long, p_size int, sheet string").option("sheet", "*")
+                 .option("sheets", '["Brand#7"]').load(folder))
+    return back.where("p_size >= 20").select("p_partkey", "p_size")

@@ -1,15 +1,22 @@
 """An ``xlsx`` Python data source (read and write).
 
-Reading: one input partition per workbook (the driver only lists file names); a
-workbook is a zip of XML parts,
-parsed with the standard library only.  Options: ``header`` (default true), ``sheet``
-(``first`` -- default --, a sheet name, or ``*`` for all sheets, which adds a ``sheet``
-column).  Without a user schema every column is read as a string named by the header.
+Reading: a workbook is a zip of XML parts, parsed with the standard library only.  With
+``sheet="*"`` (all sheets, plus a ``sheet`` column) every worksheet of every workbook is an input
+partition of its own, planned from the workbooks' directories; otherwise (``first`` -- default --
+or a sheet's name) a workbook is one.  A worksheet is one compressed stream, so it is read by
+one task, a row at a time.  Option ``sheets``, a JSON list of names, leaves other sheets out of the
+plan.  (Spark's hook for filters, ``pushFilters``, is not used: in Spark 4.1.2 the filters of one
+query stay in force for the next one on the same DataFrame, which then misses rows.)  Without a user
+schema every column is read as a string named by the header.  A user schema takes its columns by name if the
+header (option ``header``, default true) has all of them, so a schema of two columns parses two
+cells a row, and by place otherwise.
 
 Writing: every task writes its own workbook (``part-<task>-<id>.xlsx``), with one sheet
 (option ``sheet``, default ``Sheet1``) or one sheet per value of option ``sheetColumn``
 among the task's rows (a sheet spread over several tasks lands in several part
 workbooks; a sheet longer than the format's row limit continues on a numbered sheet).
+Characters that XML cannot hold are written as ``_xHHHH_``, as the format has it, and
+read back; a name that a sheet cannot have stops the job.
 No data passes through the driver.  Tasks
 write below a hidden folder of the job; the commit moves the workbooks of the tasks that
 succeeded into place (after removing the earlier ones for ``mode("overwrite")``), and an
@@ -21,6 +28,7 @@ paths, so on a cluster they must be on storage that every executor mounts.
 from __future__ import annotations
 
 import glob as _glob
+import json
 import os
 import re
 import shutil
@@ -28,14 +36,19 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, datetime
+from decimal import Decimal
 from xml.etree import ElementTree as ET
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType,
-                               StructField, StructType)
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType,
+                               StructField, StructType, TimestampNTZType, TimestampType)
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -71,13 +84,28 @@ def _col_index(ref: str) -> int:
 _M = "{%s}" % _NS["m"]
 
 
+_ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
+# what XML cannot hold or would change, and text that looks like an escape
+_TO_ESCAPE = re.compile("[\\x00-\\x08\\x0b-\\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def _text(xml: str) -> str:
+    """Cell text from XML text."""
+    return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), xml) if "_x" in xml else xml
+
+
+def _xml(text: str) -> str:
+    """XML text of a cell."""
+    return escape(_TO_ESCAPE.sub(lambda m: f"_x{ord(m.group(0)):04X}_", text))
+
+
 def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
     out: list[str] = []
     if "xl/sharedStrings.xml" in zf.namelist():
         with zf.open("xl/sharedStrings.xml") as part:
             for _, e in ET.iterparse(part):
                 if e.tag == _M + "si":
-                    out.append("".join(t.text or "" for t in e.iter(_M + "t")))
+                    out.append(_text("".join(t.text or "" for t in e.iter(_M + "t"))))
                     e.clear()
     return out
 
@@ -85,24 +113,26 @@ def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
 def _value(cell, shared: list[str]):
     kind, v = cell.get("t"), cell.find("m:v", _NS)
     if kind == "inlineStr":
-        return "".join(x.text or "" for x in cell.iter(_M + "t"))
+        return _text("".join(x.text or "" for x in cell.iter(_M + "t")))
     if v is None or v.text is None:
-        return None
+        return "" if kind == "str" else None
     if kind == "s":
         return shared[int(v.text)]
     if kind == "b":
         return v.text == "1"
     if kind in ("str", "e"):
-        return v.text
-    f = float(v.text)
-    return int(f) if f.is_integer() and "." not in v.text and "E" not in v.text.upper() else f
+        return _text(v.text)
+    if re.fullmatch(r"[+-]?\d+", v.text):
+        return int(v.text)  # whole numbers beyond a double's 53 bits stay whole
+    return float(v.text)
 
 
-def _rows(zf: zipfile.ZipFile, part: str):
-    """The rows of a worksheet, parsed one at a time."""
+def _rows(zf: zipfile.ZipFile, part: str, wanted: set[int] | None = None):
+    """The rows of a worksheet, parsed one at a time; of cells in other columns than ``wanted``
+    (from the second row on) nothing is made."""
     shared = _shared_strings(zf)
     with zf.open(part) as xml:
-        data = None
+        data, first = None, True
         for event, e in ET.iterparse(xml, events=("start", "end")):
             if event == "start":
                 if e.tag == _M + "sheetData":
@@ -112,62 +142,101 @@ def _rows(zf: zipfile.ZipFile, part: str):
                 continue
             cells: dict[int, object] = {}
             for i, c in enumerate(e.findall("m:c", _NS)):
-                cells[_col_index(c.get("r")) if c.get("r") else i] = _value(c, shared)
-            yield [cells.get(i) for i in range(max(cells) + 1)] if cells else []
+                at = _col_index(c.get("r")) if c.get("r") else i
+                if first or wanted is None or at in wanted:
+                    cells[at] = _value(c, shared)
+            wanted = (yield cells) or wanted
+            first = False
             if data is not None:
                 data.clear()  # rows already read
 
 
 def _convert(value, dtype):
-    if value is None or value == "":
+    if value is None or (value == "" and not isinstance(dtype, StringType)):
         return None
     if isinstance(dtype, StringType):
-        if isinstance(value, float) and value.is_integer():
-            return str(value)
         return str(value)
-    if isinstance(dtype, (LongType, IntegerType, ShortType)):
-        return int(float(value))
+    if isinstance(dtype, (LongType, IntegerType, ShortType, ByteType)):
+        return int(value) if isinstance(value, int) or re.fullmatch(r"\s*[+-]?\d+\s*", str(value)) else int(float(value))
     if isinstance(dtype, (DoubleType, FloatType)):
         return float(value)
+    if isinstance(dtype, DecimalType):
+        return round(Decimal(str(value)), dtype.scale)
+    if isinstance(dtype, DateType):
+        return date.fromisoformat(str(value)[:10])
+    if isinstance(dtype, (TimestampType, TimestampNTZType)):
+        return datetime.fromisoformat(str(value))
     if isinstance(dtype, BooleanType):
         return value if isinstance(value, bool) else str(value).lower() in ("1", "true")
     return value
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+    def __init__(self, path: str, sheet: str | None = None):
+        super().__init__((path, sheet))
+        self.path, self.sheet = path, sheet
+
+
+_BATCH = 4096  # rows handed to Spark at a time
 
 
 class XlsxReader(DataSourceReader):
     def __init__(self, options, schema: StructType):
         self.options, self.schema = options, schema
+        self.choice = options.get("sheet", "first")
+        self.with_sheet = self.choice == "*"
+        self.only = json.loads(options["sheets"]) if "sheets" in options else None
 
     def partitions(self):
-        # one input partition per workbook; the driver only lists file names
-        return [_Part(f) for f in _files(self.options["path"])]
+        files = _files(self.options["path"])
+        if not self.with_sheet:
+            return [_Part(f) for f in files]
+        with ThreadPoolExecutor(16) as pool:  # of each workbook, only its directory and its list of sheets
+            sheets = pool.map(_sheet_names, files)
+            parts = [_Part(f, name) for f, names in zip(files, sheets) for name in names if self.only is None or name in self.only]
+        return parts or [_Part("", None)]  # a plan has a partition
 
     def read(self, partition: _Part):
+        if not partition.path:
+            return
         header = str(self.options.get("header", "true")).lower() == "true"
-        choice = self.options.get("sheet", "first")
-        with_sheet = choice == "*"
-        fields = [f for f in self.schema.fields if not (with_sheet and f.name == "sheet")]
+        fields = [f for f in self.schema.fields if not (self.with_sheet and f.name == "sheet")]
+        types = to_arrow_schema(self.schema)
         with zipfile.ZipFile(partition.path) as zf:
             sheets = _sheets(zf)
-            if choice == "first":
-                sheets = sheets[:1]
-            elif choice != "*":
-                sheets = [s for s in sheets if s[0] == choice]
-            for name, part in sheets:
+            name = partition.sheet if self.with_sheet else sheets[0][0] if self.choice == "first" else self.choice
+            for part in [p for n, p in sheets if n == name]:
                 rows = _rows(zf, part)
-                if header:
-                    next(rows, None)
-                for r in rows:
-                    vals = [_convert(r[i] if i < len(r) else None, f.dataType) for i, f in enumerate(fields)]
-                    if with_sheet:
-                        vals.append(name)
-                    yield tuple(vals)
+                head = next(rows, None) if header else None
+                names = {str(v): i for i, v in sorted((head or {}).items(), reverse=True) if v is not None}
+                by_name = bool(fields) and all(f.name in names for f in fields)
+                place = [names[f.name] if by_name else i for i, f in enumerate(fields)]
+                if head is None and header:
+                    return
+                found = []
+                try:
+                    cells = rows.send(set(place)) if header else next(rows)
+                    while True:
+                        found.append([_convert(cells.get(at), f.dataType) for at, f in zip(place, fields)])
+                        if len(found) == _BATCH:
+                            yield self._batch(found, fields, types, name)
+                            found = []
+                        cells = next(rows)
+                except StopIteration:
+                    pass
+                if found:
+                    yield self._batch(found, fields, types, name)
+
+    def _batch(self, rows, fields, types, sheet):
+        columns = dict(zip([f.name for f in fields], zip(*rows))) if fields else {}
+        if self.with_sheet:
+            columns["sheet"] = [sheet] * len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in types], schema=types)
+
+
+def _sheet_names(path: str) -> list[str]:
+    with zipfile.ZipFile(path) as zf:
+        return [name for name, _ in _sheets(zf)]
 
 
 def _cell(ref: str, value) -> str:
@@ -177,7 +246,7 @@ def _cell(ref: str, value) -> str:
         return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (int, float)):
         return f'<c r="{ref}"><v>{repr(value) if isinstance(value, float) else value}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_xml(str(value))}</t></is></c>'
 
 
 def _col_name(i: int) -> str:
@@ -190,6 +259,14 @@ def _col_name(i: int) -> str:
 
 
 MAX_ROWS = 1_048_576  # rows per worksheet, header included (format limit)
+MAX_NAME = 31  # characters of a sheet's name (format limit)
+
+
+def check_sheet_name(name: str) -> str:
+    """The name, if the format allows it for a sheet."""
+    if not name or len(name) > MAX_NAME or re.search(r"[\[\]:*?/\\\\]", name) or name.startswith("'") or name.endswith("'") or _TO_ESCAPE.search(name):
+        raise ValueError(f"{name!r} cannot be the name of a sheet: 1 to {MAX_NAME} characters, none of []:*?/\\ or control characters, no apostrophe at an end")
+    return name
 
 
 class _Book:
@@ -202,7 +279,11 @@ class _Book:
         self.total = 0
 
     def start(self, name: str, columns: list[str], part: int = 1) -> None:
-        full = name if part == 1 else f"{name}_{part}"
+        check_sheet_name(name)
+        more = "" if part == 1 else f"_{part}"
+        full = name[:MAX_NAME - len(more)] + more
+        if full.lower() in {x[0].lower() for x in self.sheets}:
+            raise ValueError(f"a workbook cannot hold a second sheet named {full!r} (case does not tell sheets apart)")
         f = open(os.path.join(self.parts, f"{len(self.sheets)}.xml"), "w", encoding="utf-8")
         f.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
         self.sheets.append([full, columns, f, 1, part])
@@ -245,7 +326,7 @@ class _Book:
             zf.writestr("xl/workbook.xml",
                         '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
                         'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
-                        + "".join(f'<sheet name="{escape(x[0])}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, x in enumerate(self.sheets))
+                        + "".join(f'<sheet name={quoteattr(x[0])} sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, x in enumerate(self.sheets))
                         + '</sheets></workbook>')
             zf.writestr("xl/_rels/workbook.xml.rels",
                         '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
@@ -354,7 +435,8 @@ class XlsxDataSource(DataSource):
         path = _files(self.options["path"])[0]
         with zipfile.ZipFile(path) as zf:
             name, part = _sheets(zf)[0]
-            head = next(_rows(zf, part), [])
+            cells = next(_rows(zf, part), {})
+        head = [cells.get(i) for i in range(max(cells) + 1)] if cells else []
         names = [str(h) if h is not None else f"_c{i}" for i, h in enumerate(head)]
         if str(self.options.get("header", "true")).lower() != "true":
             names = [f"_c{i}" for i in range(len(head))]
@@ -379,5 +461,4 @@ def register(spark: SparkSession) -> None:
 def sheet_names(path: str) -> list[str]:
     """Sheet names of one workbook in workbook order (the first one is the sheet
     the merge rewrites).  Reads only the workbook's sheet list."""
-    with zipfile.ZipFile(_files(path)[0]) as zf:
-        return [name for name, _ in _sheets(zf)]
+    return _sheet_names(_files(path)[0])
