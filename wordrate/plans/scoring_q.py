@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import responses as R
+from ..operators.request_store import RequestStore
+from ..sinks import files as K
 from . import derive as D
 from .registry import query, r6
 
@@ -81,6 +85,25 @@ def score_google(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(_scored(spark, sf_dir, "google"))
 
 
+@query("score_stored", sql=_E + """
+SELECT task_id, word,
+       CASE WHEN label = 2 THEN '5.' ELSE CAST(label + 3 AS VARCHAR) END AS answer_text,
+       CASE WHEN label = 2 THEN 5.0 ELSE CAST(label + 3 AS DOUBLE) END AS value,
+       CASE WHEN label <> 2 THEN round(lp1, 6) END AS logprob,
+       CASE WHEN label <> 2 THEN round(ws, 6) END AS weighted_sum
+FROM w""")
+def score_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 over a stored request table: superseded requests added first, the current ones after
+    them, then results in two drops, each joined to the buckets without moving a request."""
+    store = RequestStore(spark, f"requests_{uuid.uuid4().hex}", K.scratch_dir(spark, "request-store"), 8)
+    requests = R.canonical_requests(D.derived_requests(spark, sf_dir, "OpenAI"))
+    store.add(requests.where("line_no % 2 = 0"), 0)  # the derived superseded ones have even numbers
+    store.add(requests.where("line_no % 2 = 1"), 1)
+    results = R.canonical_results(D.derived_results(spark, sf_dir, "openai"))
+    drops = [R.score(store.join(results.where(f"line_no % 2 = {k}")), mode="weighted_sum", feature_label="Familiarity") for k in range(2)]
+    return _out(drops[0].unionByName(drops[1]))
+
+
 @query("word_mismatch", sql=_E + """
 SELECT task_id, word,
        CASE WHEN label = 1 THEN word || 'x' ELSE word END AS word_out,

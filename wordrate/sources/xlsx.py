@@ -36,7 +36,6 @@ import sys
 import tempfile
 import uuid
 import zipfile
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from decimal import Decimal
 from xml.etree import ElementTree as ET
@@ -191,9 +190,8 @@ class XlsxReader(DataSourceReader):
         files = _files(self.options["path"])
         if not self.with_sheet:
             return [_Part(f) for f in files]
-        with ThreadPoolExecutor(16) as pool:  # of each workbook, only its directory and its list of sheets
-            sheets = pool.map(_sheet_names, files)
-            parts = [_Part(f, name) for f, names in zip(files, sheets) for name in names if self.only is None or name in self.only]
+        # of each workbook, only its directory and its list of sheets is read here
+        parts = [_Part(f, name) for f in files for name in _sheet_names(f) if self.only is None or name in self.only]
         return parts or [_Part("", None)]  # a plan has a partition
 
     def read(self, partition: _Part):
