@@ -44,9 +44,11 @@ def test_kinds_of_cells(spark, tmp_path):
 def test_a_task_per_workbook_and_sheet(spark, tmp_path):
     for name in ("a.xlsx", "b.xlsx"):
         book(tmp_path, [(f"s{i}", ["k", "v"], [(i, f"{name}{i}")] * 3) for i in range(5)], name)
-    df = spark.read.format("xlsx").schema("k long, v string, sheet string").option("sheet", "*").load(str(tmp_path))
+    read = spark.read.format("xlsx").schema("k long, v string, sheet string").option("sheet", "*")
+    assert read.load(str(tmp_path)).rdd.getNumPartitions() == 2 and read.load(str(tmp_path)).count() == 30  # small sheets go together
+    df = read.option("partitionBytes", 1).load(str(tmp_path))
     assert df.withColumn("p", F.spark_partition_id()).agg(F.countDistinct("p"), F.count(F.lit(1))).first()[:] == (10, 30)
-    some = spark.read.format("xlsx").schema("k long, v string, sheet string").option("sheet", "*").option("sheets", '["s3", "none"]').load(str(tmp_path))
+    some = spark.read.format("xlsx").schema("k long, v string, sheet string").option("sheet", "*").option("partitionBytes", 1).option("sheets", '["s3", "none"]').load(str(tmp_path))
     assert sorted(map(tuple, some.distinct().collect())) == [(3, "a.xlsx3", "s3"), (3, "b.xlsx3", "s3")]
     assert some.rdd.getNumPartitions() == 2  # other sheets are not planned
 

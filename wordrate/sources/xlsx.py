@@ -1,9 +1,9 @@
 """An ``xlsx`` Python data source (read and write).
 
 Reading: a workbook is a zip of XML parts, parsed with the standard library only.  With
-``sheet="*"`` (all sheets, plus a ``sheet`` column) every worksheet of every workbook is an input
-partition of its own, planned from the workbooks' directories; otherwise (``first`` -- default --
-or a sheet's name) a workbook is one.  A worksheet is one compressed stream, so it is read by
+``sheet="*"`` (all sheets, plus a ``sheet`` column) the worksheets of every workbook are dealt out
+to input partitions by their sizes in its directory, small ones together, a large one by itself;
+otherwise (``first`` -- default -- or a sheet's name) a workbook is one partition.  A worksheet is one compressed stream, so it is read by
 one task, a row at a time.  Option ``sheets``, a JSON list of names, leaves other sheets out of the
 plan.  (Spark's hook for filters, ``pushFilters``, is not used: in Spark 4.1.2 the filters of one
 query stay in force for the next one on the same DataFrame, which then misses rows.)  Without a user
@@ -171,12 +171,16 @@ def _convert(value, dtype):
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, sheet: str | None = None):
-        super().__init__((path, sheet))
-        self.path, self.sheet = path, sheet
+    """Sheets of a workbook that one task reads; without names, the one that option ``sheet`` names."""
+
+    def __init__(self, path: str, sheets: list[str] | None = None):
+        super().__init__((path, tuple(sheets or ())))
+        self.path, self.sheets = path, sheets
 
 
 _BATCH = 4096  # rows handed to Spark at a time
+#: XML of small sheets of a workbook that one task reads (option ``partitionBytes``).
+PARTITION_BYTES = 16 << 20
 
 
 class XlsxReader(DataSourceReader):
@@ -191,8 +195,18 @@ class XlsxReader(DataSourceReader):
         if not self.with_sheet:
             return [_Part(f) for f in files]
         # of each workbook, only its directory and its list of sheets is read here
-        parts = [_Part(f, name) for f in files for name in _sheet_names(f) if self.only is None or name in self.only]
-        return parts or [_Part("", None)]  # a plan has a partition
+        limit, parts = int(self.options.get("partitionBytes", PARTITION_BYTES)), []
+        for f in files:
+            size = limit
+            for name, n in _sheet_sizes(f):
+                if self.only is not None and name not in self.only:
+                    continue
+                if size + n > limit or not parts or parts[-1].path != f:
+                    parts.append(_Part(f, []))
+                    size = 0
+                parts[-1].sheets.append(name)
+                size += n
+        return parts or [_Part("")]  # a plan has a partition
 
     def read(self, partition: _Part):
         if not partition.path:
@@ -202,28 +216,31 @@ class XlsxReader(DataSourceReader):
         types = to_arrow_schema(self.schema)
         with zipfile.ZipFile(partition.path) as zf:
             sheets = _sheets(zf)
-            name = partition.sheet if self.with_sheet else sheets[0][0] if self.choice == "first" else self.choice
-            for part in [p for n, p in sheets if n == name]:
-                rows = _rows(zf, part)
-                head = next(rows, None) if header else None
-                names = {str(v): i for i, v in sorted((head or {}).items(), reverse=True) if v is not None}
-                by_name = bool(fields) and all(f.name in names for f in fields)
-                place = [names[f.name] if by_name else i for i, f in enumerate(fields)]
-                if head is None and header:
-                    return
-                found = []
-                try:
-                    cells = rows.send(set(place)) if header else next(rows)
-                    while True:
-                        found.append([_convert(cells.get(at), f.dataType) for at, f in zip(place, fields)])
-                        if len(found) == _BATCH:
-                            yield self._batch(found, fields, types, name)
-                            found = []
-                        cells = next(rows)
-                except StopIteration:
-                    pass
-                if found:
+            names = partition.sheets if self.with_sheet else [sheets[0][0] if self.choice == "first" else self.choice]
+            for name, part in sheets:
+                if name in names:
+                    yield from self._sheet(_rows(zf, part), header, fields, types, name)
+
+    def _sheet(self, rows, header, fields, types, name):
+        head = next(rows, None) if header else None
+        if header and head is None:
+            return
+        names = {str(v): i for i, v in sorted((head or {}).items(), reverse=True) if v is not None}
+        by_name = bool(fields) and all(f.name in names for f in fields)
+        place = [names[f.name] if by_name else i for i, f in enumerate(fields)]
+        found = []
+        try:
+            cells = rows.send(set(place)) if header else next(rows)
+            while True:
+                found.append([_convert(cells.get(at), f.dataType) for at, f in zip(place, fields)])
+                if len(found) == _BATCH:
                     yield self._batch(found, fields, types, name)
+                    found = []
+                cells = next(rows)
+        except StopIteration:
+            pass
+        if found:
+            yield self._batch(found, fields, types, name)
 
     def _batch(self, rows, fields, types, sheet):
         columns = dict(zip([f.name for f in fields], zip(*rows))) if fields else {}
@@ -232,9 +249,10 @@ class XlsxReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in types], schema=types)
 
 
-def _sheet_names(path: str) -> list[str]:
+def _sheet_sizes(path: str) -> list[tuple[str, int]]:
+    """(name, bytes of XML) of a workbook's sheets, from its directory and its list of sheets."""
     with zipfile.ZipFile(path) as zf:
-        return [name for name, _ in _sheets(zf)]
+        return [(name, zf.getinfo(part).file_size) for name, part in _sheets(zf)]
 
 
 def _cell(ref: str, value) -> str:
@@ -459,4 +477,4 @@ def register(spark: SparkSession) -> None:
 def sheet_names(path: str) -> list[str]:
     """Sheet names of one workbook in workbook order (the first one is the sheet
     the merge rewrites).  Reads only the workbook's sheet list."""
-    return _sheet_names(_files(path)[0])
+    return [name for name, _ in _sheet_sizes(_files(path)[0])]
