@@ -64,6 +64,43 @@ def test_jaccard_components(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == expected_components(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 90, 95])
+def test_jaccard_of_any_percent(spark, percent):
+    """Also sets of one and two n-grams, which a low percentage links to others."""
+    r = random.Random(percent)
+    rows = [(i, " ".join(f"w{r.randrange(12)}" for _ in range(r.choice([1, 2, 3, 4, 6, 12, 30])))) for i in range(90)]
+    rows += [(100 + i, " ".join(f"v{j}" for j in range(40 - i))) for i in range(20)]
+    got = ngram_jaccard.ngram_jaccard_components(frame(spark, rows), k=1, percent=percent).collect()
+    sets = {i: set(t.split()) for i, t in rows}
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert sorted(tuple(x) for x in got) == sorted((i, len(s), low[i]) for i, s in sets.items())
+    assert len(links) > 5
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that the stages use inside come back as they were."""
+    names = ["_gone", "gone", "id", "_id", "_key", "_spans", "spans", "hash", "text_hash", "own_0", "tkey", "_copy", "_g"]
+    schema = SCHEMA + ", " + ", ".join(f"{n} long" for n in names)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words), (2, words), (3, "mail a@b.org now"), (4, None), (4, "x " * 40), (None, "call +12 345 678 901")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, -1, 0.5, *range(20, 20 + len(names))) for i, t in rows], schema)
+    one = ngram_jaccard.one_of_each(df)
+    assert one.columns == df.columns
+    kept = one.collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "4", "None"]
+    out = pii_bootstrap.redacted(df)
+    assert out.columns == df.columns and out.schema["n_chars"] == df.schema["n_chars"]
+    got = {(r.doc_id, r.text): r for r in out.collect()}
+    assert (3, "mail [EMAIL] now") in got and (None, "call [PHONE]") in got and got[3, "mail [EMAIL] now"].n_chars == 16 and len(got) == 6
+    cut = lpf_dedup.without_later_copies(df)
+    for r in [*kept, *got.values(), *cut.collect()]:
+        assert [r[n] for n in names] == list(range(20, 20 + len(names))) and r.node == 7
+
+
 def test_jaccard_long_lists_and_null_ids(spark, monkeypatch):
     """Lists of every length go by pivots; a group of near copies that are not all linked."""
     monkeypatch.setattr(ngram_jaccard, "LONG_LIST", 2)

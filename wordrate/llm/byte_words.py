@@ -27,19 +27,19 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return LOWER[raw]
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after the last, text) of every word of the lower-cased ``raw``."""
+def word_bounds(raw: np.ndarray, off: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, text) of every word of the lower-cased ``raw``; ``word``
+    tells for every byte value whether words have it."""
     inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = WORD[raw]
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    inside[1:-1] = word[raw]
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     # a word that runs over a text's border is cut there
-    cut = np.unique(off[1:-1])
+    cut = off[1:-1]
     cut = cut[(cut > 0) & (cut < len(raw))]
     cut = cut[inside[cut] & inside[cut + 1]]
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    if len(cut):
-        starts, ends = np.union1d(starts, cut), np.union1d(ends, cut)
-    return starts, ends, np.searchsorted(off, starts, side="right") - 1
+    first[cut], last[cut - 1] = True, True
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(off, starts, side="right") - 1
 
 
 def _walk(raw, starts, ends, state, step):

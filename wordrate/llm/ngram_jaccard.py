@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from wordrate.session import cut_lineage
 
+from . import byte_words as B
 from . import hashing as H
 from .batches import bounded, pieces
 from .graph import components
@@ -47,10 +48,15 @@ POSTING_COST = 3.0  # rows a posting costs (its own, and its share of scanned pa
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of every text of the batch; null: empty."""
     raw, off = H.buffer_of(batch.column(1))
-    hs, per = H.words(H.LOWER[raw], off)
+    raw = H.LOWER[raw]
+    starts, ends, text = B.word_bounds(raw, off, ~H.SPACE)
+    hs, per = B.word_hashes(raw, starts, ends), np.bincount(text, minlength=batch.num_rows)
     end = np.cumsum(per)
     for i in range(batch.num_rows):
-        yield i, np.unique(H.shingles(hs[end[i] - per[i]:end[i]], k))
+        found = np.sort(H.shingles(hs[end[i] - per[i]:end[i]], k))
+        new = np.ones(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        yield i, found[new]
 
 
 def _need(n, percent: int):
@@ -123,7 +129,7 @@ def _postings(k: int, percent: int, classes, x: int):
                 key, node, size, light = [], [], [], []
                 for _, t in _sets(batch, k):
                     n = len(t)
-                    if n < 4:  # a smaller set is linked to equal sets only
+                    if n * (100 - percent) < percent:  # linked to equal sets only
                         continue
                     name = _node(t)
                     order = np.sort((cls[(t & mask).astype(np.int64)].astype(_U) << _U(60)) | (t >> _U(4)))
@@ -137,7 +143,8 @@ def _postings(k: int, percent: int, classes, x: int):
                         node.append(np.full(len(ks), name))
                         size.append(np.full(len(ks), n))
                         light.append(np.ones(len(ks), bool))
-                    if n >= _need(x, percent):
+                    # a set that may share one token only with a set it is linked to has no 2-subsets to meet it by
+                    if n >= _need(x, percent) or n * percent <= 100:
                         key.append(order[:p + 1])
                         node.append(np.full(p + 1, name))
                         size.append(np.full(p + 1, n))
@@ -315,5 +322,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     smaller doc_id; columns and order of columns as they were.  Rows of one doc_id stay or
     go together, rows without an id stay."""
     comp = ngram_jaccard_components(docs, k, percent)
-    gone = cut_lineage(comp.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = cut_lineage(comp.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("id"))
+    kept = own.join(bounded(gone), F.col("id") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
