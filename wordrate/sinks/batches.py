@@ -168,10 +168,3 @@ def write_batches(batches: DataFrame, path: str, stamp: str, existing: str) -> N
         if "holds batches of these runs already" in str(e):
             raise FileExistsError(f"{path} holds batches of these runs already") from e
         raise
-
-
-def files_of_run(path: str, run: str) -> list[str] | None:
-    """Paths of a run's committed files; None if the folder has no manifest."""
-    found = committed(path)
-    return None if found is None else [f"{path.rstrip('/')}/{f['file']}" for f in found if f["run"] == run]
-

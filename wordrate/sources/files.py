@@ -7,12 +7,13 @@ driver.  ``line_no`` orders lines by (file, byte offset of the split, position).
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks.batches import files_of_run
+from ..sinks.batches import MANIFEST
 from . import schemas as SC
 
 
@@ -80,6 +81,19 @@ def read_jsonl_tolerant(spark: SparkSession, paths, ddl: str) -> tuple[DataFrame
     return good, rejects
 
 
+def committed_files(spark: SparkSession, folder: str, run: str | None = None) -> list[str] | None:
+    """Paths of the batch files (of one run) that the newest manifest of a K1 folder names; None
+    if the folder has no manifest.  Read through Spark, so any storage that Spark reads will do."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{MANIFEST}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(st.getPath().getName() for st in fs.listStatus(at) if st.getPath().getName().isdigit()) if fs.exists(at) else []
+    if not versions:
+        return None
+    lines = spark.read.text(f"{folder.rstrip('/')}/{MANIFEST}/{versions[-1]}").collect()  # a line per file
+    found = [json.loads(r["value"]) for r in lines]
+    return [f"{folder.rstrip('/')}/{f['file']}" for f in found if run is None or f["run"] == run]
+
+
 def _records(spark: SparkSession, paths, ddl: str, strict: bool) -> DataFrame:
     """Records with the ``run`` that their file's name or folder tells ('' if neither does)."""
     df = read_jsonl_strict(spark, paths, ddl) if strict else read_jsonl_tolerant(spark, paths, ddl)[0]
@@ -92,7 +106,9 @@ def read_results(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
-    return _records(spark, paths, SC.REQUEST_UNION, strict)
+    """Request files of any dialect; of a folder that K1 wrote, those that its manifest names."""
+    known = committed_files(spark, paths) if isinstance(paths, str) and not re.search(r"[*?\[{]", paths) else None
+    return _records(spark, known or paths, SC.REQUEST_UNION, strict)
 
 
 def run_of_file(path: Column) -> Column:
@@ -118,7 +134,7 @@ def read_batches_of_run(spark: SparkSession, folder: str, run: str, ddl: str = S
     the run's are listed; the prefix also matches longer run names (``original`` and
     ``original_batch_2_x``), so the exact run is checked on the file's path, before any line is parsed.
     F6: ``glob="*predictions.jsonl"`` keeps only prediction files (of any name)."""
-    known = None if glob else files_of_run(folder, run)
+    known = None if glob else committed_files(spark, folder, run)
     if known is not None:
         df = spark.read.schema(ddl).json(known) if known else spark.createDataFrame([], ddl).select("*", F.lit(None).alias("_metadata"))
         order = line_order() if known else F.lit(None).cast("struct<file:string,block:long,pos:long>")
