@@ -1,6 +1,11 @@
 """Operators on vectors and pages against brute force, and the pipeline's stages."""
 
+import math
+import random
+from fractions import Fraction
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wordrate.llm import embedding_dedup, graph, html_extract, topk_inner
@@ -23,17 +28,57 @@ def table(n=300, d=8, seed=1):
     return [(i, [float(c) for c in v]) for i, v in enumerate(x)]
 
 
-def test_top_inner_is_exact(spark):
-    rows = table()
-    got = topk_inner.top_inner(vectors(spark, rows + ODD), F.col("vec_id") % 20 == 0, k=7, block=32, queries=4).collect()
-    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows}
-    v[905] = np.zeros(8, int)  # all zeros is a vector like any other here
+def best_inner(rows, k):
+    """(query, rank, candidate, score) of all queries by whole numbers of any size."""
+    v = [(i, [math.floor(Fraction(c) * 64) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     want = []
-    for q in sorted(v):
+    for q, a in v:
         if q % 20 == 0:
-            s = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:7]
-            want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+            s = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in v if c != q)[:k]
+            want += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s)]
+    return sorted(want)
+
+
+def answered(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+
+
+@pytest.mark.parametrize("block,queries", [(32, 4), (7, 1), (4096, 1024)])
+def test_top_inner_is_exact(spark, block, queries):
+    """Several waves of blocks, and one block."""
+    rows = table() + ODD
+    assert answered(topk_inner.top_inner(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=7, block=block, queries=queries)) == best_inner(rows, 7)
+
+
+def test_top_inner_of_large_numbers_and_mixed_lengths(spark):
+    """Scores beyond the whole numbers of a double, components beyond those of a long, short and empty vectors."""
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1, 1]) * r.uniform(0.5, 2) * 10.0 ** r.choice([0, 1, 2]) for _ in range(r.choice([0, 1, 5, 8]))]) for i in range(100)]
+    rows += [(100, [1e12, 1.0]), (101, [1.0 / 64, 2.0 ** 40]), (102, [0.0] * 9 + [1e300]), (103, [3.0]), (104, [-0.5, 0.25] * 4), (105, [0.0, 0.0, 0.0, 1e13, 1.0 / 64]), (106, [0.0] * 4 + [5.0])]
+    got = answered(topk_inner.top_inner(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=5, block=16, queries=2))
+    want = [x for x in best_inner(rows, 5)]
+    assert all(abs(s) < 2**63 for *_, s in want) and max(abs(s) for *_, s in want) > 2**56
+    assert got == want
+    with pytest.raises(Exception, match="(?i)overflow|out of range"):
+        topk_inner.top_inner(vectors(spark, [(0, [1e12]), (1, [1e12])]), F.col("vec_id") == 0).collect()
+
+
+def test_thresholds_and_bounds_save_products():
+    """Falling lengths and the Cauchy-Schwarz bound leave most products unmultiplied, and none that counts."""
+    r = np.random.default_rng(3)
+    heavy = np.concatenate([r.normal(size=(6000, 8)) * 20, r.normal(size=(6000, 56))], axis=1) * r.uniform(0.05, 1, size=(6000, 1)) ** 2
+    c = np.floor(64 * heavy)
+    order = np.argsort(-np.linalg.norm(c, axis=1), kind="stable")
+    c, ids = c[order], order.astype(np.int64)
+    q, qi = c[::300], ids[::300]
+    rotation = np.linalg.eigh(c.T @ c)[1][:, ::-1]
+    row, found, score, products = topk_inner.process(q, qi, c, ids, np.full(len(q), -np.inf), rotation, 20)
+    for i in range(len(q)):
+        s = c @ q[i]
+        s[ids == qi[i]] = -np.inf
+        want = np.lexsort((ids, -s))[:20]
+        assert sorted(zip(found[row == i].tolist(), score[row == i].tolist())) == sorted(zip(ids[want].tolist(), s[want].tolist()))
+    assert products < 0.35 * len(q) * len(c)
 
 
 def test_top_inner_fewer_rows_than_k(spark):
@@ -41,6 +86,9 @@ def test_top_inner_fewer_rows_than_k(spark):
     assert sorted(r.rank for r in got) == [1, 2]
     assert topk_inner.top_inner(vectors(spark, ODD[:5]), F.col("vec_id") > 0).count() == 0
     assert topk_inner.top_inner(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") > 0).count() == 0
+    again = table()[:60]  # a repeated query id is one query, its rows are candidates for the others
+    got = answered(topk_inner.top_inner(vectors(spark, again + [(20, [0.01] * 8), (21, again[21][1])]), F.col("vec_id") == 20, k=5))
+    assert len(got) == 5 and [x[1] for x in got] == [1, 2, 3, 4, 5]
 
 
 def test_near_duplicate_vectors(spark):
