@@ -4,14 +4,13 @@ canonical -> join -> score path (values from the fixture table)."""
 import json
 
 import pytest
+from measured_values import (SINGLE, V01_TOP, V01_WEIGHTED, V02_TOP, V02_WEIGHTED, V08_TOP, V08_WEIGHTED, V09_TOP,
+                             V09_WEIGHTED)
 from pyspark.sql import functions as F
 
 from wordrate.operators import responses as R
 from wordrate.sources import schemas as SC
 
-V02_TOP = [("4", -0.31899556517601013), ("5", -1.3189955949783325), ("3", -5.193995475769043),
-           ("6", -8.693995475769043), ("2", -16.44399642944336)]
-
 
 def chat_result(cid, content, steps):
     return {"id": "batch_req_x", "custom_id": cid, "response": {"status_code": 200, "body": {"choices": [{
@@ -34,7 +33,7 @@ def test_chat_dialect_golden(spark):
              "body": {"model": "m", "messages": [{"role": "user", "content": 'Rate "abdication" 1-7'}]}},
             {"custom_id": "exp_task_2", "method": "POST", "url": "/v1/chat/completions",
              "body": {"model": "m", "messages": [{"role": "user", "content": 'Rate "abdomen" 1-7'}]}}]
-    res = [chat_result("exp_task_1", "4", [("4", -0.31899556517601013, V02_TOP)]),
+    res = [chat_result("exp_task_1", "4", [(*V02_TOP[0], V02_TOP)]),
            chat_result("exp_task_2", "5.", [("5", -0.05, V02_TOP), (".", -0.1, [(".", -0.1)])]),
            chat_result("exp_task_9", "3", [("3", -0.1, V02_TOP)])]
     joined = R.join_results(R.canonical_results(lines_df(spark, res, SC.RESULT_UNION)),
@@ -43,8 +42,8 @@ def test_chat_dialect_golden(spark):
     assert set(out) == {"exp_task_1", "exp_task_2"}          # unmatched result dropped
     t1 = out["exp_task_1"]
     assert t1["word"] == "abdication"                         # last request wins
-    assert t1["weighted_sum"] == pytest.approx(4.262189001693707, rel=1e-15)
-    assert t1["logprob"] == -0.31899556517601013
+    assert t1["weighted_sum"] == pytest.approx(V02_WEIGHTED, rel=1e-15)
+    assert t1["logprob"] == V02_TOP[0][1]
     t2 = out["exp_task_2"]
     assert t2["weighted_sum"] is None and t2["logprob"] is None  # two tokens: gate A fails
     assert t2["value"] == 5.0
@@ -54,13 +53,13 @@ def test_google_dialect_golden(spark):
     reqs = [{"key": "g_task_1", "request": {"contents": [{"parts": [{"text": 'Rate "abdication"'}]}]}}]
     res = [{"key": "g_task_1", "processed_time": "2025-08-18T04:18:00Z", "response": {"candidates": [{
         "content": {"parts": [{"text": "2.88"}], "role": "model"},
-        "logprobsResult": {"chosenCandidates": [{"token": "2", "logProbability": -0.5793678}],
-                           "topCandidates": [{"candidates": [{"token": "2", "logProbability": -0.5793678}]}]}}]}}]
+        "logprobsResult": {"chosenCandidates": [{"token": SINGLE[0], "logProbability": SINGLE[1]}],
+                           "topCandidates": [{"candidates": [{"token": SINGLE[0], "logProbability": SINGLE[1]}]}]}}]}}]
     joined = R.join_results(R.canonical_results(lines_df(spark, res, SC.RESULT_UNION)),
                             R.canonical_requests(lines_df(spark, reqs, SC.REQUEST_UNION)))
     row = R.score(joined, "weighted_sum", "Familiarity").first()
     assert row["word"] == "abdication" and row["value"] == 2.88
-    assert row["logprob"] == -0.5793678                     # logprob whenever present
+    assert row["logprob"] == SINGLE[1]                     # logprob whenever present
     assert row["weighted_sum"] is None                      # "2.88" is not an integer answer
 
 
@@ -81,28 +80,21 @@ def test_google_prompt_skips_contents_without_parts(spark):
     assert got == 'A "x"\nB'
 
 
-V01_TOP = [("5", -1.1236724853515625), ("4", -1.2486724853515625), ("6", -1.8736724853515625),
-           ("I", -1.9986724853515625), ("As", -2.8736724853515625)]
-V08_TOP = [("40", -0.5899749398231506), ("50", -0.8399749398231506), ("45", -4.714974880218506),
-           ("30", -5.464974880218506), ("60", -7.839974880218506)]
-V09_TOP = [("4", -0.5790143609046936), ("5", -0.8290143609046936), ("3", -5.829014301300049),
-           ("6", -8.954014778137207), ("４", -18.57901382446289)]
-
 # (name, prompt, answer, steps, mode, expected: first word, last word, value, weighted_sum, logprob)
 GOLDEN_ROWS = [
     ("v01_task1", "Rate the familiarity of abdication from 1 to 7.", "5",
-     [("5", -1.1236724853515625, V01_TOP)], "weighted_sum",
-     (None, None, 5.0, 4.825836887095913, -1.1236724853515625)),
+     [(*V01_TOP[0], V01_TOP)], "weighted_sum",
+     (None, None, 5.0, V01_WEIGHTED, V01_TOP[0][1])),
     ("v01_task2", "Rate the familiarity of abdomen from 1 to 7.",
      "I would rate the familiarity with the abdomen as a 6.",
      [("I", -0.2, V01_TOP), (" would", -0.1, [(" would", -0.1)])], "json",
      (None, None, 6.0, None, None)),
     ("v08_task1", 'Rate "abdication" from 0 to 100.', "40",
-     [("40", -0.5899749398231506, V08_TOP)], "weighted_sum",
-     ("abdication", "abdication", 40.0, 44.32908363413877, -0.5899749398231506)),
+     [(*V08_TOP[0], V08_TOP)], "weighted_sum",
+     ("abdication", "abdication", 40.0, V08_WEIGHTED, V08_TOP[0][1])),
     ("v09_task1", 'Example: "imam" gets 3. Now rate "abdication".', "4",
-     [("4", -0.5790143609046936, V09_TOP)], "weighted_sum",
-     ("imam", "abdication", 4.0, 4.433796753395972, -0.5790143609046936)),
+     [(*V09_TOP[0], V09_TOP)], "weighted_sum",
+     ("imam", "abdication", 4.0, V09_WEIGHTED, V09_TOP[0][1])),
     ("v04_task1", 'Rate "abdication". Answer as JSON with keys "Word" and "Familiarity".',
      '{"Word": "abdication", "Familiarity": 4}', [("{", -0.01, [("{", -0.01)])], "json",
      ("abdication", "Familiarity", 4.0, None, None)),

@@ -5,6 +5,7 @@ import os
 import re
 
 import pytest
+from measured_values import V02_TOP, V02_WEIGHTED
 from pyspark.sql import functions as F
 
 from wordrate import jobs
@@ -18,8 +19,6 @@ experiments:
     model_name: "gpt-4o-mini-2024-07-18"
     company: "OpenAI"
 """
-V02_TOP = [("4", -0.31899556517601013), ("5", -1.3189955949783325), ("3", -5.193995475769043),
-           ("6", -8.693995475769043), ("2", -16.44399642944336)]
 
 
 def test_prepare_then_score(spark, tmp_path):
@@ -50,7 +49,7 @@ def test_prepare_then_score(spark, tmp_path):
     assert sorted(r["word"] for r in book.collect()) == ["abdication", "abdomen"]
     rows = {r["word"]: r for r in scored.collect()}
     assert set(rows) == {"abdication", "abdomen"}
-    assert abs(rows["abdomen"]["weighted_sum"] - 4.262189001693707) < 1e-12
+    assert abs(rows["abdomen"]["weighted_sum"] - V02_WEIGHTED) < 1e-12
 
 
 def test_requeue_merge_finetune_agreement(spark, tmp_path):
