@@ -263,6 +263,7 @@ def top_inner(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, bl
         new = work.select("q", "qids", "low", "m", "ids").mapInArrow(_score(k, d, rotation), _FOUND)
         found = cut_lineage(_ranked(new if found is None else new.unionByName(found.drop("rank")), k))
         lo, hi = hi, hi + (hi - lo) * GROWTH
+    rotation.destroy()  # what needed it is stored
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
