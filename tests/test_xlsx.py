@@ -96,3 +96,11 @@ def test_empty_sheets_and_empty_folders(spark, tmp_path):
     assert spark.read.format("xlsx").schema("a long").load(path).count() == 0
     with zipfile.ZipFile(tmp_path / "a.xlsx") as zf:
         assert "xl/worksheets/sheet1.xml" in zf.namelist()
+
+
+def test_file_uris(spark, tmp_path):
+    out = f"file://{tmp_path}/a%20b"
+    for _ in range(2):
+        spark.range(3).withColumnRenamed("id", "n").coalesce(1).write.format("xlsx").mode("overwrite").save(out)
+        assert spark.read.format("xlsx").schema("n long").load(out).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["a b"]

@@ -38,6 +38,8 @@ import uuid
 import zipfile
 from datetime import date, datetime
 from decimal import Decimal
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
@@ -54,7 +56,13 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 
 
+def _local(path: str) -> str:
+    """A plain path of a path or a ``file:`` URI."""
+    return url2pathname(urlsplit(path).path) if path.startswith("file:") else path
+
+
 def _files(path: str) -> list[str]:
+    path = _local(path)
     if os.path.isdir(path):  # a job's hidden folder is not part of the table
         return sorted(_glob.glob(os.path.join(path, "**", "*.xlsx"), recursive=True))
     return sorted(_glob.glob(path)) or [path]
@@ -390,7 +398,7 @@ class XlsxWriter(DataSourceWriter):
 
     @property
     def _staging(self) -> str:
-        return os.path.join(self.options["path"], f".job-{self.job}")
+        return os.path.join(_local(self.options["path"]), f".job-{self.job}")
 
     def write(self, iterator):
         """One workbook per task.  With option ``sheetColumn`` the rows go to one worksheet
@@ -427,7 +435,7 @@ class XlsxWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         """Runs once, on the driver: what the successful attempts wrote takes its place."""
-        folder = self.options["path"]
+        folder = _local(self.options["path"])
         before = [f for f in _files(folder) if os.path.isfile(f)] if os.path.isdir(folder) else []
         os.makedirs(folder, exist_ok=True)
         for m in messages:
