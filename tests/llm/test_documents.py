@@ -2,10 +2,12 @@
 
 import binascii
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,32 @@ def test_later_copies(spark, limit):
     assert got == expected_spans(rows)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
+    """The factors themselves, for strings of few letters and origins that repeat."""
+    r = random.Random(seed)
+    for _ in range(20):
+        n = r.choice([8, 10, 16, 20, 50])
+        strings = [bytes(r.choice(b"ab") if r.random() < 0.9 else r.choice(b"abc") for _ in range(n + r.randint(0, 30))) for _ in range(r.randint(1, 10))]
+        strings += [strings[0], strings[-1] + strings[0]]
+        origin = np.array([r.randint(0, 5) for _ in strings])
+        off = np.cumsum([0] + [len(x) for x in strings])
+        count = np.diff(off) - n + 1
+        got = lpf_dedup.longest_previous_factors(np.frombuffer(b"".join(strings), np.uint8), off[:-1], count, origin, n)
+        for s, o, factor in zip(*(x.tolist() for x in got)):
+            own, best = strings[s][o:o + n], 0
+            for j, other in enumerate(strings):
+                if origin[j] < origin[s]:
+                    for p in range(count[j]):
+                        k = 0
+                        while k < n and own[k] == other[p + k]:
+                            k += 1
+                        best = max(best, k)
+            assert factor == best
+    none = lpf_dedup.longest_previous_factors(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 50)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
 def test_later_copies_null_ids_and_texts_of_a_stage(spark):
     same = " ".join(f"word{i}" for i in range(30))
     docs = frame(spark, [(None, same), (5, same), (6, "é" + same), (7, None)])
@@ -322,6 +350,89 @@ def test_personal_data_discovers_by_context(spark):
     assert out[51][0] == rows[-1][1]
 
 
+def graph_by_hand(texts, rounds=3, prior=3.0):
+    """(pattern, kind) -> (confidence, seeds), the rounds of the pattern-instance graph in plain Python."""
+    edge = {}
+    for t in texts:
+        for kind, _, _, value, left, right in pii_bootstrap.occurrences(t):
+            if value:
+                for p in [f"L:{left}"] * (left != "") + [f"R:{right}"] * (right != "") + [f"B:{left} {right}"] * (left != "" and right != ""):
+                    edge[p, kind, value] = edge.get((p, kind, value), 0) + 1
+    total = {}
+    for (p, _, _), n in edge.items():
+        total[p] = total.get(p, 0) + n
+    score, conf = {}, {}
+    for _ in range(rounds):
+        weight, seeds = {}, {}
+        for (p, kind, value), n in edge.items():
+            if kind >= 0:
+                weight[p, kind] = weight.get((p, kind), 0) + n
+                seeds[p, kind] = seeds.get((p, kind), 0) + 1
+            else:
+                for k in range(4):
+                    if (value, k) in score:
+                        weight[p, k] = weight.get((p, k), 0) + n * score[value, k]
+        conf = {x: (w / (total[x[0]] + prior), seeds.get(x, 0)) for x, w in weight.items()}
+        every, part = {}, {}
+        for (p, kind, value), n in edge.items():
+            if kind < 0:
+                every[value] = every.get(value, 0) + n
+                for k in range(4):
+                    if (p, k) in conf:
+                        part[value, k] = part.get((value, k), 0) + n * conf[p, k][0]
+        score = {(v, k): min(w / every[v], 0.999) for (v, k), w in part.items()}
+    return conf
+
+
+def test_pattern_graph_equals_plain_rounds(spark):
+    """Contexts of several kinds, shared by seeds and by other strings, over one to four rounds."""
+    r = random.Random(8)
+    lead = ["mailbox", "host", "call", "see", "from", "ticket"]
+    texts = []
+    for i in range(160):
+        what = r.choice([f"u{i}@a{i % 7}.org", f"10.0.{i % 9}.{i}", f"+44 20 7946 0{i:03d}", f"u{i % 30}(at)a", f"host-{i % 20}x", f"77{i % 40}-b"])
+        texts.append(f"The {r.choice(lead)} {what} {r.choice(['now', 'today', 'or', ''])}.")
+    for rounds in (1, 2, 4):
+        rows = [o for t in texts for o in pii_bootstrap.occurrences(t)]
+        occ = spark.createDataFrame(rows, "kind int, start int, end int, value string, left string, right string")
+        got = {(x.pattern, x.kind): (pytest.approx(x.confidence, rel=1e-9), x.seeds) for x in pii_bootstrap.patterns(occ, rounds).collect()}
+        want = graph_by_hand(texts, rounds)
+        assert got == want and len(got) > 20
+    found = {p for p, (c, n) in graph_by_hand(texts).items() if c >= 0.05 and n >= 5}
+    spans = pii_bootstrap.personal_data(frame(spark, list(enumerate(texts))), min_confidence=0.05).collect()
+    for x in spans:  # a discovered string stands in a pattern that counts, and all of them are found
+        t, more = texts[x.doc_id], {(s.start, s.end) for s in x.spans} - {(s.start, s.end) for s in x.base}
+        want = {(s, e) for k, s, e, v, a, b in pii_bootstrap.occurrences(t) if k < 0 and any((p, j) in found for j in range(4) for p in (f"L:{a}", f"R:{b}", f"B:{a} {b}"))}
+        assert more == want
+    assert any(len(x.spans) > len(x.base) for x in spans)
+
+
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_best_fit_takes_the_best_open_bin(by):
+    """Every choice against a search through all open bins, with capacities that bind."""
+    r = random.Random(6)
+    for capacity, max_docs, max_cost in [(100, 100, 1e4), (100, 5, 1e4), (100, 6, 4000.0), (64, 3, 64.0 ** 2)]:
+        width = min(capacity, int(max_cost ** 0.5))
+        length = np.array([r.randint(1, r.choice([4, width // 2, width])) for _ in range(300)])
+        got = vector_packing.best_fit(length, capacity, max_docs, max_cost, by)
+        caps, left, want = (capacity, max_docs, max_cost), [], {}
+        weight = (1.0, float(max_docs < capacity), float(max_cost < capacity ** 2))
+        for i in sorted(range(len(length)), key=lambda i: -length[i]):
+            need = (length[i], 1, float(length[i]) ** 2)
+            best, at = None, len(left)
+            for k, free in enumerate(left):
+                if all(f >= n for f, n in zip(free, need)):
+                    rest = [(f - n) / c for f, n, c in zip(free, need, caps)]
+                    value = -sum(w * x * x for w, x in zip(weight, rest)) if by == "norm" else sum(w * x * n / c for w, x, n, c in zip(weight, rest, need, caps))
+                    if best is None or value > best + 1e-12:
+                        best, at = value, k
+            if at == len(left):
+                left.append(caps)
+            left[at] = tuple(f - n for f, n in zip(left[at], need))
+            want[i] = at
+        assert got.tolist() == [want[i] for i in range(len(length))]
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(3)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -347,6 +458,30 @@ def test_toxicity_held_out(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted((x.doc_id is None, x.doc_id or 0) for x in got if not x.predicted)
 
 
+def test_toxicity_scores_by_hand():
+    """A text's score from its distinct n-grams, one by one, for a model of random weights."""
+    r = random.Random(12)
+    mask = (1 << 64) - 1
+
+    def slots(text):
+        data = b" " + bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode()) + b" "
+        out = set()
+        for size, mult in ((4, 0x2545F4914F6CDD1D), (6, 0xD6E8FEB86659FD93), (8, 0xA0761D6478BD642F)):
+            for k in range(len(data) - size + 1):
+                g = int.from_bytes(data[k:k + size], "big")
+                if size == 8:
+                    g = ((g >> 32) * 0x9E3779B97F4A7C15 + (g & 0xFFFFFFFF) * 0xC2B2AE3D27D4EB4F) & mask
+                out.add((((g * mult) & mask) >> (64 - toxicity.BITS)) ^ (size * 0x1234 if size > 4 else 0))
+        return out
+    texts = ["", "a", "Some Words, 12 of them!", "é漢字 ÀB", "x" * 400, "abc abc abc abc", None] + ["".join(r.choice("abcdE 1é.") for _ in range(r.randint(0, 60))) for _ in range(60)]
+    weights = np.where(np.random.default_rng(1).random(1 << toxicity.BITS) < 0.5, np.random.default_rng(2).normal(size=1 << toxicity.BITS), 0)
+    model = toxicity.Model(weights, -0.3)
+    got = model.score(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0)
+    for t, score in zip(texts, got):
+        z = sum(float(model.weights[x]) for x in slots(t or "")) - 0.3
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), rel=1e-9)
+
+
 def test_toxicity_never_learns_from_other_labels(spark):
     """Held-out labels and labels of no document change nothing, nor do they use up the sample."""
     r = random.Random(5)
