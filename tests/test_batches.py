@@ -103,3 +103,11 @@ def test_numbers_in_file_order(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     rows = spark.range(100).select(F.col("id").alias("v"))
     assert sorted(r.no for r in NB.number_in_file_order(rows, "no").collect()) == list(range(1, 101))
+
+
+def test_relative_paths_and_uris(spark, tmp_path, monkeypatch):
+    from wordrate.session import storage_uri
+    assert storage_uri(spark, f"file://{tmp_path}/a b") == f"{tmp_path}/a b" == storage_uri(spark, f"{tmp_path}/a b")
+    assert os.path.isabs(storage_uri(spark, "rel/x")) and storage_uri(spark, "rel/x").endswith("/rel/x")
+    K.write_request_batches(requests(spark, "r", 3), f"file://{tmp_path}/u", 10)
+    assert ids(spark, f"{tmp_path}/u", "r") == want(3) == ids(spark, f"file://{tmp_path}/u", "r")

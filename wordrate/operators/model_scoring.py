@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from ..session import storage_uri
 from ..sources.files import parse_json_lines
 
 #: Groups after which a task goes on in a new ledger file (what a file system that shows
@@ -82,7 +83,7 @@ def ledger(spark, folder: str, keys: Sequence[T.StructField], out_col: str, out_
     """What a ledger holds: keys and answer, one row per key.  A line that a dying task left
     unfinished is not read."""
     schema = T.StructType([*keys, T.StructField(out_col, out_type)])
-    fs, base = _file_system(folder)
+    fs, base = _file_system(storage_uri(spark, folder))
     files = [f for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.is_file and f.size]
     if not files:
         return spark.createDataFrame([], schema)
@@ -142,7 +143,7 @@ def score_resumable(df: DataFrame, keys: Sequence[str], prompt_col: str, factory
     fields = [df.schema[k] for k in keys]
     done = ledger(spark, folder, fields, out_col, out_type)
     todo = df.select(*keys, prompt_col).dropDuplicates(list(keys)).join(done, list(keys), "left_anti").select(*keys, prompt_col)
-    run = _sending(list(keys), list(range(len(keys))), len(keys), factory, folder, uuid.uuid4().hex, out_col, batch_size)
+    run = _sending(list(keys), list(range(len(keys))), len(keys), factory, storage_uri(spark, folder), uuid.uuid4().hex, out_col, batch_size)
     todo.mapInArrow(run, "sent long").agg(F.sum("sent")).first()
     return df.join(ledger(spark, folder, fields, out_col, out_type), list(keys), "left")
 

@@ -9,6 +9,7 @@ when that setting is absent (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,5 +90,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def storage_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark resolves it (default file system, working folder), for tasks that write
+    through pyarrow: a plain path on a local file system, else a URI that pyarrow knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at)
+    if full.toUri().getScheme() == "file":
+        return full.toUri().getPath()
+    return re.sub(r"^s3[an]:", "s3:", full.toString())
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

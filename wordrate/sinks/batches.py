@@ -8,7 +8,8 @@ manifest is the table, so a job that dies between two files, or before its commi
 old set as it was.  Nothing is renamed file by file on the driver.  Characters that a file name
 cannot hold are percent-encoded in the run's part of the name.
 
-Paths are URIs or local paths that pyarrow can write (on a cluster, shared storage).
+Paths are resolved as Spark resolves them and written through pyarrow (local folders that all
+machines share, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..session import storage_uri
+
 MANIFEST = "_manifest"
 
 
@@ -163,7 +166,7 @@ def write_batches(batches: DataFrame, path: str, stamp: str, existing: str) -> N
     """``batches`` (run, batch_index, value), each batch in one task and in order."""
     register(batches.sparkSession)
     try:
-        batches.write.format("request_batches").mode("append").option("stamp", stamp).option("existing", existing).save(path)
+        batches.write.format("request_batches").mode("append").option("stamp", stamp).option("existing", existing).save(storage_uri(batches.sparkSession, path))
     except Exception as e:  # noqa: BLE001 - what the commit raises comes wrapped
         if "holds batches of these runs already" in str(e):
             raise FileExistsError(f"{path} holds batches of these runs already") from e
