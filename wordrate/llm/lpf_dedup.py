@@ -2,14 +2,14 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with
 a smaller doc_id: where its longest previous factor, the longest match in an earlier document,
-is ``length`` or more.  No such values are computed: windows of ``length`` bytes are grouped
-by equality (prefix doubling), and the smallest origin of each group tells its later copies.
+is ``length`` or more.  In suffix order that match is with the previous or the next suffix of
+smaller origin, so these two and what neighbours share between them give every factor.
 
 The suffixes are dealt out so that equal strings always meet.  The smallest hash among the
 k-grams of a ``length``-byte window (its anchor) depends on the window's bytes alone, and
 consecutive windows mostly share it, so a text falls into runs of windows of one anchor.
 Runs go to the task of their anchor; there, runs whose bytes are equal are one class, whose
-smallest document keeps them, and the suffix order of the classes' bytes settles the rest.
+smallest document keeps them, and the factors of the classes' windows settle the rest.
 
 * texts that are equal count as one: all of a later copy goes, and only the first is read on;
 * pass 1 finds the anchors that occur in at least two texts (exactly, per range of hashes) and
@@ -190,34 +190,77 @@ def _marked(length: int, bitmap):
     return run
 
 
-def later_copies(data: np.ndarray, first: np.ndarray, count: np.ndarray, origin: np.ndarray, length: int):
-    """For the windows of several strings laid end to end in ``data``: (string, offset) of
-    each whose longest previous factor, the longest match in a string of smaller ``origin``,
-    reaches ``length``.  String i has ``count[i]`` windows from ``first[i]`` on.
-
-    Suffixes are ranked by prefix doubling on their first ``length`` bytes; of each group of
-    equal windows, those of an origin larger than the group's smallest are later copies.
-    """
+def _suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the suffixes from ``at`` in order of their first ``length`` bytes, by prefix
+    doubling, and the bytes (up to ``length``) that each shares with the one before it."""
     padded = np.append(data, np.zeros(8, np.uint8)).astype(_U)
     word = np.zeros(len(data), _U)
     for j in range(8):
         word = word << _U(8) | padded[j:len(data) + j]
-    rank, width = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
+    ranks, width = [np.unique(word, return_inverse=True)[1].astype(np.int64)], 8
     while width * 2 <= length:
+        rank = ranks[-1]
         nxt = np.zeros(len(rank), np.int64)
         nxt[:-width] = rank[width:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)[1].astype(np.int64)
+        ranks.append(np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)[1].astype(np.int64))
         width *= 2
+    key = ranks[-1][at] * (len(data) + 2) + ranks[-1][at + length - width]
+    order = np.argsort(key, kind="stable")
+    key, pos = key[order], at[order]
+    lcp = np.zeros(len(pos), np.int64)
+    lcp[1:][key[1:] == key[:-1]] = length
+    other = np.flatnonzero(key[1:] != key[:-1]) + 1
+    x, y, same = pos[other - 1], pos[other], np.zeros(len(other), np.int64)
+    for rank in reversed(ranks):  # shared blocks of 32, 16 and 8 bytes, each once at most
+        same[rank[x + same] == rank[y + same]] += width
+        width //= 2
+    rest = word[x + same] ^ word[y + same]
+    for j in range(1, 8):
+        same += rest < _U(1) << _U(64 - 8 * j)
+    lcp[other] = np.minimum(same, length - 1)
+    return order, lcp
+
+
+def _before(lcp: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """What each suffix shares with the previous one of smaller origin in the order (0: none).
+
+    Every suffix points at the one before it; while that is of no smaller origin, it points on
+    to where that one points, as all between are of no smaller origin either."""
+    ptr, least = np.arange(len(lcp)) - 1, lcp.copy()
+    act = np.flatnonzero(least > 0)
+    while len(act):
+        p = ptr[act]
+        on = (p >= 0) & (origin[p] >= origin[act])
+        act, p = act[on], p[on]
+        share, to = np.minimum(least[act], least[p]), ptr[p]
+        least[act], ptr[act] = share, to
+        act = act[share > 0]
+    # what still points at a suffix of no smaller origin shares nothing with any before it
+    return np.where((ptr >= 0) & (origin[ptr] < origin), least, 0)
+
+
+def longest_previous_factors(data: np.ndarray, first: np.ndarray, count: np.ndarray, origin: np.ndarray, length: int):
+    """(string, offset, factor) of the windows of several strings laid end to end in ``data``: the
+    longest match, up to ``length`` bytes, with a window of a string of smaller ``origin``.
+    String i has ``count[i]`` windows from ``first[i]`` on.
+
+    In suffix order the longest match is with the previous or the next suffix of smaller origin;
+    it is as long as the least that neighbours between them share."""
     string = np.repeat(np.arange(len(first)), count)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-    at = first[string] + offset
-    key = rank[at] * (len(rank) + 2) + rank[at + length - width]
-    order = np.argsort(key, kind="stable")
-    key, org = key[order], origin[string][order]
-    new = np.append(True, key[1:] != key[:-1])
-    smallest = np.minimum.reduceat(org, np.flatnonzero(new)) if len(org) else org
-    later = order[org > smallest[np.cumsum(new) - 1]] if len(org) else order
-    later.sort()
+    factor = np.zeros(len(string), np.int64)
+    if len(string):
+        order, lcp = _suffix_order(data, first[string] + offset, length)
+        org = origin[string][order]
+        after = _before(np.append(0, lcp[:0:-1]), org[::-1])[::-1]
+        factor[order] = np.maximum(_before(lcp, org), after)
+    return string, offset, factor
+
+
+def later_copies(data: np.ndarray, first: np.ndarray, count: np.ndarray, origin: np.ndarray, length: int):
+    """(string, offset) of the windows whose longest previous factor reaches ``length``."""
+    string, offset, factor = longest_previous_factors(data, first, count, origin, length)
+    later = np.flatnonzero(factor >= length)
     return string[later], offset[later]
 
 
