@@ -199,17 +199,16 @@ def redacted(docs: DataFrame, rounds: int = 3) -> DataFrame:
     where that column is there.  Rows without spans are unchanged."""
     cols = docs.columns
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(cols)], *key, F.xxhash64(F.col("text").cast("string")).alias("hash"))
     # a text decides its spans, so rows are matched by id and text
     spans = (personal_data(docs.select(*key), rounds, keep_text_hash=True).filter(F.size("spans") > 0)
-             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key"), F.col("spans").alias("_spans"))
-             .dropDuplicates(["_id", "_key"]))
-    joined = keyed.join(spans, keyed["_id"].eqNullSafe(spans["_id"]) & (keyed["_key"] == spans["_key"]), "left")
-    joined = joined.select(*[keyed[c] for c in cols], "_spans").withColumn(
-        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_replaced()(F.col("text").cast("string"), F.col("_spans"))))
-    if "n_chars" in cols:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*cols)
+             .select(F.col("doc_id").alias("id"), "text_hash", "spans").dropDuplicates(["id", "text_hash"]))
+    joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
+    changed = F.col("spans").isNotNull()
+    joined = joined.withColumn("text", F.when(changed, _replaced()(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    final = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text"))}
+    return joined.select(*[(F.when(changed, final[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"own_{i}")) if c in final else F.col(f"own_{i}")).alias(c)
+                           for i, c in enumerate(cols)])
 
 
 def _replaced():
