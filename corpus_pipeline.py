@@ -7,6 +7,7 @@ and read again as the next stage's ``docs``; all but the last return the columns
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,14 @@ from wordrate.llm.vector_packing import pack_documents
 from wordrate.session import ensure_checkpoint_dir
 
 
+def _released(spark: SparkSession) -> None:
+    """Lets go of what the stages before have left on the driver.  A stage's models and tables are
+    written or broadcast once; Spark drops them, and the files of finished shuffles, when the
+    driver's collector finds that nothing refers to them, which a roomy heap puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -27,21 +36,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents, the one with the smallest id stays."""
+    _released(spark)
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of 50-byte passages are cut out of the texts."""
+    _released(spark)
     return without_later_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind in brackets."""
+    _released(spark)
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' ids are packed into sequences of at most 2048 tokens; one row per piece."""
+    _released(spark)
     return pack_documents(docs)
 
 
