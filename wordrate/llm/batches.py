@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,16 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         at = to
 
 
+def let_go() -> None:
+    """Gives what a task has freed back to the system.  Python workers serve one task after the
+    other, and the allocators would keep a task's temporaries for as long as its worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
 #: Rows up to which a side of fixed-width rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 

@@ -33,7 +33,7 @@ from wordrate.session import cut_lineage
 
 from . import byte_words as B
 from . import hashing as H
-from .batches import bounded, pieces
+from .batches import bounded, let_go, pieces
 from .graph import components
 from .sketch import blocks, summed
 
@@ -91,6 +91,8 @@ def _profile(k: int):
                     [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())],
                     names=_NAMES)
         b = blocks(table)
+        del table
+        let_go()
         none = pa.nulls(len(b), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.array(b["block"], pa.int64()), pa.array(b["counts"], pa.binary())], names=_NAMES)
@@ -154,6 +156,7 @@ def _postings(k: int, percent: int, classes, x: int):
                         [pa.array(np.concatenate(key).astype(np.int64)), pa.array(np.concatenate(node).astype(np.int64)),
                          pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(light))],
                         names=["key", "node", "n", "light"])
+        let_go()
     return run
 
 
@@ -184,6 +187,7 @@ def _shared(batches):
     if rest is not None and rest.num_rows:
         out, _ = emit(rest, True)
         yield from out.to_batches()
+    let_go()
 
 
 def _verify(k: int, percent: int):
@@ -203,6 +207,7 @@ def _verify(k: int, percent: int):
                 if 100 * both >= percent * (len(s) + len(last) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["u", "v"])
+        let_go()
     return run
 
 
