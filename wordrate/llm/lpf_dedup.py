@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from wordrate.session import cut_lineage, ensure_checkpoint_dir
 
 from . import hashing as H
-from .batches import bounded, pieces
+from .batches import bounded, let_go, pieces
 
 _U = np.uint64
 GRAM = 16  # bytes of an anchor
 BITMAP_BITS = 28  # 32 MB, whatever the input
 _LOW = _U((1 << 40) - 1)
 CLASS_LIMIT = 100_000  # rows of one anchor held in a task
+TEXT_BYTES = 1 << 20  # bytes of text hashed at a time; a task holds some 100 times as many
 
 #: ``places``: where in the text the run is found, little-endian 32-bit numbers.
 _RUNS = "anchor long, run binary, doc_id long, tkey long, places binary"
@@ -83,7 +84,7 @@ def _anchors(length: int, ranges: int):
     a piece that share one, two are sent."""
     def run(batches):
         for big in batches:
-            for batch in pieces(big, "text"):
+            for batch in pieces(big, "text", TEXT_BYTES):
                 raw, off = H.buffer_of(batch.column(batch.schema.get_field_index("text")))
                 h, _, _, text = _runs(raw, off, length)
                 order = np.lexsort((text, h))
@@ -98,6 +99,7 @@ def _anchors(length: int, ranges: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r[cut], pa.int64()), pa.array([_short(x) for x in np.split(u, cut[1:])] if len(r) else [], pa.binary())],
                     names=["range", "hashes"])
+        let_go()
     return run
 
 
@@ -158,7 +160,7 @@ def _marked(length: int, bitmap):
     """Pass 2: the runs whose anchor is marked."""
     def run(batches):
         for big in batches:
-            for batch in pieces(big, "text"):
+            for batch in pieces(big, "text", TEXT_BYTES):
                 raw, off = H.buffer_of(batch.column(2))
                 h, first, last, text = _runs(raw, off, length)
                 a, b = _places(h & _LOW)
@@ -187,6 +189,7 @@ def _marked(length: int, bitmap):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((h >> _U(33)).astype(np.int64)), binary(np.append(0, ends), data), batch.column(0).take(take), batch.column(1).take(take), binary(4 * edge, places)],
                     names=["anchor", "run", "doc_id", "tkey", "places"])
+        let_go()
     return run
 
 
@@ -388,7 +391,7 @@ def _settle(length: int, limit: int):
 def _cut(length: int):
     def run(batches):
         for big in batches:
-            for batch in pieces(big, "text"):
+            for batch in pieces(big, "text", TEXT_BYTES):
                 keep, size, gone, parts = [], [], [], []
                 texts, spans = batch.column(1), batch.column(2)
                 for i in range(batch.num_rows):
