@@ -174,3 +174,12 @@ def test_model_factories_of_one_name_stay_apart(spark):
         return factory
     df = spark.createDataFrame([("a",)], "p string").coalesce(1)
     assert [M.score_prompts(df, "p", maker(v)).first()["score"] for v in (1.0, 2.0)] == [1.0, 2.0]
+
+
+def test_newest_file_counts_its_whole_run(spark, tmp_path):
+    """The run of the newest file lies in several files, and all of them are counted."""
+    from wordrate.plans.files_q import newest_file
+    parts = spark.createDataFrame([(i, f"part {i}") for i in range(1, 1302)], "p_partkey long, p_name string")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    rows = [tuple(r) for r in newest_file(spark, str(tmp_path)).collect()]
+    assert rows == [("later", 1301, sum(len(f"part {i}") for i in range(1, 1302)))]

@@ -45,21 +45,20 @@ def prefix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("newest_file", sql="""
-WITH n AS (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS task_no FROM part)
-SELECT 'later' AS run, count(*) AS n_requests, sum(length(p_name))::BIGINT AS name_chars FROM n WHERE task_no <= 64""")
+SELECT 'later' AS run, count(*) AS n_requests, sum(length(p_name))::BIGINT AS name_chars FROM part""")
 def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S9 + T9: two runs are written in files of 64 requests, the first over the odd parts and
-    the other over all; the first file of the later run is given the newest time, and the newest
-    file directly in the folder is found, read and counted."""
+    """S9 + T9: two runs are written in files of 500 requests, the first over the odd parts and
+    the other over all; the first file of the later run is given the newest time, the newest file
+    directly in the folder is found, and the run it belongs to is read whole and counted."""
     folder = K.scratch_dir(spark, "newest")
     part = D.read(spark, sf_dir, "part")
     for run, rows in (("earlier", part.where(F.col("p_partkey") % 2 == 1)), ("later", part)):
         words = Q.number_words(rows, ["p_partkey"], column="p_name")
         reqs = Q.build_requests(words, D.experiment("OpenAI", run=run))
-        K.write_request_batches(reqs, folder, chunk_size=64, stamp="2025-01-01-00-00")
+        K.write_request_batches(reqs, folder, chunk_size=500, stamp="2025-01-01-00-00")
     K.touch(spark, os.path.join(folder, "later_batch_0_2025-01-01-00-00.jsonl"), 4102444800)
-    newest = S.newest_file(spark, folder, "*.jsonl").first()["path"]  # one path
-    reqs = S.read_requests(spark, newest)
+    newest = S.newest_file(spark, folder, "*.jsonl").select(S.run_of_file(F.col("path")).alias("run")).first()["run"]  # one name
+    reqs = S.read_batches_of_run(spark, folder, newest)
     words = F.regexp_extract(F.col("body.messages")[0]["content"], '"([^"]*)"', 1)
     return reqs.groupBy("run").agg(F.count(F.lit(1)).alias("n_requests"), F.sum(F.length(words)).alias("name_chars"))
 
