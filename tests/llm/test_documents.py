@@ -522,3 +522,57 @@ def test_empty_tables(spark):
                 vector_packing.pack_documents(none), token_output.token_sequences(none), toxicity.score_documents(none, labels),
                 pii_bootstrap.personal_data(none), ngram_jaccard.one_of_each(none), lpf_dedup.without_later_copies(none), pii_bootstrap.redacted(none)):
         assert out.count() == 0
+
+
+def _peak(task, batches):
+    """MB that a task's body holds at most beyond its input, and its rows."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in task(batches))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def _long_texts():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50_000, 500)) for _ in range(900)]
+    return pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(range(900)), pa.array(texts)], names=["doc_id", "tkey", "text"])
+
+
+def test_memory_of_repeated_passages():
+    """Texts are hashed in small pieces, anchors are sent together from many, and each is sent
+    twice at most: what a task holds does not follow the size of its batches."""
+    class Marked:
+        value = np.full(1 << (lpf_dedup.BITMAP_BITS - 3), 255, np.uint8)
+
+    batch = _long_texts()
+    for task in (lpf_dedup._anchors(50, 8), lpf_dedup._marked(50, Marked)):
+        mb, rows = _peak(task, [batch])
+        assert rows and mb < 60
+    # equal texts in different batches: every anchor still twice, in a row for each range
+    rows = [r for b in lpf_dedup._anchors(50, 8)([batch.slice(0, 3)] * 4) for r in b.to_pylist()]
+    assert len(rows) == 8
+    for r in rows:
+        _, n = np.unique(lpf_dedup._long(r["hashes"]), return_counts=True)
+        assert (n == 2).all()
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 100_000) for i in range(200)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    try:
+        spark.conf.set(key, "64m")
+        lpf_dedup.remove_later_copies(docs).count()
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5_000_000
+        spark.conf.set(key, "1m")  # a session that asks for less keeps it
+        ngram_jaccard.ngram_jaccard_components(docs).count()
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)

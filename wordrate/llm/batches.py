@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time in a task (one longer text is a piece of its own).
@@ -27,6 +27,20 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         at = to
 
 
+#: Bytes of rows that Spark gathers before it sends them to a Python task.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python tasks in batches of ``BATCH_BYTES`` at most; a session
+    that asks for less keeps it.  Spark's own bound (64 MB) is held several times over, by the
+    executor while the batch's buffers grow and by the Python task that reads it."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_KEY))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def let_go() -> None:
     """Gives what a task has freed back to the system.  Python workers serve one task after the
     other, and the allocators would keep a task's temporaries for as long as its worker lives."""

@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 from wordrate.session import cut_lineage, ensure_checkpoint_dir
 
 from . import hashing as H
-from .batches import bounded, let_go, pieces
+from .batches import bounded, let_go, pieces, small_batches
 
 _U = np.uint64
 GRAM = 16  # bytes of an anchor
 BITMAP_BITS = 28  # 32 MB, whatever the input
 _LOW = _U((1 << 40) - 1)
 CLASS_LIMIT = 100_000  # rows of one anchor held in a task
-TEXT_BYTES = 1 << 20  # bytes of text hashed at a time; a task holds some 100 times as many
+TEXT_BYTES = 1 << 18  # bytes of text hashed at a time; a task holds some 100 times as many
+HASHES = 1 << 18  # hashes of anchors sent together, a row for each range
+RUN_BYTES = 1 << 20  # bytes of runs settled at a time; a task holds some 100 times as many
 
 #: ``places``: where in the text the run is found, little-endian 32-bit numbers.
 _RUNS = "anchor long, run binary, doc_id long, tkey long, places binary"
@@ -80,9 +82,21 @@ def _runs(raw: np.ndarray, off: np.ndarray, length: int):
 
 
 def _anchors(length: int, ranges: int):
-    """Pass 1: the hashes of each text's anchors, once a text, by range; of several texts of
-    a piece that share one, two are sent."""
+    """Pass 1: the hashes of each text's anchors, once a text, by range; of several texts sent
+    together that share one, two are sent."""
+    def sent(parts):
+        u, c = np.unique(np.concatenate(parts), return_counts=True)
+        u = np.sort(np.concatenate([u, u[c > 1]]))
+        r = (u % _U(ranges)).astype(np.int64)
+        order = np.argsort(r, kind="stable")
+        u, r = u[order], r[order]
+        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(r[cut], pa.int64()), pa.array([_short(x) for x in np.split(u, cut[1:])] if len(r) else [], pa.binary())],
+            names=["range", "hashes"])
+
     def run(batches):
+        parts, held = [], 0
         for big in batches:
             for batch in pieces(big, "text", TEXT_BYTES):
                 raw, off = H.buffer_of(batch.column(batch.schema.get_field_index("text")))
@@ -90,15 +104,13 @@ def _anchors(length: int, ranges: int):
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
                 once = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[:len(h)]
-                u, c = np.unique(h[once] & _LOW, return_counts=True)
-                u = np.sort(np.concatenate([u, u[c > 1]]))
-                r = (u % _U(ranges)).astype(np.int64)
-                order = np.argsort(r, kind="stable")
-                u, r = u[order], r[order]
-                cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r[cut], pa.int64()), pa.array([_short(x) for x in np.split(u, cut[1:])] if len(r) else [], pa.binary())],
-                    names=["range", "hashes"])
+                parts.append(h[once] & _LOW)
+                held += len(parts[-1])
+                if held >= HASHES:
+                    yield sent(parts)
+                    parts, held = [], 0
+        if parts:
+            yield sent(parts)
         let_go()
     return run
 
@@ -138,6 +150,7 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(word[cut], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in np.split(mask, cut[1:])] if len(bits) else [], pa.binary())],
             names=["page", "bits"])
+    let_go()
 
 
 def _page(batches):
@@ -356,10 +369,10 @@ def _settle(length: int, limit: int):
                 crowded = before = None
                 t = t.slice(n).combine_chunks()
                 anchor = anchor[n:]
-            step = 40_000
+            ends = np.cumsum(pc.binary_length(t["run"]).to_numpy().astype(np.int64))
             at = 0
             while at < len(anchor):
-                to = min(at + step, len(anchor))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
                 while to < len(anchor) and anchor[to] == anchor[to - 1]:
                     to += 1
                 yield from group(t.slice(at, to - at).combine_chunks())
@@ -385,6 +398,7 @@ def _settle(length: int, limit: int):
                 held = None
         if held is not None and held.num_rows:
             yield from (x for x in flush(held.combine_chunks()) if x is not None)
+        let_go()
     return run
 
 
@@ -426,6 +440,7 @@ def _cut(length: int):
                     [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                      pa.array(parts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(keep, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "removed", "kept"])
+        let_go()
     return run
 
 
@@ -487,6 +502,7 @@ def remove_later_copies(docs: DataFrame, length: int = 50, class_limit: int = CL
 
 def _with_spans(docs: DataFrame, length: int, class_limit: int) -> DataFrame:
     """``docs(doc_id, tkey, text, ...)`` with spans: null if nothing goes, empty if all goes."""
+    small_batches(docs.sparkSession)
     copies = later_whole_copies(docs, length)
     spans = repeated_spans(docs.join(copies, ["doc_id", "tkey"], "left_anti"), length, class_limit)
     every = F.array().cast(spans.schema["spans"].dataType)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wordrate.session import cut_lineage
 
 from . import hashing as H
-from .batches import bounded, pieces
+from .batches import bounded, pieces, small_batches
 from .sketch import BLOCK_SCHEMA, blocks, summed
 
 _U = np.uint64
@@ -138,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     a null id, text or label are left out, and an id labelled twice both ways counts as toxic.
     Without rows of both classes every text scores 0.5."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = cut_lineage(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
                         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
