@@ -559,6 +559,15 @@ def test_memory_of_repeated_passages():
         assert (n == 2).all()
 
 
+def test_memory_of_ngram_sets():
+    class Classes:
+        value = np.zeros(1 << ngram_jaccard.SKETCH_BITS, np.uint8)
+
+    batch = _long_texts().drop_columns(["tkey"])
+    mb, rows = _peak(ngram_jaccard._postings(5, 80, Classes, 24), [batch])
+    assert rows and mb < 15
+
+
 def test_texts_reach_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

@@ -33,12 +33,13 @@ from wordrate.session import cut_lineage
 
 from . import byte_words as B
 from . import hashing as H
-from .batches import bounded, let_go, pieces
+from .batches import bounded, let_go, pieces, small_batches
 from .graph import components
 from .sketch import blocks, summed
 
 _U = np.uint64
 SKETCH_BITS = 24  # 16M counters: 64 MB per task, whatever the input
+TEXT_BYTES = 1 << 19  # bytes of text hashed at a time
 LONG_LIST = 24  # nodes of a list from which pivots are tried first
 PIVOTS = 12
 TURNS = 2
@@ -79,7 +80,7 @@ def _profile(k: int):
         table = np.zeros(1 << SKETCH_BITS, np.int32)
         mask = _U((1 << SKETCH_BITS) - 1)
         for big in batches:
-            for batch in pieces(big, "text"):
+            for batch in pieces(big, "text", TEXT_BYTES):
                 n, node, seen = [], [], [np.zeros(0, _U)]
                 for _, t in _sets(batch, k):
                     n.append(len(t))
@@ -127,7 +128,7 @@ def _postings(k: int, percent: int, classes, x: int):
     def run(batches):
         cls, mask = classes.value, _U((1 << SKETCH_BITS) - 1)
         for big in batches:
-            for batch in pieces(big, "text"):
+            for batch in pieces(big, "text", TEXT_BYTES):
                 key, node, size, light = [], [], [], []
                 for _, t in _sets(batch, k):
                     n = len(t)
@@ -258,6 +259,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("tkey", F.xxhash64("text"))
     # whole texts are read twice (sizes and counts, then postings); both passes are narrow
